@@ -17,7 +17,7 @@ from notegraph.functions.text import link_exists
 from notegraph.operators import corpus, events, links, patches, similar
 from notegraph.operators.chunk import chunk_notes
 from notegraph.operators.embed import hash_embed
-from notegraph.operators.materialise import shared_folder
+from notegraph.operators.materialise import materialise, shared_folder
 from notegraph.plans.link import link_notes, suggest_links
 from notegraph.plans.populate import populate
 from notegraph.schema import CHUNK_KEY, Settings
@@ -182,7 +182,8 @@ def _knn(method: str, level: str = "chunk", **options) -> Query:
 def note_similarity(spark, folder):
     """Documents to chunks to built-in vectors to the nearest notes of every note."""
     chunks = chunk_notes(s.disk_notes(spark, folder), 1000).repartition(*CHUNK_KEY)
-    notes = hash_embed(chunks, s.DIMENSIONS).select(*CHUNK_KEY, "embedding")
+    # The search reads the vectors several times, so they are written out once.
+    notes = materialise(hash_embed(chunks, s.DIMENSIONS).select(*CHUNK_KEY, "embedding"))
     return similar.knn_join(similar.note_vectors(notes), notes, 5, "note")
 
 

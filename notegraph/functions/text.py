@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # The characters stripped from both ends of a text (wider than SQL trim).
 WHITESPACE = (
-    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 ABSTRACT_CHARS = 500
 
@@ -43,11 +44,11 @@ def unix_newlines(text: Column) -> Column:
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, WHITESPACE + r"+\z", "")
+    return F.rtrim(text, F.lit(WHITESPACE))
 
 
 def strip_both(text: Column) -> Column:
-    return F.regexp_replace(strip_end(text), r"\A" + WHITESPACE + "+", "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def abstract(text: Column, chars: int = ABSTRACT_CHARS) -> Column:

@@ -162,7 +162,8 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
 
     1. each bucket reports its last kept event as a function of the event it starts with (only
        events in its first window can differ, and starts with equal ends are merged);
-    2. buckets that follow each other closely are chained, one short row per bucket;
+    2. where buckets follow each other closely, these reports are put together in order, one short
+       row per bucket;
     3. each bucket, now knowing the last event kept before it, picks its own.
 
     A bucket is one task's work and has at most as many different times as its length in
@@ -201,7 +202,8 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bucket")
-        before, last = [], None
+        head = frame["before_us"].iloc[0]
+        before, last = [], None if pd.isna(head) else int(head)
         for entries, exits in zip(frame["entries"], frame["exits"]):
             before.append(last)
             position = 0 if last is None else int(np.searchsorted(entries, last + window, side="left"))
@@ -226,17 +228,25 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
         "path string, bucket long, first_us long, last_us long, entries array<long>, exits array<long>",
     )
     in_path = Window.partitionBy("path").orderBy("bucket")
+    # A bucket is settled when what was kept before it is known: nothing near enough, or a bucket
+    # that ends in the same event however it starts.
+    settles = (F.size("exits") == 1) & (F.col("last_us") >= F.col("bucket") * width + window)
     linked = (
-        summary.withColumn("linked", F.coalesce(F.col("first_us") - F.lag("last_us").over(in_path) < window, F.lit(False)))
-        .withColumn("next_linked", F.coalesce(F.lead("linked").over(in_path), F.lit(False)))
-        .withColumn("chain", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(in_path))
-        .where(F.col("linked") | F.col("next_linked"))
+        summary.withColumn("near", F.coalesce(F.col("first_us") - F.lag("last_us").over(in_path) < window, F.lit(False)))
+        .withColumn("sure", F.lag(settles).over(in_path))
+        .withColumn("before_us", F.when(F.col("near") & F.col("sure"), F.lag(F.element_at("exits", -1)).over(in_path)))
+        .withColumn("settled", ~F.col("near") | F.col("sure"))
+        .withColumn("next_settled", F.coalesce(F.lead("settled").over(in_path), F.lit(True)))
+        .withColumn("chain", F.sum(F.when(F.col("settled"), 1).otherwise(0)).over(in_path))
     )
-    before = (
-        linked.select(*key, "entries", "exits", "chain")
+    known = linked.where(F.col("settled") & F.col("before_us").isNotNull()).select(*key, "before_us")
+    chained = (
+        linked.where(~F.col("settled") | ~F.col("next_settled"))
+        .select(*key, "entries", "exits", "before_us", "chain")
         .groupBy("path", "chain")
         .applyInPandas(chain, "path string, bucket long, before_us long")
     )
+    before = known.unionByName(chained)
     kept = sort_for(timed.join(before, key, "left")).mapInPandas(pick, schema)
     return kept.withColumn("ts", F.timestamp_micros("us")).select(*events.columns)
 

@@ -28,7 +28,7 @@ def _rows(relation: str) -> str:
 
 
 def _strip(text: str) -> str:
-    return rf"regexp_replace(regexp_replace({text}, '{WHITESPACE}+\z', ''), '\A{WHITESPACE}+', '')"
+    return f"trim({text}, '{WHITESPACE}')"
 
 
 def _section(relation: str, mode: str) -> str:
@@ -56,7 +56,7 @@ def _merged(mode: str) -> str:
             "CASE WHEN right(content, 1) <> chr(10) THEN chr(10) || chr(10) "
             "WHEN right(content, 2) = chr(10) || chr(10) THEN '' ELSE chr(10) END"
         )
-    end_stripped = rf"regexp_replace(content, '{WHITESPACE}+\z', '')"
+    end_stripped = f"rtrim(content, '{WHITESPACE}')"
     return f"""
     CASE WHEN head <> '' THEN
         head || CASE WHEN {_strip('body')} <> '' THEN {_strip('body')} || chr(10) ELSE '' END || bullets || chr(10) || behind

@@ -74,3 +74,12 @@ def validate_embeddings(notes: DataFrame, dim: int) -> DataFrame:
         F.count_if(~missing & _bad_embedding(dim)).alias("wrong_length"),
         F.count_if(~_bad_embedding(dim)).alias("valid"),
     )
+
+
+def spread_small(rows: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than there are cores, such as one small file, over all of them.
+
+    Inputs worth a cluster have more splits than cores and are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from notegraph.operators.chunk import chunk_notes
 from notegraph.operators.embed import hash_embed
 from notegraph.schema import NOTES_SCHEMA
-from notegraph.sources.notes import notes_from_table
+from notegraph.sources.notes import notes_from_table, spread_small
 
 START = "2024-01-01 00:00:00"
 DIMENSIONS = 64
@@ -21,13 +21,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts; work on each text is dear, so a small file is spread over all cores."""
+    return spread_small(table(spark, folder, name))
+
+
 def _minutes(number: str):
     return F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + F.col(number) * 60)
 
 
 def disk_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Notes on disk: every document, one minute apart."""
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
     return notes_from_table(documents, path, F.col("text"), _minutes("doc_id"))
 
@@ -47,7 +52,7 @@ def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.col("content"))
     )
     disk = disk_notes(spark, folder).where(source != "src0")
-    pages = table(spark, folder, "pages")
+    pages = texts(spark, folder, "pages")
     gone = pages.select(
         F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"),
         F.col("html").alias("content"),
@@ -118,7 +123,7 @@ def agent_writes(spark: SparkSession, folder: str) -> DataFrame:
 
 def linked_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Current texts of the vector notes: every document, with all variants of a link section."""
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder, "documents")
     later = lambda n: (F.col("doc_id") + n).cast("string")
     variant = F.pmod("doc_id", F.lit(6))
     content = F.concat(
@@ -152,11 +157,11 @@ def neighbour_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def patches(spark: SparkSession, folder: str) -> DataFrame:
     """One patch per turn of the conversations, of all kinds; most notes get several."""
-    texts = linked_texts(spark, folder).withColumnRenamed("content", "current")
+    now = linked_texts(spark, folder).withColumnRenamed("content", "current")
     case = F.pmod("conv_id", F.lit(11))
     name = F.concat(F.lit("n"), F.col("conv_id").cast("string"), F.lit(".md"))
     path = F.when(case.isin(5, 8, 9, 10), F.concat(F.lit("new/"), name)).otherwise(name)
-    turns = table(spark, folder, "conversations").withColumn("path", path).join(texts, "path", "left")
+    turns = table(spark, folder, "conversations").withColumn("path", path).join(now, "path", "left")
     action = (
         F.when(case == 3, "APPEND")
         .when(case.isin(4, 5), "CREATE")
