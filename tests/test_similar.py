@@ -1,0 +1,167 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from notegraph.operators import similar
+from notegraph.operators.similar import drop_surplus_copies, knn_join, note_vectors, similar_to
+
+SCHEMA = "path string, chunk_index int, embedding array<float>"
+
+
+def brute(rows, k, level):
+    """Reference ranks in plain numpy over (path, chunk, vector)."""
+    usable = [(p, c, np.array(v, dtype=float)) for p, c, v in rows if v is not None and np.any(v)]
+    result = []
+    for path, chunk, vector in usable:
+        if chunk != 0:
+            continue
+        scores = [
+            (round(float(vector @ v / np.linalg.norm(vector) / np.linalg.norm(v)), 6), p, c) for p, c, v in usable if p != path
+        ]
+        if level == "note":
+            best = {}
+            for s, p, _ in scores:
+                best[p] = max(s, best.get(p, -9))
+            scores = [(s, p, 0) for p, s in best.items()]
+        scores.sort(key=lambda x: (-x[0], x[1], x[2]))
+        result += [(path, p, s, i + 1) if level == "note" else (path, p, c, s, i + 1) for i, (s, p, c) in enumerate(scores[:k])]
+    return sorted(result)
+
+
+def vectors(seed, notes, dim, copies=0.0):
+    """Notes of one to four chunks around a few centres; a share of the rows are copies of one vector."""
+    random = np.random.default_rng(seed)
+    centres = random.normal(size=(5, dim)) * 3
+    rows = []
+    for i in range(notes):
+        for chunk in range(random.integers(1, 5)):
+            vector = centres[random.integers(5)] + random.normal(size=dim)
+            if random.random() < copies:
+                vector = centres[0]
+            rows.append((f"n{i}.md", chunk, [float(np.float32(x)) for x in vector]))
+    return rows
+
+
+def found(result, level):
+    columns = ["path", "similar_path", "similarity", "rank"] if level == "note" else [
+        "path", "similar_path", "chunk_index", "similarity", "rank"
+    ]
+    return sorted(tuple(r) for r in result.select(*columns).collect())
+
+
+@pytest.mark.parametrize("level", ["chunk", "note"])
+@pytest.mark.parametrize("method, rows_per_block", [("blocked", None), ("blocked", 37), ("indexed", 20), ("indexed", None)])
+@pytest.mark.parametrize("copies", [0.0, 0.4])
+def test_equals_brute_force(spark, level, method, rows_per_block, copies):
+    rows = vectors(3, 90, 6, copies)
+    rows += [("zero.md", 0, [0.0] * 6), ("none.md", 0, None), ("short.md", 0, [1.0])]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    got = knn_join(note_vectors(notes), notes, 4, level, method, rows_per_block, pivots=7)
+    assert found(got, level) == brute([r for r in rows if r[0] != "short.md"], 4, level)
+
+
+def test_one_note_with_most_chunks(spark):
+    rows = [("big.md", i, [1.0, i / 500]) for i in range(500)] + [(f"s{i}.md", 0, [0.0 + i, 1.0]) for i in range(20)]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    for method in ("blocked", "indexed"):
+        for level in ("chunk", "note"):
+            got = knn_join(note_vectors(notes), notes, 3, level, method, 50, pivots=4)
+            assert found(got, level) == brute(rows, 3, level)
+
+
+def test_more_wanted_than_there_are(spark):
+    rows = [("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("b", 1, [1.0, 1.0])]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    for method in ("blocked", "indexed"):
+        assert found(knn_join(note_vectors(notes), notes, 9, "chunk", method, 1, 2), "chunk") == brute(rows, 9, "chunk")
+
+
+def test_empty_sides(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    some = spark.createDataFrame([("a", 0, [1.0, 0.0])], SCHEMA)
+    for method in ("auto", "indexed"):
+        assert knn_join(note_vectors(none), some, 3, method=method).count() == 0
+        assert knn_join(note_vectors(some), none, 3, method=method).count() == 0
+
+
+def test_surplus_copies_keep_what_can_matter(spark):
+    rows = [(f"n{i:03}", c, [1.0, 2.0]) for i in range(50) for c in range(5)] + [("x", 0, [2.0, 1.0])]
+    left = drop_surplus_copies(spark.createDataFrame(rows, SCHEMA), 2)
+    assert sorted((r.path, r.chunk_index) for r in left.collect()) == [
+        ("n000", 0), ("n000", 1), ("n001", 0), ("n001", 1), ("n002", 0), ("n002", 1), ("x", 0),
+    ]
+
+
+def test_similar_to_one_note(spark):
+    rows = vectors(8, 30, 5)
+    notes = spark.createDataFrame(rows + [("zero.md", 0, [0.0] * 5), ("none.md", 0, None)], SCHEMA)
+    expected = [r[1:4] for r in sorted((r for r in brute(rows, 5, "chunk") if r[0] == "n4.md"), key=lambda r: r[4])]
+    assert [tuple(r) for r in similar_to(notes, "n4.md", 5).collect()] == expected
+    for path in ("zero.md", "none.md", "missing.md"):
+        assert similar_to(notes, path).count() == 0
+
+
+def test_linking_fixture_ranks_by_cosine(spark):
+    notes = spark.createDataFrame(
+        [
+            ("test/note.md", 0, [0.1, 0.2, 0.3]),
+            ("test/similar_note1.md", 0, [0.11, 0.22, 0.33]),
+            ("test/similar_note2.md", 0, [0.1, 0.25, 0.35]),
+            ("test/unrelated_note.md", 0, [0.9, 0.8, 0.7]),
+        ],
+        SCHEMA,
+    )
+    got = similar_to(notes, "test/note.md").collect()
+    assert [r.similar_path.split("/")[1] for r in got] == ["similar_note1.md", "similar_note2.md", "unrelated_note.md"]
+    assert got[1].similarity > 0.99 and got[2].similarity < 0.95
+
+
+def test_plans_have_no_cross_join(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.createDataFrame(vectors(1, 40, 4), SCHEMA).write.parquet(path)
+    notes = spark.read.parquet(path)
+    for method in ("blocked", "indexed"):
+        plan = knn_join(note_vectors(notes), notes, 3, method=method)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "WindowGroupLimit" in plan  # partial top k before the last shuffle
+    plan = similar_to(notes, "n1.md")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Join" not in plan
+
+
+def test_far_cells_are_left_out(spark, monkeypatch):
+    """Well separated groups: only pairs of blocks within a group are compared."""
+    random = np.random.default_rng(1)
+    rows = []
+    for group in range(4):
+        centre = np.eye(4)[group] * 50
+        rows += [(f"g{group}n{i}", 0, [float(x) for x in centre + random.normal(size=4) * 0.01]) for i in range(60)]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    pairs = spark.sparkContext.accumulator(0)
+    original = similar._best
+
+    def counted(*args, **kwargs):
+        pairs.add(1)
+        return original(*args, **kwargs)
+
+    monkeypatch.setattr(similar, "_best", counted)
+    got = knn_join(note_vectors(notes), notes, 3, "chunk", "indexed", 1000, pivots=8).cache()
+    assert found(got, "chunk") == brute(rows, 3, "chunk")
+    assert 0 < pairs.value < 8 * 8
+
+
+def test_queries_from_another_table(spark):
+    rows = vectors(2, 30, 4)
+    corpus = spark.createDataFrame(rows, SCHEMA)
+    queries = spark.createDataFrame([("elsewhere", [1.0, 0.0, 0.0, 0.0])], "path string, embedding array<float>")
+    got = knn_join(queries, corpus, 3)
+    expected = [r for r in brute(rows + [("elsewhere", 0, [1.0, 0.0, 0.0, 0.0])], 3, "chunk") if r[0] == "elsewhere"]
+    assert found(got, "chunk") == expected
+
+
+def test_string_order_of_ties(spark):
+    rows = [(p, 0, [1.0, 1.0]) for p in ["a", "B", "é", "z", "a/1", "a.md"]]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    for method in ("blocked", "indexed"):
+        got = knn_join(note_vectors(notes), notes, 3, method=method, block_rows=2, pivots=2)
+        assert found(got, "chunk") == brute(rows, 3, "chunk")
+    assert notes.orderBy(F.col("path")).first().path == "B"
