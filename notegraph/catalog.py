@@ -118,7 +118,8 @@ def detect_changes_forced(spark, folder):
 
 
 def _new_chunks(spark, folder):
-    chunks = chunk_notes(_changes(spark, folder), 1000)
+    texts = corpus.changed_texts(s.disk_notes(spark, folder), _changes(spark, folder))
+    chunks = chunk_notes(texts, 1000)
     return hash_embed(chunks, s.DIMENSIONS).withColumn("last_embedded_at", F.lit(NOW).cast("timestamp"))
 
 

@@ -16,7 +16,10 @@ DIGITS = 6
 
 
 def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column as a matrix with rows of length one; rows without direction become zero."""
+    """A list column as a matrix with rows of length one.
+
+    Rows without a direction (all zero, or not finite) become zero; cosine is undefined for them.
+    """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     if len(vectors) == 0:
@@ -27,13 +30,8 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros(matrix.shape), where=usable)
 
 
-def has_direction(vector: Column, dim: int) -> Column:
-    """True for a vector of dim numbers that is not all zero (cosine is undefined for those)."""
-    return (F.size(vector) == dim) & F.exists(vector, lambda x: x != 0) & ~F.exists(vector, F.isnan)
-
-
 def cosine_to(vector: Sequence[float]) -> Callable[[Column], Column]:
-    """Arrow UDF: rounded cosine of each vector of a column with one given vector."""
+    """Arrow UDF: rounded cosine of each vector of a column with one given vector, NULL where undefined."""
     target = np.asarray(vector, dtype=np.float64)
     target = target / np.linalg.norm(target)
 
@@ -41,7 +39,8 @@ def cosine_to(vector: Sequence[float]) -> Callable[[Column], Column]:
     def cosine(vectors: pa.Array) -> pa.Array:
         if len(vectors) == 0:
             return pa.array([], pa.float64())
-        return pa.array(np.round(unit_rows(vectors) @ target, DIGITS))
+        units = unit_rows(vectors)
+        return pa.array(np.round(units @ target, DIGITS), mask=~units.any(axis=1))
 
     return cosine
 
@@ -53,9 +52,11 @@ def nearest_pivot(pivots: np.ndarray) -> Callable[[Column], Column]:
     def nearest(vectors: pa.Array) -> pa.Array:
         if len(vectors) == 0:
             return pa.StructArray.from_arrays([pa.array([], pa.int32()), pa.array([], pa.float64())], ["cell", "angle"])
-        cosines = unit_rows(vectors) @ pivots.T
+        units = unit_rows(vectors)
+        cosines = units @ pivots.T
         cell = cosines.argmax(axis=1).astype(np.int32)
         angle = np.arccos(np.clip(cosines[np.arange(len(cell)), cell], -1.0, 1.0))
+        angle[~units.any(axis=1)] = 0.0  # never compared, so they must not widen a cell
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], ["cell", "angle"])
 
     return nearest

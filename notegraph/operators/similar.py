@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.functions.vectors import DIGITS, cosine_to, has_direction, nearest_pivot, unit_rows
+from notegraph.functions.vectors import DIGITS, cosine_to, nearest_pivot, unit_rows
 from notegraph.operators.materialise import materialise
 
 BLOCK_BYTES = 64 << 20  # vectors of one side of a block pair
@@ -47,10 +47,11 @@ def similar_to(notes: DataFrame, path: str, k: int = 5) -> DataFrame:
     if not any(vector):
         scored = notes.where(F.lit(False)).withColumn("similarity", F.lit(None).cast("double"))
     else:
-        usable = (F.col("path") != path) & has_direction(F.col("embedding"), len(vector))
-        scored = notes.where(usable).withColumn("similarity", cosine_to(vector)(F.col("embedding")))
+        others = notes.where((F.col("path") != path) & (F.size("embedding") == len(vector)))
+        scored = others.withColumn("similarity", cosine_to(vector)(F.col("embedding")))
     return (
-        scored.select(F.col("path").alias("similar_path"), "chunk_index", "similarity")
+        scored.where(F.col("similarity").isNotNull())
+        .select(F.col("path").alias("similar_path"), "chunk_index", "similarity")
         .orderBy(F.col("similarity").desc(), "similar_path", "chunk_index")
         .limit(k)
     )
@@ -59,7 +60,11 @@ def similar_to(notes: DataFrame, path: str, k: int = 5) -> DataFrame:
 def _best(queries: pa.Table, corpus: pa.Table, k: int, by_note: bool, pad: bool) -> pa.Table:
     """The k best corpus rows (or notes) of each query row within one pair of blocks."""
     corpus = corpus.sort_by([("path", "ascending"), ("chunk_index", "ascending")])
-    vectors = unit_rows(corpus["embedding"])
+    vectors, query_vectors = unit_rows(corpus["embedding"]), unit_rows(queries["embedding"])
+    if not (usable := vectors.any(axis=1)).all():
+        corpus, vectors = corpus.filter(pa.array(usable)), vectors[usable]
+    if not (usable := query_vectors.any(axis=1)).all():
+        queries, query_vectors = queries.filter(pa.array(usable)), query_vectors[usable]
     paths = pa.chunked_array([*queries["path"].chunks, *corpus["path"].chunks], pa.string())
     codes = paths.combine_chunks().dictionary_encode().indices.to_numpy()
     query_codes, corpus_codes = codes[: len(queries)], codes[len(queries) :]
@@ -68,7 +73,6 @@ def _best(queries: pa.Table, corpus: pa.Table, k: int, by_note: bool, pad: bool)
         columns = np.flatnonzero(np.r_[True, corpus_codes[1:] != corpus_codes[:-1]]) if len(corpus) else columns
     width = len(columns)
     keep = min(k, width)
-    query_vectors = unit_rows(queries["embedding"])
     rows, picks, scores = [], [], []
     step = max(1, SLICE_SCORES // max(1, len(corpus)))
     for start in range(0, len(queries) if keep else 0, step):
@@ -158,22 +162,22 @@ def drop_surplus_copies(corpus: DataFrame, k: int) -> DataFrame:
     Equal vectors score equally for every query, and ties go to the first path and chunk. So of each
     vector only the first k chunks of the first k + 1 notes matter (one note may be the query's own).
     """
-    same_note = Window.partitionBy("copy_of", "path").orderBy("chunk_index")
-    same_vector = Window.partitionBy("copy_of").orderBy("path")
+    same_note = Window.partitionBy("embedding", "path").orderBy("chunk_index")
+    same_vector = Window.partitionBy("embedding").orderBy("path")
     return (
-        corpus.withColumn("copy_of", F.col("embedding"))
-        .withColumn("nth_chunk", F.row_number().over(same_note))
+        corpus.withColumn("nth_chunk", F.row_number().over(same_note))
         .where(F.col("nth_chunk") <= k)
         .withColumn("nth_note", F.dense_rank().over(same_vector))
         .where(F.col("nth_note") <= k + 1)
-        .drop("copy_of", "nth_chunk", "nth_note")
+        .drop("nth_chunk", "nth_note")
     )
 
 
 def _pivots(corpus: DataFrame, count: int) -> np.ndarray:
     """A fixed sample of at most MAX_PIVOTS vectors, small enough for the driver."""
     sample = corpus.orderBy(F.xxhash64("path", "chunk_index"), "path", "chunk_index").select("embedding").limit(count)
-    return unit_rows(sample.toArrow()["embedding"])
+    units = unit_rows(sample.toArrow()["embedding"])
+    return units[units.any(axis=1)] if len(units) else units
 
 
 def _cells(rows: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, dict[int, tuple[int, float]]]:
@@ -271,7 +275,7 @@ def knn_join(
     size = corpus.agg(F.count("embedding").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     n_queries = queries.count()
     dim = max(size.dim or 0, 1)
-    usable = has_direction(F.col("embedding"), dim)
+    usable = F.size("embedding") == dim
     # Aliases keep the two sides apart where both come from one table.
     queries = queries.where(usable).select(F.col("path").alias("path"), F.col("embedding").alias("embedding"))
     corpus = corpus.where(usable).select("path", F.col("chunk_index").cast("int"), "embedding")

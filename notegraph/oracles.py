@@ -350,8 +350,9 @@ _debounced("x_clean", "x_clean_input", HOUR)
 _relation("x_kinds", _kinds("x_events"))
 _debounced("x_kept", "x_kinds", HOUR)
 
-# What the streams have emitted when their input ends: the watermark is one minute behind it, and a
-# burst, or an event without a write near it, is only known once the watermark has passed.
+# What the streams have emitted when their input ends: the watermark is one minute behind the last
+# event (of the slower input, for a join), and a burst, or an event without a write near it, is only
+# known once the watermark has passed it.
 _ENDED = "us + {gap} <= (SELECT max(us) FROM {relation}) - 60000000"
 
 _PATCH = "patch_id, path, status, reason, before_mismatch"
@@ -437,7 +438,12 @@ def oracles() -> dict[str, str]:
         "coalesce_stream": f"""SELECT * FROM ({_bursts("x_events", f"us - before > {6 * HOUR}")})
             WHERE {_ENDED.format(gap=6 * HOUR, relation="x_events")}""",
     }
+    plain["suppress_stream"] = f"""SELECT * FROM ({_unsuppressed(HOUR)})
+        WHERE {_ENDED.format(gap=0, relation="x_events WHERE kind = 'moved'")}"""
     walked = {
+        "clean_stream": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler
+            FROM ({_bursts("x_kept", f"us - before > {3 * HOUR}")})
+            WHERE path LIKE '%.md' AND {_ENDED.format(gap=3 * HOUR, relation="x_kinds")}""",
         "debounce_events": f"SELECT {_EVENT} FROM x_debounced",
         "debounce_stream": f"SELECT {_EVENT} FROM x_debounced",
         "clean_events": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler

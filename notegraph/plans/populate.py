@@ -10,35 +10,39 @@ from pyspark.sql import types as T
 
 from notegraph.operators.chunk import chunk_notes
 from notegraph.operators.corpus import (
+    changed_texts,
     detect_changes,
     note_blocks,
     note_metadata,
-    prune,
     pruned_paths,
+    remove_notes,
     stale_chunks,
     upsert_notes,
 )
 from notegraph.operators.embed import Embedder, embed_chunks, hash_embed
 from notegraph.operators.materialise import materialise
 from notegraph.operators.patches import append_log, error_log
+from notegraph.operators.sized import BROADCAST_ROWS, if_small, is_small
 from notegraph.schema import CHUNK_KEY, NOTES_SCHEMA, Settings
 from notegraph.sources.table import load_notes, save_notes, touched_buckets
 
 
 @dataclass(frozen=True)
 class Populated:
+    """The new notes table, the change set and the chunks whose embedding failed."""
+
     notes: DataFrame
     changes: DataFrame
     failed: DataFrame
 
 
-def embed_changes(changes: DataFrame, settings: Settings, embedder: Embedder | None, now) -> DataFrame:
+def embed_changes(texts: DataFrame, settings: Settings, embedder: Embedder | None, now) -> DataFrame:
     """Chunks of changed notes with vectors, written out once: they are dear and used twice.
 
     Chunks are put in place by key before they get their vectors, which spreads the model calls
     evenly and moves the rows while they are still small.
     """
-    chunks = chunk_notes(changes, settings.chunk_size).repartition(*CHUNK_KEY)
+    chunks = chunk_notes(texts, settings.chunk_size).repartition(*CHUNK_KEY)
     if embedder is None:
         embedded = hash_embed(chunks, settings.dimensions).withColumn("error", F.lit(None).cast("string"))
     else:
@@ -46,19 +50,41 @@ def embed_changes(changes: DataFrame, settings: Settings, embedder: Embedder | N
     return materialise(embedded.withColumn("last_embedded_at", F.lit(now).cast(T.TimestampType())))
 
 
-def _notes_on_disk(disk: DataFrame, settings: Settings) -> DataFrame:
+@dataclass(frozen=True)
+class _Work:
+    """What a run has to do: changed notes and notes that are gone, both written out."""
+
+    changes: DataFrame
+    gone: DataFrame
+
+
+def _find_work(disk: DataFrame, notes: DataFrame, settings: Settings) -> _Work:
+    metadata = note_metadata(notes)
     # A note that became empty has no chunks left; its old ones go when stale chunks go.
-    return disk.where(F.length("content") > 0) if settings.replace_stale else disk
+    present = disk.where(F.length("content") > 0) if settings.replace_stale else disk
+    return _Work(
+        materialise(detect_changes(disk, metadata, settings.force_reembed_all)),
+        materialise(pruned_paths(metadata, present)),
+    )
+
+
+def _do_work(
+    work: _Work, disk: DataFrame, notes: DataFrame, settings: Settings, now, embedder: Embedder | None
+) -> Populated:
+    new = embed_changes(changed_texts(disk, if_small(work.changes)), settings, embedder, now)
+    stale = stale_chunks(work.changes, settings.chunk_size) if settings.replace_stale else None
+    keys = new.count() + (stale.count() if stale is not None else 0)
+    kept = remove_notes(notes, work.gone, few=is_small(work.gone))
+    return Populated(
+        upsert_notes(kept, new, stale, few=keys <= BROADCAST_ROWS),
+        work.changes,
+        new.where(F.col("error").isNotNull()),
+    )
 
 
 def populate(disk: DataFrame, notes: DataFrame, settings: Settings, now, embedder: Embedder | None = None) -> Populated:
     """Detect, chunk, embed, upsert and prune; `notes` are all current rows."""
-    metadata = note_metadata(notes)
-    changes = detect_changes(disk, metadata, settings.force_reembed_all)
-    new = embed_changes(changes, settings, embedder, now)
-    kept = prune(notes, _notes_on_disk(disk, settings), metadata)
-    stale = stale_chunks(changes, settings.chunk_size) if settings.replace_stale else None
-    return Populated(upsert_notes(kept, new, stale), changes, new.where(F.col("error").isNotNull()))
+    return _do_work(_find_work(disk, notes, settings), disk, notes, settings, now, embedder)
 
 
 def populate_table(
@@ -72,20 +98,15 @@ def populate_table(
 ) -> DataFrame:
     """populate() on the stored table, reading and writing only the buckets that change.
 
-    What changed is found from four narrow columns. Returns the change set (path, reason).
+    What changed is found from four narrow columns. Returns the change set.
     """
-    present = _notes_on_disk(disk, settings)
-    metadata = note_metadata(load_notes(spark, root))
-    changes = materialise(detect_changes(disk, metadata, settings.force_reembed_all))
-    gone = pruned_paths(metadata, present)
-    last_new = F.ceil(F.length("content") / F.lit(settings.chunk_size)).cast("int") - 1
-    changed = changes.select("path", F.greatest("last_chunk", last_new).alias("last_chunk"))
-    only = touched_buckets(spark, root, note_blocks(changed.unionByName(gone)))
-
-    current = load_notes(spark, root, only)
-    new = embed_changes(changes, settings, embedder, now)
-    stale = stale_chunks(changes, settings.chunk_size) if settings.replace_stale else None
-    save_notes(upsert_notes(prune(current, present), new, stale).select(*NOTES_SCHEMA.fieldNames()), root, only)
+    work = _find_work(disk, load_notes(spark, root), settings)
+    last_new = F.ceil(F.col("n_chars") / F.lit(settings.chunk_size)).cast("int") - 1
+    changed = work.changes.select("path", F.greatest("last_chunk", last_new).alias("last_chunk"))
+    only = touched_buckets(spark, root, note_blocks(changed.unionByName(work.gone)))
+
+    done = _do_work(work, disk, load_notes(spark, root, only), settings, now, embedder)
+    save_notes(done.notes.select(*NOTES_SCHEMA.fieldNames()), root, only)
     if log_folder is not None:
-        append_log(error_log(new, now), log_folder)
-    return changes.select("path", "reason")
+        append_log(error_log(done.failed, now), log_folder)
+    return work.changes
