@@ -213,11 +213,11 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_groups(frames):
-            steps = _Steps(frame, window)
-            before = frame["before_us"].to_numpy(dtype="float64")[steps.starts]
-            known = ~np.isnan(before)
+            marked = frame["before_us"].to_numpy(dtype="float64")[_Steps(frame, window).starts]
+            frame = frame[frame["before_us"].isna()].reset_index(drop=True)
+            steps, known = _Steps(frame, window), ~np.isnan(marked)
             # Whole microseconds as integers; NaN only marks groups that start freely.
-            wait = np.where(known, before, 0).astype(np.int64) + window - steps.us[steps.starts]
+            wait = np.where(known, marked, 0).astype(np.int64) + window - steps.us[steps.starts]
             wait = np.clip(np.where(known, wait, 0), 0, steps.span - 1)
             entry = np.searchsorted(steps.axis, np.arange(len(steps.starts)) * steps.span + wait, side="left")
             entry = np.where(entry < steps.ends, entry, steps.count)
@@ -246,8 +246,11 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
         .groupBy("path", "chain")
         .applyInPandas(chain, "path string, bucket long, before_us long")
     )
-    before = known.unionByName(chained)
-    kept = sort_for(timed.join(before, key, "left")).mapInPandas(pick, schema)
+    # The last kept event before a bucket travels as a first row of the bucket. (A join on the same
+    # keys would let Spark drop the repartitioning below and then read its own shuffle in pieces.)
+    marks = known.unionByName(chained).withColumn("us", F.col("bucket") * width - 1)
+    marked = timed.unionByName(marks, allowMissingColumns=True)
+    kept = sort_for(marked).mapInPandas(pick, schema)
     return kept.withColumn("ts", F.timestamp_micros("us")).select(*events.columns)
 
 

@@ -178,3 +178,29 @@ def test_no_plan_pairs_events(spark):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_debounce_holds_when_joins_change_at_run_time(spark):
+    """Enough rows and partitions for adaptive execution to re-plan; a third of them on one path."""
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        path = F.when(F.rand(1) < 0.34, "hot.md").otherwise(F.concat(F.lit("p"), (F.rand(2) * 1500).cast("int")))
+        rows = spark.range(300_000).select(
+            F.col("id").alias("event_id"), path.alias("path"), F.lit("modified").alias("kind"),
+            F.timestamp_micros((F.rand(3) * 9_000 * 1e6).cast("long")).alias("ts"),
+        ).cache()
+        rows.count()
+        items = [(r.path, r.us) for r in rows.select("path", F.unix_micros("ts").alias("us")).collect()]
+        expected, last = 0, {}
+        for path, us in sorted(items):
+            if path not in last or us - last[path] >= 1_500_000:
+                expected, last[path] = expected + 1, us
+        for steps in (4, 64, 1024):
+            kept = ev.debounce_events(rows, 1.5, steps)
+            assert kept.count() == expected
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
