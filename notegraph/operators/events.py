@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,40 +95,48 @@ def suppress_self_writes(events: DataFrame, writes: DataFrame, seconds: float =
 # ---------------------------------------------------------------- debounce
 
 
-def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _changes_at(path: pa.Array, bucket: pa.Array) -> np.ndarray:
+    """For each row but the first: does it start another (path, bucket)?"""
+    edges = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(bucket[1:], bucket[:-1]))
+    return edges.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Regroup the batches of a partition sorted by (path, bucket) so that no group is cut."""
-    parts: list[pd.DataFrame] = []
-    for frame in frames:
-        if frame.empty:
+    parts: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, row: int) -> tuple:
+        return batch["path"][row].as_py(), batch["bucket"][row].as_py()
+
+    for batch in batches:
+        if batch.num_rows == 0:
             continue
-        path, bucket = frame["path"].to_numpy(), frame["bucket"].to_numpy()
-        other = np.flatnonzero((path != path[-1]) | (bucket != bucket[-1]))
-        start = int(other[-1]) + 1 if len(other) else 0
-        if start == 0 and parts:
-            last = parts[-1].iloc[-1]
-            if last["path"] != path[0] or last["bucket"] != bucket[0]:
-                yield pd.concat(parts, ignore_index=True)
-                parts = []
-        elif start:
-            yield pd.concat([*parts, frame.iloc[:start]], ignore_index=True)
+        edges = np.flatnonzero(_changes_at(batch["path"], batch["bucket"]))
+        start = int(edges[-1]) + 1 if len(edges) else 0
+        if start:
+            yield pa.Table.from_batches([*parts, batch.slice(0, start)]).combine_chunks()
+            parts = []
+        elif parts and key(parts[-1], 0) != key(batch, 0):
+            yield pa.Table.from_batches(parts).combine_chunks()
             parts = []
-        parts.append(frame.iloc[start:])
+        parts.append(batch.slice(start))
     if parts:
-        yield pd.concat(parts, ignore_index=True)
+        yield pa.Table.from_batches(parts).combine_chunks()
 
 
 class _Steps:
-    """For each event of a frame sorted by (path, bucket, time): its group and its successor.
+    """For each event of rows sorted by (path, bucket, time): its group and its successor.
 
     The successor of an accepted event is the first event of its group at least one window later;
     all successors are found by one binary search over (group, time) on a common axis. `count` marks
     "none".
     """
 
-    def __init__(self, frame: pd.DataFrame, window: int):
-        path, bucket, self.us = (frame[c].to_numpy() for c in ("path", "bucket", "us"))
-        self.count = len(frame)
-        first = np.r_[True, (path[1:] != path[:-1]) | (bucket[1:] != bucket[:-1])]
+    def __init__(self, rows: pa.Table, window: int):
+        path, bucket = (rows[c].combine_chunks() for c in ("path", "bucket"))
+        self.us = rows["us"].to_numpy()
+        self.count = len(rows)
+        first = np.r_[True, _changes_at(path, bucket)]
         self.group = np.cumsum(first) - 1
         self.starts = np.flatnonzero(first)
         self.ends = np.r_[self.starts[1:], self.count]
@@ -179,24 +189,23 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
     def sort_for(rows: DataFrame) -> DataFrame:
         return rows.repartition(*key).sortWithinPartitions(*key, "us", "event_id")
 
-    def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_groups(frames):
-            steps = _Steps(frame, window)
-            bucket = frame["bucket"].to_numpy()
-            late = steps.us >= bucket * width + window
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            steps = _Steps(rows, window)
+            late = steps.us >= rows["bucket"].to_numpy() * width + window
             first_late = late & np.r_[True, ~late[:-1] | (steps.group[1:] != steps.group[:-1])]
             entry = np.flatnonzero(~late | first_late)
             end, group = steps.last_accepted()[entry], steps.group[entry]
             kept = np.r_[(end[1:] != end[:-1]) | (group[1:] != group[:-1]), True]
-            cuts = np.searchsorted(group[kept], np.arange(1, len(steps.starts)))
-            yield pd.DataFrame(
+            ends = np.searchsorted(group[kept], np.arange(len(steps.starts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
                 {
-                    "path": frame["path"].to_numpy()[steps.starts],
-                    "bucket": bucket[steps.starts],
+                    "path": rows["path"].combine_chunks().take(pa.array(steps.starts)),
+                    "bucket": rows["bucket"].combine_chunks().take(pa.array(steps.starts)),
                     "first_us": steps.us[steps.starts],
                     "last_us": steps.us[steps.ends - 1],
-                    "entries": np.split(steps.us[entry[kept]], cuts),
-                    "exits": np.split(steps.us[end[kept]], cuts),
+                    "entries": pa.ListArray.from_arrays(ends, steps.us[entry[kept]]),
+                    "exits": pa.ListArray.from_arrays(ends, steps.us[end[kept]]),
                 }
             )
 
@@ -211,19 +220,19 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
                 last = int(exits[position])
         return pd.DataFrame({"path": frame["path"], "bucket": frame["bucket"], "before_us": before}).iloc[1:]
 
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_groups(frames):
-            marked = frame["before_us"].to_numpy(dtype="float64")[_Steps(frame, window).starts]
-            frame = frame[frame["before_us"].isna()].reset_index(drop=True)
-            steps, known = _Steps(frame, window), ~np.isnan(marked)
-            # Whole microseconds as integers; NaN only marks groups that start freely.
-            wait = np.where(known, marked, 0).astype(np.int64) + window - steps.us[steps.starts]
-            wait = np.clip(np.where(known, wait, 0), 0, steps.span - 1)
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            marked = rows["before_us"].combine_chunks().take(pa.array(_Steps(rows, window).starts))
+            rows = rows.filter(pc.is_null(rows["before_us"]))
+            steps, known = _Steps(rows, window), pc.is_valid(marked).to_numpy(zero_copy_only=False)
+            before = pc.fill_null(marked, 0).to_numpy(zero_copy_only=False)
+            wait = np.where(known, before + window - steps.us[steps.starts], 0)
+            wait = np.clip(wait, 0, steps.span - 1)
             entry = np.searchsorted(steps.axis, np.arange(len(steps.starts)) * steps.span + wait, side="left")
             entry = np.where(entry < steps.ends, entry, steps.count)
-            yield frame.loc[steps.accepted_from(entry), columns]
+            yield from rows.select(columns).filter(pa.array(steps.accepted_from(entry))).to_batches()
 
-    summary = sort_for(timed.select(*key, "us", "event_id")).mapInPandas(
+    summary = sort_for(timed.select(*key, "us", "event_id")).mapInArrow(
         summarise,
         "path string, bucket long, first_us long, last_us long, entries array<long>, exits array<long>",
     )
@@ -250,7 +259,7 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
     # keys would let Spark drop the repartitioning below and then read its own shuffle in pieces.)
     marks = known.unionByName(chained).withColumn("us", F.col("bucket") * width - 1)
     marked = timed.unionByName(marks, allowMissingColumns=True)
-    kept = sort_for(marked).mapInPandas(pick, schema)
+    kept = sort_for(marked).mapInArrow(pick, schema)
     return kept.withColumn("ts", F.timestamp_micros("us")).select(*events.columns)
 
 

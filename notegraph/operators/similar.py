@@ -287,7 +287,7 @@ def knn_join(
     q_parts = max(1, math.ceil(n_queries / block_rows))
     c_parts = max(1, math.ceil(size.n / block_rows))
     if method == "indexed" or (method == "auto" and n_queries * size.n > INDEX_SCORES):
-        pivots = pivots or min(MAX_PIVOTS, c_parts * 4)
+        pivots = pivots or c_parts  # about one block per cell, so never more pairs than "blocked" has
         result = _knn_indexed(queries, corpus, k, by_note, block_rows, min(pivots, MAX_PIVOTS))
     else:
         result = _knn_blocked(queries, corpus, k, by_note, q_parts, c_parts)
