@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     because no machine-local folder outlives an executor.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")

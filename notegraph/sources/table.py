@@ -1,36 +1,38 @@
 """The stored notes table: append-only folders and a small table that says which ones are current.
 
-Rows are partitioned by a hash of (path, block of chunks). A save writes new folders for the buckets
-it touches only, then appends their numbers to `versions`; that append is what makes them current. A
+Rows are partitioned by a hash of (path, block of chunks). A save writes the buckets it touches to a
+folder of its own, then appends their numbers to `versions`; that append is what makes them current. A
 save that fails on the way leaves the table as it was, and readers of the old folders go on.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from notegraph.operators.corpus import chunk_block
 from notegraph.schema import CHUNK_KEY, NOTES_SCHEMA, SCHEMA_VERSION
 
 BUCKETS = 256
-_VERSIONS = "schema_version int, generation int, bucket int, buckets int"
+_VERSIONS = "schema_version int, generation int, save string, bucket int, buckets int, filled boolean"
 
 
 def _bucket(buckets: int, block: Column) -> Column:
     return F.pmod(F.xxhash64("path", block), F.lit(buckets)).cast("int")
 
 
-def _current(spark: SparkSession, root: str, version: int) -> tuple[int, dict[int, int]]:
-    """(number of buckets, bucket -> generation): at most one short record per bucket."""
+def _current(spark: SparkSession, root: str, version: int) -> tuple[int, dict[int, Row]]:
+    """(number of buckets, bucket -> its latest save): one short record per bucket."""
     try:
         versions = spark.read.schema(_VERSIONS).parquet(f"{root}/versions").where(F.col("schema_version") >= version)
-        rows = versions.groupBy("bucket", "buckets").agg(F.max("generation").alias("generation")).collect()
+        latest = F.max(F.struct("generation", "save", "filled")).alias("latest")
+        rows = versions.groupBy("bucket", "buckets").agg(latest).collect()
     except AnalysisException:  # nothing saved yet
         rows = []
-    return (rows[0].buckets if rows else 0), {r.bucket: r.generation for r in rows}
+    return (rows[0].buckets if rows else 0), {r.bucket: r.latest for r in rows}
 
 
 def load_notes(
@@ -38,18 +40,17 @@ def load_notes(
 ) -> DataFrame:
     """The current rows, or an empty table when none were saved under this schema version or a later one.
 
-    `only` limits the read to some buckets; both it and the choice of folders prune partitions.
+    Only the current folders are listed; `only` limits the read to some buckets.
     """
     _, current = _current(spark, root, version)
-    folders = [g * 1_000_000 + b for b, g in current.items() if only is None or b in set(only)]
+    folders = [
+        f"{root}/notes/{latest.save}/bucket={bucket}"
+        for bucket, latest in sorted(current.items())
+        if latest.filled and (only is None or bucket in only)
+    ]
     if not folders:
         return spark.createDataFrame([], NOTES_SCHEMA)
-    schema = T.StructType(
-        NOTES_SCHEMA.fields + [T.StructField("generation", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
-    )
-    stored = spark.read.schema(schema).parquet(f"{root}/notes")
-    chosen = F.col("generation").cast("long") * 1_000_000 + F.col("bucket")
-    return stored.where(chosen.isin(folders)).select(*NOTES_SCHEMA.fieldNames())
+    return spark.read.schema(NOTES_SCHEMA).parquet(*folders)
 
 
 def touched_buckets(spark: SparkSession, root: str, blocks: DataFrame) -> list[int] | None:
@@ -68,15 +69,19 @@ def save_notes(notes: DataFrame, root: str, only: list[int] | None = None, bucke
     known, current = _current(spark, root, SCHEMA_VERSION)
     buckets = known or buckets
     written = list(range(buckets)) if only is None else only
-    generation = max(current.values(), default=0) + 1
-    rows = (
-        notes.withColumn("bucket", _bucket(buckets, chunk_block(F.col("chunk_index"))))
-        .where(F.col("bucket").isin(written))
-        .withColumn("generation", F.lit(generation))
+    generation = max((latest.generation for latest in current.values()), default=0) + 1
+    save = uuid.uuid4().hex
+    rows = notes.withColumn("bucket", _bucket(buckets, chunk_block(F.col("chunk_index")))).where(
+        F.col("bucket").isin(written)
     )
     # Rebalancing lets Spark split large buckets over tasks and put small ones together. In order of
     # path, the columns that change detection reads shrink to little, and paths can be skipped to.
-    rows = rows.hint("rebalance", "generation", "bucket").sortWithinPartitions("generation", "bucket", *CHUNK_KEY)
-    rows.write.mode("append").partitionBy("generation", "bucket").parquet(f"{root}/notes")
-    marks = [(SCHEMA_VERSION, generation, b, buckets) for b in written]
+    rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *CHUNK_KEY)
+    rows.write.partitionBy("bucket").parquet(f"{root}/notes/{save}")
+    try:
+        saved = spark.read.parquet(f"{root}/notes/{save}")
+        filled = {r.bucket for r in saved.select("bucket").distinct().collect()}
+    except AnalysisException:  # no row was left
+        filled = set()
+    marks = [(SCHEMA_VERSION, generation, save, b, buckets, b in filled) for b in written]
     spark.createDataFrame(marks, _VERSIONS).coalesce(1).write.mode("append").parquet(f"{root}/versions")

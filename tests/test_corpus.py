@@ -145,11 +145,11 @@ def test_populate_table_rewrites_touched_buckets_only(spark, tmp_path):
     notes = {f"n{i}.md": f"note number {i}" for i in range(200)}
     populate_table(spark, disk(spark, notes), root, SETTINGS, T0)
     assert rows(load_notes(spark, root)) == rows(chunk_notes(disk(spark, notes), 10))
-    folders = lambda: {p.name for p in (tmp_path / "notes" / "notes").glob("generation=*")}
-    assert folders() == {"generation=1"}
+    saves = lambda: sorted((tmp_path / "notes" / "notes").iterdir(), key=lambda p: p.stat().st_mtime)
+    assert len(saves()) == 1
 
     assert populate_table(spark, disk(spark, notes), root, SETTINGS, LATER).count() == 0
-    assert folders() == {"generation=1"}
+    assert len(saves()) == 1
 
     del notes["n7.md"]
     notes["n8.md"] = "changed"
@@ -158,8 +158,7 @@ def test_populate_table_rewrites_touched_buckets_only(spark, tmp_path):
     changes = populate_table(spark, disk(spark, notes), root, SETTINGS, LATER, log_folder=log)
     assert {r.path for r in changes.collect()} == {"n8.md", "new.md"}
     assert rows(load_notes(spark, root)) == rows(chunk_notes(disk(spark, notes), 10))
-    second = list((tmp_path / "notes" / "notes" / "generation=2").glob("bucket=*"))
-    assert 1 <= len(second) <= 3
+    assert len(saves()) == 2 and 1 <= len(list(saves()[1].glob("bucket=*"))) <= 3
 
 
 def test_an_unfinished_save_changes_nothing(spark, tmp_path):
@@ -167,9 +166,12 @@ def test_an_unfinished_save_changes_nothing(spark, tmp_path):
     notes = {f"n{i}.md": "text" for i in range(20)}
     populate_table(spark, disk(spark, notes), root, SETTINGS, T0)
     before = rows(load_notes(spark, root))
-    stray = load_notes(spark, root).withColumn("generation", F.lit(9)).withColumn("bucket", F.lit(1))
-    stray.write.mode("append").partitionBy("generation", "bucket").parquet(f"{root}/notes")
+    stray = load_notes(spark, root).withColumn("bucket", F.lit(1))
+    stray.write.partitionBy("bucket").parquet(f"{root}/notes/unfinished")
     assert rows(load_notes(spark, root)) == before
+    notes["new.md"] = "more"
+    populate_table(spark, disk(spark, notes), root, SETTINGS, LATER)
+    assert rows(load_notes(spark, root)) == sorted([*before, ("new.md", 0, "more")])
 
 
 def test_older_schema_versions_are_rebuilt(spark, tmp_path):
@@ -225,3 +227,11 @@ def test_stored_rows_are_not_shuffled_for_a_small_change(spark, tmp_path):
     new = notes.limit(3).withColumn("raw_content", F.lit("new"))
     plan = corpus.upsert_notes(notes, new)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_table_can_become_empty_and_full_again(spark, tmp_path):
+    root = str(tmp_path / "notes")
+    for notes in ({"a.md": "x", "b.md": "y"}, {}, {"c.md": "z"}):
+        shown = disk(spark, notes) if notes else disk(spark, {"a.md": "x"}).limit(0)
+        populate_table(spark, shown, root, SETTINGS, T0)
+        assert [r[0] for r in rows(load_notes(spark, root))] == sorted(notes)
