@@ -186,8 +186,8 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
     columns, schema = timed.columns, timed.schema
     timed = timed.withColumn("bucket", _bucket(width))
 
-    def sort_for(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*key).sortWithinPartitions(*key, "us", "event_id")
+    def in_order(rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartition(*key).sortWithinPartitions(*key, *order)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches):
@@ -232,7 +232,7 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
             entry = np.where(entry < steps.ends, entry, steps.count)
             yield from rows.select(columns).filter(pa.array(steps.accepted_from(entry))).to_batches()
 
-    summary = sort_for(timed.select(*key, "us", "event_id")).mapInArrow(
+    summary = in_order(timed.select(*key, "us"), "us").mapInArrow(
         summarise,
         "path string, bucket long, first_us long, last_us long, entries array<long>, exits array<long>",
     )
@@ -259,7 +259,7 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
     # keys would let Spark drop the repartitioning below and then read its own shuffle in pieces.)
     marks = known.unionByName(chained).withColumn("us", F.col("bucket") * width - 1)
     marked = timed.unionByName(marks, allowMissingColumns=True)
-    kept = sort_for(marked).mapInArrow(pick, schema)
+    kept = in_order(marked, "us", "event_id").mapInArrow(pick, schema)
     return kept.withColumn("ts", F.timestamp_micros("us")).select(*events.columns)
 
 

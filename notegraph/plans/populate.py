@@ -108,5 +108,5 @@ def populate_table(
     done = _do_work(work, disk, load_notes(spark, root, only), settings, now, embedder)
     save_notes(done.notes.select(*NOTES_SCHEMA.fieldNames()), root, only)
     if log_folder is not None:
-        append_log(error_log(done.failed, now), log_folder)
+        append_log(error_log(done.failed, "EMBED", now), log_folder)
     return work.changes
