@@ -1,6 +1,6 @@
 """The registered queries: every operator over the whole of its test tables.
 
-Times leave as microseconds and texts as digests, so that results compare by value.
+Times leave as microseconds (-1 for none) and texts as digests, so that results compare by value.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _us(column: str, name: str) -> Column:
-    return F.unix_micros(column).alias(name)
+    return F.coalesce(F.unix_micros(column), F.lit(-1)).alias(name)
 
 
 def _digest(column: str, name: str) -> Column:
@@ -343,11 +343,19 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _run(stream: DataFrame) -> DataFrame:
-    """Run a stream over what there is now and give its output as a table."""
+    """Run a stream over what there is now and give its output as a table.
+
+    A stream keeps one state store per shuffle partition, so it gets no more of them than cores.
+    """
     spark = stream.sparkSession
     target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{target}/state")
-    writer.outputMode("append").trigger(availableNow=True).start(f"{target}/rows").awaitTermination()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), spark.sparkContext.defaultParallelism))
+    try:
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{target}/state")
+        writer.outputMode("append").trigger(availableNow=True).start(f"{target}/rows").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema(stream.schema).parquet(f"{target}/rows")
 
 

@@ -264,7 +264,7 @@ def knn_join(
 
     A note never matches itself. level="chunk" ranks chunks, so one note may take several places;
     level="note" ranks notes by their best chunk. Vectors that are NULL, zero or of another length
-    are left out. Columns: path, similar_path, [chunk_index,] similarity, rank.
+    than most are left out. Columns: path, similar_path, [chunk_index,] similarity, rank.
 
     method: "blocked" compares all pairs of blocks, "indexed" leaves out those that cannot matter,
     "auto" picks by the size of the inputs.
@@ -272,21 +272,22 @@ def knn_join(
     if level not in ("chunk", "note") or method not in ("auto", "blocked", "indexed"):
         raise ValueError(f"unknown level {level!r} or method {method!r}")
     by_note = level == "note"
-    size = corpus.agg(F.count("embedding").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    lengths = corpus.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("dim"))
+    usual = lengths.agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("dim").desc()).first()
+    dim, n_corpus = (usual.dim, usual.n) if usual else (1, 0)
     n_queries = queries.count()
-    dim = max(size.dim or 0, 1)
     usable = F.size("embedding") == dim
     # Aliases keep the two sides apart where both come from one table.
     queries = queries.where(usable).select(F.col("path").alias("path"), F.col("embedding").alias("embedding"))
     corpus = corpus.where(usable).select("path", F.col("chunk_index").cast("int"), "embedding")
 
     if block_rows is None:
-        most = max(1, BLOCK_BYTES // (8 * dim))
-        pairs = min(max(1.0, n_queries * size.n / PAIR_SCORES), MOST_PAIRS)
-        block_rows = min(most, math.ceil(max(n_queries, size.n, 1) / math.sqrt(pairs)))
+        most = max(1, BLOCK_BYTES // (8 * max(dim, 1)))
+        pairs = min(max(1.0, n_queries * n_corpus / PAIR_SCORES), MOST_PAIRS)
+        block_rows = min(most, math.ceil(max(n_queries, n_corpus, 1) / math.sqrt(pairs)))
     q_parts = max(1, math.ceil(n_queries / block_rows))
-    c_parts = max(1, math.ceil(size.n / block_rows))
-    if method == "indexed" or (method == "auto" and n_queries * size.n > INDEX_SCORES):
+    c_parts = max(1, math.ceil(n_corpus / block_rows))
+    if method == "indexed" or (method == "auto" and n_queries * n_corpus > INDEX_SCORES):
         pivots = pivots or c_parts  # about one block per cell, so never more pairs than "blocked" has
         result = _knn_indexed(queries, corpus, k, by_note, block_rows, min(pivots, MAX_PIVOTS))
     else:

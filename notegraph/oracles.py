@@ -10,6 +10,8 @@ from notegraph.operators.links import DECISION_AGENT, PATCH_AGENT
 HOUR = 3_600_000_000
 _START = "epoch_us(TIMESTAMP '2024-01-01')"
 _NOW = f"epoch_us(TIMESTAMP '{NOW}')"
+# No time is -1 in results.
+_TIMES = "coalesce(embedded_us, -1) AS embedded_us, coalesce(backlinked_us, -1) AS backlinked_us"
 _CHUNK = "path, chunk_index, chunk_start, chunk_end, content_hash, modified_us, embedded_us, backlinked_us, chunk_hash"
 _THROUGH = r"'(?si)\A(?:.*?\n)??## Backlinks\n'"
 
@@ -24,7 +26,8 @@ def _chunks(source: str, columns: str) -> str:
 
 
 def _rows(relation: str) -> str:
-    return f"SELECT {_CHUNK} FROM {relation}"
+    """Chunk rows as results."""
+    return f"SELECT * REPLACE ({_TIMES}) FROM (SELECT {_CHUNK} FROM {relation})"
 
 
 def _strip(text: str) -> str:
@@ -168,14 +171,14 @@ def _upserted(replace_stale: bool, only_disk: bool) -> str:
     stale = """AND NOT EXISTS (SELECT 1 FROM x_changes c WHERE c.path = s.path
             AND s.chunk_index >= (length(c.content) + 999) // 1000)"""
     present = "AND s.path IN (SELECT path FROM x_disk WHERE length(content) > 0)"
-    return f"""
+    return f"""SELECT * REPLACE ({_TIMES}) FROM (
     SELECT n.path, n.chunk_index, n.chunk_start, n.chunk_end, n.content_hash, n.modified_us, {_NOW} AS embedded_us,
         s.backlinked_us, n.chunk_hash
     FROM x_new n LEFT JOIN x_stored s ON s.path = n.path AND s.chunk_index = n.chunk_index
     UNION ALL
     SELECT {_CHUNK} FROM x_stored s
     WHERE NOT EXISTS (SELECT 1 FROM x_new n WHERE n.path = s.path AND n.chunk_index = s.chunk_index)
-    {stale if replace_stale else ''} {present if only_disk else ''}"""
+    {stale if replace_stale else ''} {present if only_disk else ''})"""
 
 
 _relation(
@@ -377,7 +380,7 @@ def oracles() -> dict[str, str]:
         "hash_embed": "SELECT path, chunk_index, bucket, round(weight, 6) AS weight FROM x_weights",
         "embedding_check": """SELECT count(*) AS total_rows, count(*) FILTER (label = 3) AS missing,
             count(*) FILTER (label = 4) AS wrong_length, count(*) FILTER (label NOT IN (3, 4)) AS valid FROM embeddings""",
-        "note_metadata": "SELECT * FROM x_meta",
+        "note_metadata": "SELECT * REPLACE (coalesce(embedded_us, -1) AS embedded_us) FROM x_meta",
         "detect_changes": "SELECT path, reason FROM x_changes",
         "detect_changes_forced": f"SELECT path, reason FROM ({_changes(True)})",
         "upsert_notes": _upserted(True, False),
@@ -425,7 +428,7 @@ def oracles() -> dict[str, str]:
             status, reason, count(*) AS n, count(*) FILTER (before_mismatch) AS n_mismatch FROM x_resolved GROUP BY 1, 2, 3""",
         "suggest_links": _built("x_match_links", "full"),
         "link_notes": f"""SELECT path, chunk_index, CASE WHEN path IN (SELECT path FROM ({_built('x_match_links', 'full')}))
-            THEN {_NOW} END AS backlinked_us FROM x_vectors""",
+            THEN {_NOW} ELSE -1 END AS backlinked_us FROM x_vectors""",
         "event_kinds": _kinds("x_events"),
         "route_events": "SELECT event_id, path, 'backlinker' AS handler FROM x_events WHERE regexp_matches(path, '(?i)\\.md$')",
         "suppress_self_writes": _unsuppressed(HOUR),
