@@ -19,9 +19,10 @@ from notegraph.operators.chunk import chunk_notes
 from notegraph.operators.embed import hash_embed
 from notegraph.operators.materialise import materialise, shared_folder
 from notegraph.plans.link import link_notes, suggest_links
-from notegraph.plans.populate import populate
+from notegraph.plans.populate import populate, populate_table
 from notegraph.schema import CHUNK_KEY, Settings
 from notegraph.sources.notes import validate_embeddings
+from notegraph.sources.table import load_notes, save_notes
 from notegraph.streaming import events as streams
 
 HOUR = 3600.0
@@ -165,6 +166,14 @@ def populate_notes(spark, folder):
     return _chunk_rows(result.notes)
 
 
+def populate_stored(spark, folder):
+    """The same on a stored table: only the buckets that change are read and written."""
+    root = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    save_notes(s.stored_notes(spark, folder), root, buckets=16)
+    populate_table(spark, s.disk_notes(spark, folder), root, SETTINGS, NOW)
+    return _chunk_rows(load_notes(spark, root))
+
+
 # ---- similarity
 
 
@@ -397,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "notes_needing_backlinks": notes_needing_backlinks,
     "mark_backlinked": mark_backlinked,
     "populate": populate_notes,
+    "populate_stored": populate_stored,
     "similar_to_note": similar_to_note,
     "knn_exact": _knn("auto"),
     "knn_blocked": _knn("blocked", block_rows=300),

@@ -386,6 +386,7 @@ def oracles() -> dict[str, str]:
         "upsert_notes": _upserted(True, False),
         "upsert_notes_keeping_stale": _upserted(False, False),
         "populate": _upserted(True, True),
+        "populate_stored": _upserted(True, True),
         "prune_deleted": _rows("x_stored WHERE path IN (SELECT path FROM x_disk)"),
         "pruned_paths": "SELECT path, last_chunk FROM x_meta WHERE path NOT IN (SELECT path FROM x_disk)",
         "health_metrics": """SELECT count(*) AS total_rows, count(*) AS with_embedding, 64 AS min_dimension,

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -44,8 +45,6 @@ def stored_row(path, index, digest, embedded):
 
 
 def test_reasons_in_order(spark):
-    import hashlib
-
     md5 = hashlib.md5(b"text").hexdigest()
     on_disk = disk(spark, dict.fromkeys(["new", "hash", "mixed", "notime", "mtime", "same"], "text") | {"empty": ""})
     before, after = T0 - dt.timedelta(1), T0 + dt.timedelta(1)
@@ -129,6 +128,25 @@ def test_one_call_per_batch(spark):
     assert calls.value == 3
 
 
+def test_populate_calls_the_model_once_per_text(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        seen.add(len(texts))
+        return np.ones((len(texts), 1024)) * 0.01
+
+    notes = {"Note1.md": "This is note 1.", "subfolder/Note2.md": "## Heading for Note 2\nSome details."}
+    settings = Settings(embedding_batch_size=10)
+    done = populate(disk(spark, notes), spark.createDataFrame([], NOTES_SCHEMA), settings, LATER, counting)
+    got = {r.path: r for r in done.notes.collect()}
+    assert done.notes.count() == 2 and seen.value == 2
+    assert {p: r.raw_content for p, r in got.items()} == notes
+    for path, row in got.items():
+        assert row.content_hash == hashlib.md5(notes[path].encode()).hexdigest()
+        assert (row.modified_at, row.last_embedded_at, row.last_backlinked_at) == (T0, LATER, None)
+        assert len(row.embedding) == 1024 and row.chunk_end == len(notes[path])
+
+
 def test_failed_chunks_keep_their_old_row_and_are_tried_again(spark):
     settings = Settings(dimensions=8, chunk_size=10, embedding_batch_size=1)
     first = populate(disk(spark, {"a.md": "one"}), spark.createDataFrame([], NOTES_SCHEMA), settings, T0, fake_embedder)
