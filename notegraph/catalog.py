@@ -409,6 +409,8 @@ QUERIES: dict[str, Query] = {
     "populate_stored": populate_stored,
     "similar_to_note": similar_to_note,
     "knn_exact": _knn("auto"),
+    "knn_small_queries": _knn("small_queries"),
+    "similar_notes_small_queries": _knn("small_queries", "note"),
     "knn_blocked": _knn("blocked", block_rows=300),
     "knn_indexed": _knn("indexed", block_rows=100, pivots=8),
     "similar_notes_distinct": _knn("auto", "note"),

@@ -1,9 +1,11 @@
 """Exact nearest notes by cosine similarity.
 
-`similar_to` answers for one note with one scan. `knn_join` answers for many notes: both sides are
-cut into even blocks, each pair of blocks is one matrix product in one task that hands on only its
-best k per query, and a window ranks those. Blocks are made from hashes of the row keys, so no
-path, cell or group of copies decides how much a task gets.
+`similar_to` answers for one note with one scan. `knn_join` answers for many notes. When one side is
+counted and small, it is broadcast and the other side is only scanned, so a few changed notes are
+searched in a large corpus without moving it. Otherwise both sides are cut into even blocks, each pair
+of blocks is one matrix product in one task that hands on only its best k per query, and a window
+ranks those. Blocks are made from hashes of the row keys, so no path, cell or group of copies decides
+how much a task gets.
 
 For large inputs `knn_join` first assigns all vectors to cells around sampled pivots. Angles obey
 the triangle inequality, so a pair of cells can be left out whenever even its closest possible
@@ -13,7 +15,7 @@ vectors are worse than the k best a query already has. The answer stays exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from notegraph.functions.vectors import DIGITS, cosine_to, nearest_pivot, unit_rows
 from notegraph.operators.materialise import materialise
 
+BROADCAST_BYTES = 32 << 20  # vectors of a side that may be sent to every task
 BLOCK_BYTES = 64 << 20  # vectors of one side of a block pair
 SLICE_SCORES = 1 << 22  # scores held at a time inside a block pair
 PAIR_SCORES = 4_000_000  # scores per block pair that are worth a task
@@ -142,6 +145,68 @@ def _rank(found: DataFrame, k: int, by_note: bool) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def _merge(found: list[pa.Table], k: int, by_note: bool) -> pa.Table:
+    """The k best per query of several tables of matches."""
+    table = pa.concat_tables(found)
+    if by_note:
+        best = table.group_by(["path", "similar_path"]).aggregate([("similarity", "max"), ("chunk_index", "min")])
+        table = best.rename_columns(["path", "similar_path", "similarity", "chunk_index"]).select(table.column_names)
+    table = table.sort_by(
+        [("path", "ascending"), ("similarity", "descending"), ("similar_path", "ascending"), ("chunk_index", "ascending")]
+    )
+    codes = table["path"].combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
+    return table.filter(pa.array(place < k))
+
+
+def _sent(rows: DataFrame):
+    """A side that was counted and is small, as a broadcast variable."""
+    table = rows.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return rows.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _received(sent) -> pa.Table:
+    table = pa.ipc.open_stream(sent.value).read_all()
+    at = table.schema.get_field_index("path")
+    return table.set_column(at, "path", table["path"].cast(pa.string()))
+
+
+def _knn_small_corpus(queries: DataFrame, corpus: DataFrame, k: int, by_note: bool) -> DataFrame:
+    """Each task has the whole corpus and answers its queries for good."""
+    sent = _sent(corpus)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everything = _received(sent)
+        for batch in batches:
+            found = _best(pa.Table.from_batches([batch]), everything, k, by_note, pad=False)
+            yield from found.combine_chunks().to_batches()
+
+    return _rank(queries.mapInArrow(search, _FOUND), k, by_note)
+
+
+def _knn_small_queries(queries: DataFrame, corpus: DataFrame, k: int, by_note: bool) -> DataFrame:
+    """Each task has all queries and keeps their k best of its part of the corpus."""
+    sent = _sent(queries)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _received(sent)
+        found, rows = [], 0
+        for batch in batches:
+            found.append(_best(wanted, pa.Table.from_batches([batch]), k, by_note, pad=False))
+            rows += len(found[-1])
+            if rows > 4 * k * len(wanted):
+                found = [_merge(found, k, by_note)]
+                rows = len(found[0])
+        if found:
+            yield from _merge(found, k, by_note).combine_chunks().to_batches()
+
+    return _rank(corpus.mapInArrow(search, _FOUND), k, by_note)
+
+
 def _part(parts: int | Column, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
 
@@ -266,10 +331,11 @@ def knn_join(
     level="note" ranks notes by their best chunk. Vectors that are NULL, zero or of another length
     than most are left out. Columns: path, similar_path, [chunk_index,] similarity, rank.
 
-    method: "blocked" compares all pairs of blocks, "indexed" leaves out those that cannot matter,
-    "auto" picks by the size of the inputs.
+    method: "small_corpus" and "small_queries" broadcast that side, "blocked" compares all pairs of
+    blocks, "indexed" leaves out those that cannot matter, "auto" picks by the counted inputs.
     """
-    if level not in ("chunk", "note") or method not in ("auto", "blocked", "indexed"):
+    methods = ("auto", "small_corpus", "small_queries", "blocked", "indexed")
+    if level not in ("chunk", "note") or method not in methods:
         raise ValueError(f"unknown level {level!r} or method {method!r}")
     by_note = level == "note"
     lengths = corpus.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("dim"))
@@ -281,13 +347,25 @@ def knn_join(
     queries = queries.where(usable).select(F.col("path").alias("path"), F.col("embedding").alias("embedding"))
     corpus = corpus.where(usable).select("path", F.col("chunk_index").cast("int"), "embedding")
 
+    if method == "auto":
+        fits = lambda rows: rows * max(dim, 1) * 8 <= BROADCAST_BYTES
+        method = (
+            "small_corpus" if fits(n_corpus)
+            else "small_queries" if fits(n_queries)
+            else "indexed" if n_queries * n_corpus > INDEX_SCORES
+            else "blocked"
+        )
     if block_rows is None:
         most = max(1, BLOCK_BYTES // (8 * max(dim, 1)))
         pairs = min(max(1.0, n_queries * n_corpus / PAIR_SCORES), MOST_PAIRS)
         block_rows = min(most, math.ceil(max(n_queries, n_corpus, 1) / math.sqrt(pairs)))
     q_parts = max(1, math.ceil(n_queries / block_rows))
     c_parts = max(1, math.ceil(n_corpus / block_rows))
-    if method == "indexed" or (method == "auto" and n_queries * n_corpus > INDEX_SCORES):
+    if method == "small_corpus":
+        result = _knn_small_corpus(queries, corpus, k, by_note)
+    elif method == "small_queries":
+        result = _knn_small_queries(queries, corpus, k, by_note)
+    elif method == "indexed":
         pivots = pivots or c_parts  # about one block per cell, so never more pairs than "blocked" has
         result = _knn_indexed(queries, corpus, k, by_note, block_rows, min(pivots, MAX_PIVOTS))
     else:

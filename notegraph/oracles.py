@@ -401,6 +401,8 @@ def oracles() -> dict[str, str]:
             FROM x_vectors q JOIN x_vectors c ON c.path <> q.path WHERE q.path = 'n3.md' AND q.chunk_index = 0
             ORDER BY similarity DESC, similar_path, c.chunk_index LIMIT 5""",
         "knn_exact": knn,
+        "knn_small_queries": knn,
+        "similar_notes_small_queries": knn_notes,
         "knn_blocked": knn,
         "knn_indexed": knn,
         "similar_notes_distinct": knn_notes,

@@ -50,7 +50,9 @@ def found(result, level):
 
 
 @pytest.mark.parametrize("level", ["chunk", "note"])
-@pytest.mark.parametrize("method, rows_per_block", [("blocked", None), ("blocked", 37), ("indexed", 20), ("indexed", None)])
+@pytest.mark.parametrize("method, rows_per_block", [
+    ("small_corpus", None), ("small_queries", None), ("blocked", None), ("blocked", 37), ("indexed", 20), ("indexed", None),
+])
 @pytest.mark.parametrize("copies", [0.0, 0.4])
 def test_equals_brute_force(spark, level, method, rows_per_block, copies):
     rows = vectors(3, 90, 6, copies)
@@ -63,7 +65,7 @@ def test_equals_brute_force(spark, level, method, rows_per_block, copies):
 def test_one_note_with_most_chunks(spark):
     rows = [("big.md", i, [1.0, i / 500]) for i in range(500)] + [(f"s{i}.md", 0, [0.0 + i, 1.0]) for i in range(20)]
     notes = spark.createDataFrame(rows, SCHEMA)
-    for method in ("blocked", "indexed"):
+    for method in ("small_corpus", "small_queries", "blocked", "indexed"):
         for level in ("chunk", "note"):
             got = knn_join(note_vectors(notes), notes, 3, level, method, 50, pivots=4)
             assert found(got, level) == brute(rows, 3, level)
@@ -72,14 +74,14 @@ def test_one_note_with_most_chunks(spark):
 def test_more_wanted_than_there_are(spark):
     rows = [("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("b", 1, [1.0, 1.0])]
     notes = spark.createDataFrame(rows, SCHEMA)
-    for method in ("blocked", "indexed"):
+    for method in ("small_corpus", "small_queries", "blocked", "indexed"):
         assert found(knn_join(note_vectors(notes), notes, 9, "chunk", method, 1, 2), "chunk") == brute(rows, 9, "chunk")
 
 
 def test_empty_sides(spark):
     none = spark.createDataFrame([], SCHEMA)
     some = spark.createDataFrame([("a", 0, [1.0, 0.0])], SCHEMA)
-    for method in ("auto", "indexed"):
+    for method in ("auto", "small_corpus", "small_queries", "blocked", "indexed"):
         assert knn_join(note_vectors(none), some, 3, method=method).count() == 0
         assert knn_join(note_vectors(some), none, 3, method=method).count() == 0
 
@@ -128,6 +130,29 @@ def test_plans_have_no_cross_join(spark, tmp_path):
     assert "TakeOrderedAndProject" in plan and "Join" not in plan
 
 
+def test_a_large_side_is_only_scanned(spark, tmp_path):
+    """With a small side, the other side's vectors are not shuffled, only the matches are."""
+    path = str(tmp_path / "v")
+    spark.createDataFrame(vectors(1, 40, 4), SCHEMA).write.parquet(path)
+    notes = spark.read.parquet(path)
+    for method in ("small_corpus", "small_queries"):
+        plan = knn_join(note_vectors(notes), notes, 3, method=method)._jdf.queryExecution().executedPlan().toString()
+        above, below = plan.split("MapInArrow")
+        assert above.count("Exchange") == 1 and "Exchange" not in below and "CoGroup" not in plan
+
+
+def test_small_queries_merge_many_batches(spark):
+    rows = vectors(4, 120, 5, 0.3)
+    notes = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        for level in ("chunk", "note"):
+            got = knn_join(note_vectors(notes), notes, 4, level, "small_queries")
+            assert found(got, level) == brute(rows, 4, level)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_far_cells_are_left_out(spark, monkeypatch):
     """Well separated groups: only pairs of blocks within a group are compared."""
     random = np.random.default_rng(1)
