@@ -2,11 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from notegraph.llm import decontaminate, jaccard, packing, pii, quality
+from notegraph.llm.common import table, written
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labelled documents, does not reject."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id."""
+    return jaccard.one_of_each(docs, jaccard.jaccard_components(docs))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    found = written(found.select(F.col("doc_id").alias("hit_id"), F.col("copy").alias("hit_copy")))
+    same = docs["doc_id"].eqNullSafe(found["hit_id"]) & F.xxhash64(docs["text"]).eqNullSafe(found["hit_copy"])
+    small = found.count() <= jaccard.BROADCAST_IDS
+    return docs.join(F.broadcast(found) if small else found, same, "left_anti")
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    return pii.mask_personal_data(docs, pii.train(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
+
+# Trained models and tokenizers have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

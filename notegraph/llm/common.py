@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,3 +118,11 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tup
         used = k < lengths
         total[used] = mixed(total[used] * _LOW[2 * k + 1] + words[starts[used] + k])
     return mixed(total + lengths.astype(np.uint64)), rows
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back: like a checkpoint, but columnar and compressed."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
