@@ -101,7 +101,8 @@ def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     place = ragged(np.zeros(len(starts), np.int64), lengths)
     value = _BYTE[data[ragged(starts, lengths)]] * _LOW[place & 0xFFFF]
     if len(place) and int(lengths.max()) > 1 << 16:
-        value *= _HIGH[(place >> 16) & 0xFFFF] + (place >> 32).astype(np.uint64)
+        far = place >> 16  # 0, and so without effect, in the words that others have
+        value *= np.where(far > 0, _HIGH[far & 0xFFFF], np.uint64(1))
     return mixed(np.add.reduceat(value, np.r_[0, np.cumsum(lengths)[:-1]]) + lengths.astype(np.uint64) * _HIGH[0])
 
 

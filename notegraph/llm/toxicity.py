@@ -206,7 +206,8 @@ def train_network(texts: list[str], owners: np.ndarray, labels: np.ndarray) -> N
             other = r.permutation(some[target[some] == 0])[: len(labels) // 2]
             chosen = r.permutation(np.r_[best[length[best] > 0], other])
         rate = RATE * (1 if turn < ROUNDS - 2 else 0.3)
-        for part in np.array_split(chosen, max(1, len(chosen) // BATCH)):
+        # Few windows make small batches, so that there are enough steps.
+        for part in np.array_split(chosen, max(1, len(chosen) // min(BATCH, max(4, len(chosen) // 60)))):
             # Only the words of this batch take part.
             inner = ragged(start[part], length[part])
             used, local = np.unique(codes[inner], return_inverse=True)
