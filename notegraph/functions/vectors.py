@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Similarities are rounded to this many digits, so that ranks do not depend on the order in which
-# a plan adds up products; ties are then broken by path and chunk.
-DIGITS = 6
+# Similarities are compared to this many digits, about what double sums of products agree on whatever
+# their order; only (near enough) equal vectors tie, and ties are broken by path and chunk.
+DIGITS = 12
 
 
 def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -31,7 +31,7 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def cosine_to(vector: Sequence[float]) -> Callable[[Column], Column]:
-    """Arrow UDF: rounded cosine of each vector of a column with one given vector, NULL where undefined."""
+    """Arrow UDF: cosine of each vector of a column with one given vector, NULL where undefined."""
     target = np.asarray(vector, dtype=np.float64)
     target = target / np.linalg.norm(target)
 

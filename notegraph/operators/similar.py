@@ -83,14 +83,17 @@ def _best(queries: pa.Table, corpus: pa.Table, k: int, by_note: bool, pad: bool)
         if by_note:
             block = np.maximum.reduceat(block, columns, axis=1)
         block[query_codes[start : start + step, None] == corpus_codes[None, columns]] = -2.0
-        # One number per cell that orders by score and then by position: all values are distinct.
-        order = np.rint(block * 10**DIGITS) * width - np.arange(width)
-        top = np.argpartition(-order, keep - 1, axis=1)[:, :keep]
-        found = np.take_along_axis(block, top, axis=1)
-        row, slot = np.nonzero(found > -2.0)
-        rows.append(row + start)
-        picks.append(columns[top[row, slot]])
-        scores.append(found[row, slot])
+        # The k-th best score of a row and all that tie with it, then the first k by score and position.
+        least = np.partition(block, width - keep, axis=1)[:, width - keep, None]
+        row, column = np.nonzero((block >= least) & (block > -2.0))
+        score = block[row, column]
+        order = np.lexsort((column, -score, row))
+        row, column, score = row[order], column[order], score[order]
+        first = np.searchsorted(row, row, "left")
+        chosen = np.arange(len(row)) - first < keep
+        rows.append(row[chosen] + start)
+        picks.append(columns[column[chosen]])
+        scores.append(score[chosen])
     row = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
     pick = np.concatenate(picks) if picks else np.zeros(0, dtype=np.int64)
     result = {
@@ -324,12 +327,14 @@ def knn_join(
     method: str = "auto",
     block_rows: int | None = None,
     pivots: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """The k best matches in `corpus` (path, chunk_index, embedding) of each query (path, embedding).
 
     A note never matches itself. level="chunk" ranks chunks, so one note may take several places;
-    level="note" ranks notes by their best chunk. Vectors that are NULL, zero or of another length
-    than most are left out. Columns: path, similar_path, [chunk_index,] similarity, rank.
+    level="note" ranks notes by their best chunk. `dim` is the length of usable vectors; others, and
+    those that are NULL or zero, are left out (validate_embeddings counts them). Without `dim` all
+    vectors of the corpus must have one length. Columns: path, similar_path, [chunk_index,] similarity, rank.
 
     method: "small_corpus" and "small_queries" broadcast that side, "blocked" compares all pairs of
     blocks, "indexed" leaves out those that cannot matter, "auto" picks by the counted inputs.
@@ -338,9 +343,13 @@ def knn_join(
     if level not in ("chunk", "note") or method not in methods:
         raise ValueError(f"unknown level {level!r} or method {method!r}")
     by_note = level == "note"
-    lengths = corpus.where(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("dim"))
-    usual = lengths.agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("dim").desc()).first()
-    dim, n_corpus = (usual.dim, usual.n) if usual else (1, 0)
+    size = F.size("embedding")
+    seen = corpus.where(F.col("embedding").isNotNull()).agg(
+        F.min(size).alias("least"), F.max(size).alias("most"), F.count_if(size == (dim or size)).alias("n")
+    ).first()
+    if dim is None and seen.least != seen.most:
+        raise ValueError(f"vectors of {seen.least} to {seen.most} numbers: say which length counts with dim=")
+    dim, n_corpus = dim or seen.most or 1, seen.n
     n_queries = queries.count()
     usable = F.size("embedding") == dim
     # Aliases keep the two sides apart where both come from one table.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from notegraph.catalog import NOW, PREFIXES, SUFFIXES, THRESHOLD
 from notegraph.functions.text import WHITESPACE
 from notegraph.operators import corpus, patches
-from notegraph.operators.links import DECISION_AGENT, PATCH_AGENT
+from notegraph.operators.links import DECISION_AGENT, NO_REASON, PATCH_AGENT
 
 HOUR = 3_600_000_000
 _START = "epoch_us(TIMESTAMP '2024-01-01')"
@@ -35,11 +35,16 @@ def _strip(text: str) -> str:
 
 
 def _section(relation: str, mode: str) -> str:
-    """Adds before, body, rest_after of the section to rows with `content`."""
-    end = {"full": r"chr(10) || '## '", "reference": "chr(10)"}[mode]
+    """Adds head, body and behind of the section to rows with `content`. In full mode the body is what is left when
+    the first line that starts with a level-two heading and all below it are taken away, without the last line end."""
+    left = r"regexp_replace(rest, '(?ms)^## .*\z', '')"
+    body = {
+        "full": f"CASE WHEN length({left}) < length(rest) THEN regexp_replace({left}, '\\n\\z', '') ELSE rest END",
+        "reference": "split_part(rest, chr(10), 1)",
+    }[mode]
     return f"""
     SELECT *, substr(rest, length(body) + 1) AS behind FROM (
-        SELECT *, split_part(rest, {end}, 1) AS body FROM (
+        SELECT *, {body} AS body FROM (
             SELECT *, substr(content, length(head) + 1) AS rest FROM (
                 SELECT *, regexp_extract(content, {_THROUGH}) AS head FROM {relation})))"""
 
@@ -73,15 +78,15 @@ def _knn(vectors: str, level: str = "chunk", k: int = 5) -> str:
     """Nearest neighbours within a relation (path, chunk_index, e), e of length one or any other."""
     if level == "chunk":
         return f"""
-        SELECT * FROM (
+        SELECT * REPLACE (round(similarity, 6) AS similarity) FROM (
             SELECT *, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, similar_path, chunk_index) AS rank
-            FROM (SELECT q.path, c.path AS similar_path, c.chunk_index, round(list_cosine_similarity(q.e, c.e), 6) AS similarity
+            FROM (SELECT q.path, c.path AS similar_path, c.chunk_index, round(list_cosine_similarity(q.e, c.e), 12) AS similarity
                   FROM {vectors} q JOIN {vectors} c ON q.path <> c.path WHERE q.chunk_index = 0))
         WHERE rank <= {k}"""
     return f"""
-    SELECT * FROM (
+    SELECT * REPLACE (round(similarity, 6) AS similarity) FROM (
         SELECT *, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, similar_path) AS rank
-        FROM (SELECT q.path, c.path AS similar_path, max(round(list_cosine_similarity(q.e, c.e), 6)) AS similarity
+        FROM (SELECT q.path, c.path AS similar_path, max(round(list_cosine_similarity(q.e, c.e), 12)) AS similarity
               FROM {vectors} q JOIN {vectors} c ON q.path <> c.path WHERE q.chunk_index = 0 GROUP BY ALL))
     WHERE rank <= {k}"""
 
@@ -201,15 +206,20 @@ _relation(
 _relation(
     "x_vectors",
     """SELECT 'n' || (vec_id // 2) || '.md' AS path, (vec_id % 2)::INT AS chunk_index, embedding::DOUBLE[] AS e
-        FROM embeddings""",
+        FROM embeddings
+        UNION ALL
+        SELECT 'c' || vec_id || '.md', 0, [(e[1] + 0.0001::DOUBLE)::FLOAT::DOUBLE] || e[2:]
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 25 = 0)""",
 )
 _relation("x_matches", _knn("x_vectors"))
 _relation(
     "x_texts",
-    """SELECT 'n' || doc_id || '.md' AS path, text || CASE doc_id % 6
+    """SELECT 'n' || doc_id || '.md' AS path, text || CASE doc_id % 7
             WHEN 0 THEN '' WHEN 1 THEN chr(10) WHEN 2 THEN chr(10) || chr(10)
             WHEN 3 THEN chr(10) || chr(10) || '## Backlinks' || chr(10)
             WHEN 4 THEN chr(10) || chr(10) || '## Backlinks' || chr(10) || '- [[n' || (doc_id + 1) || ']] - seen' || chr(10)
+            WHEN 6 THEN chr(10) || '## Backlinks' || chr(10) || '## Next' || chr(10) || '- [[n' || (doc_id + 1) || '.md]] - other'
+                || chr(10) || 'z' || chr(10)
             ELSE chr(10) || '## backlinks' || chr(10) || '- [[n' || (doc_id + 1) || '.md]] - seen' || chr(10)
                 || '-  [[n' || (doc_id + 2) || '.md]] - seen' || chr(10) || '## Next' || chr(10) || 'more' || chr(10)
             END AS content FROM documents""",
@@ -278,28 +288,39 @@ _relation(
               FROM conversations) p LEFT JOIN x_texts t ON t.path = p.path""",
 )
 # action: 0-2 and 10 replace, 3 append, 4-5 create, 6 and 8 delete, 7 and 9 something unknown
+_relation("x_ordered", "SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, patch_id) AS nth FROM x_patches")
+_NEXT = """CASE WHEN {0}.action IN (0, 1, 2, 10) AND {1} IS NOT NULL THEN {0}.after
+    WHEN {0}.action IN (4, 5) AND {1} IS NULL THEN {0}.content
+    WHEN {0}.action = 3 THEN coalesce({1}, '') || {0}.content
+    WHEN {0}.action IN (6, 8) THEN NULL ELSE {1} END"""
+# Each patch meets the text that the one before left.
+_relation(
+    "x_walk",
+    f"""SELECT patch_id, path, nth, o.current AS now, {_NEXT.format('o', 'o.current')} AS next FROM x_ordered o WHERE nth = 1
+        UNION ALL
+        SELECT o.patch_id, o.path, o.nth, w.next, {_NEXT.format('o', 'w.next')}
+        FROM x_walk w JOIN x_ordered o ON o.path = w.path AND o.nth = w.nth + 1""",
+)
 _relation(
     "x_resolved",
-    f"""SELECT *, CASE WHEN status <> 'ok' THEN NULL WHEN action IN (0, 1, 2, 10) THEN after
-            WHEN action IN (4, 5) THEN content WHEN action = 3 THEN coalesce(current, '') || content END AS new_content
-        FROM (SELECT *, CASE
-                WHEN nth > 1 THEN 'deferred'
-                WHEN action IN (0, 1, 2, 10) AND current IS NULL THEN 'failed'
-                WHEN action IN (0, 1, 2, 10) AND current = after THEN 'unchanged'
-                WHEN action IN (4, 5) AND current IS NOT NULL THEN 'aborted'
-                WHEN action IN (6, 8) AND current IS NULL THEN 'skipped'
+    f"""SELECT *, CASE WHEN status = 'ok' AND nth = max(CASE WHEN status = 'ok' THEN nth END) OVER (PARTITION BY path)
+            THEN next END AS new_content
+        FROM (SELECT o.* EXCLUDE (current), w.now AS current, w.next, CASE
+                WHEN action IN (0, 1, 2, 10) AND now IS NULL THEN 'failed'
+                WHEN action IN (0, 1, 2, 10) AND now = after THEN 'unchanged'
+                WHEN action IN (4, 5) AND now IS NOT NULL THEN 'aborted'
+                WHEN action IN (6, 8) AND now IS NULL THEN 'skipped'
                 WHEN action IN (7, 9) THEN 'aborted' ELSE 'ok' END AS status,
             CASE
-                WHEN nth > 1 THEN 'another_patch_of_this_run'
-                WHEN action IN (0, 1, 2, 10) AND current IS NULL THEN 'target_missing'
-                WHEN action IN (0, 1, 2, 10) AND current = after THEN '{patches.UNCHANGED}'
-                WHEN action IN (4, 5) AND current IS NOT NULL THEN '{patches.CREATE_EXISTS}'
-                WHEN action IN (6, 8) AND current IS NULL THEN 'delete_target_missing'
-                WHEN action IN (7, 9) AND current IS NULL THEN '{patches.TARGET_GONE}'
-                WHEN action IN (7, 9) AND md5(current) <> seen_hash THEN '{patches.TARGET_MODIFIED}'
+                WHEN action IN (0, 1, 2, 10) AND now IS NULL THEN 'target_missing'
+                WHEN action IN (0, 1, 2, 10) AND now = after THEN '{patches.UNCHANGED}'
+                WHEN action IN (4, 5) AND now IS NOT NULL THEN '{patches.CREATE_EXISTS}'
+                WHEN action IN (6, 8) AND now IS NULL THEN 'delete_target_missing'
+                WHEN action IN (7, 9) AND now IS NULL THEN '{patches.TARGET_GONE}'
+                WHEN action IN (7, 9) AND md5(now) <> seen_hash THEN '{patches.TARGET_MODIFIED}'
                 WHEN action IN (7, 9) THEN '{patches.UNKNOWN_ACTION}' END AS reason,
-            nth = 1 AND action IN (0, 1, 2, 10) AND current IS NOT NULL AND current <> before AS before_mismatch
-        FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, patch_id) AS nth FROM x_patches))""",
+            action IN (0, 1, 2, 10) AND now IS NOT NULL AND now <> before AS before_mismatch
+        FROM x_ordered o JOIN x_walk w USING (patch_id, path, nth))""",
 )
 
 _relation(
@@ -389,17 +410,18 @@ def oracles() -> dict[str, str]:
         "populate_stored": _upserted(True, True),
         "prune_deleted": _rows("x_stored WHERE path IN (SELECT path FROM x_disk)"),
         "pruned_paths": "SELECT path, last_chunk FROM x_meta WHERE path NOT IN (SELECT path FROM x_disk)",
-        "health_metrics": """SELECT count(*) AS total_rows, count(*) AS with_embedding, 64 AS min_dimension,
-            64 AS max_dimension FROM x_stored""",
+        "health_metrics": """SELECT count(*) AS total_rows, count(e) AS with_embedding, min(len(e))::INT AS min_dimension,
+            max(len(e))::INT AS max_dimension FROM (
+                SELECT CASE chunk_index WHEN 3 THEN NULL WHEN 4 THEN range(10) ELSE range(64) END AS e FROM x_stored)""",
         "sample_paths": "SELECT path, chunk_index FROM x_stored ORDER BY path, chunk_index LIMIT 5",
         "notes_needing_backlinks": """SELECT DISTINCT path FROM x_stored
             WHERE backlinked_us IS NULL OR modified_us > backlinked_us""",
         "mark_backlinked": f"""SELECT * REPLACE (CASE WHEN split_part(path, '/', 1) IN ('src6', 'src7') THEN {_NOW}
             ELSE backlinked_us END AS backlinked_us) FROM ({_rows('x_stored')})""",
-        "similar_to_note": """SELECT c.path AS similar_path, c.chunk_index,
-                round(list_cosine_similarity(q.e, c.e), 6) AS similarity
+        "similar_to_note": """SELECT similar_path, chunk_index, round(similarity, 6) AS similarity FROM (
+            SELECT c.path AS similar_path, c.chunk_index, round(list_cosine_similarity(q.e, c.e), 12) AS similarity
             FROM x_vectors q JOIN x_vectors c ON c.path <> q.path WHERE q.path = 'n3.md' AND q.chunk_index = 0
-            ORDER BY similarity DESC, similar_path, c.chunk_index LIMIT 5""",
+            ORDER BY similarity DESC, similar_path, c.chunk_index LIMIT 5)""",
         "knn_exact": knn,
         "knn_small_queries": knn,
         "similar_notes_small_queries": knn_notes,
@@ -411,7 +433,10 @@ def oracles() -> dict[str, str]:
         "link_exists": f"SELECT p.path, p.similar_path, {_LINKED} AS linked FROM x_near p JOIN x_texts t ON t.path = p.path",
         "candidate_pairs": """SELECT path, similar_path, similarity, rank, md5(note_abstract) AS note_digest,
             md5(similar_abstract) AS similar_digest FROM x_pairs""",
-        "decide_links": f"SELECT path, similar_path, should_link, reason, agent_name FROM ({_decided('x_pairs')})",
+        "decide_links": f"""SELECT path, similar_path, should_link AND rank % 3 <> 0 AS should_link,
+            CASE WHEN rank % 3 <> 0 THEN reason END AS reason,
+            CASE WHEN should_link AND rank % 3 = 0 THEN '{NO_REASON}' END AS error, agent_name
+            FROM ({_decided('x_pairs')})""",
         "section_links": "SELECT path, similar_path FROM x_targets_full",
         "section_links_reference": "SELECT path, similar_path FROM x_targets_reference",
         "new_section_links": """SELECT path, similar_path, reason FROM x_near_links l WHERE NOT EXISTS (
@@ -455,4 +480,5 @@ def oracles() -> dict[str, str]:
         "clean_events": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler
             FROM ({_bursts("x_clean", f"us - before > {3 * HOUR}")}) WHERE path LIKE '%.md'""",
     }
+    walked |= {k: plain.pop(k) for k in ("resolve_patches", "apply_patches", "patch_log_summary")}
     return {k: _with(v) for k, v in plain.items()} | {k: _with(v, recursive=True) for k, v in walked.items()}

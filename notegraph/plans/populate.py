@@ -46,7 +46,7 @@ def embed_changes(texts: DataFrame, settings: Settings, embedder: Embedder | Non
     if embedder is None:
         embedded = hash_embed(chunks, settings.dimensions).withColumn("error", F.lit(None).cast("string"))
     else:
-        embedded = embed_chunks(chunks, embedder, settings.embedding_batch_size)
+        embedded = embed_chunks(chunks, embedder, settings.embedding_batch_size, settings.dimensions)
     return materialise(embedded.withColumn("last_embedded_at", F.lit(now).cast(T.TimestampType())))
 
 

@@ -55,10 +55,6 @@ class Settings:
     section_mode: str = "full"
     replace_stale: bool = True
     stamp_all_considered: bool = False
-    debounce_seconds: float = 1.5
-    quiet_seconds: float = 3.0
-    idle_seconds: float = 10.0
-    self_write_seconds: float = 5.0
     agent: str = "BacklinkerAgent"
 
 

@@ -84,14 +84,22 @@ def stored_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """The given vectors as notes of two chunks each."""
+    """The given vectors as notes of two chunks each. Every 25th vector has a near copy in a note of its own, whose
+    path comes first and which is a little further from, or nearer to, any query."""
     vectors = table(spark, folder, "embeddings")
     note = F.floor(F.col("vec_id") / 2).cast("long")
-    return vectors.select(
+    close = F.transform("embedding", lambda x, i: F.when(i == 0, x + 0.0001).otherwise(x).cast("float"))
+    own = vectors.select(
         F.concat(F.lit("n"), note.cast("string"), F.lit(".md")).alias("path"),
         (F.col("vec_id") - note * 2).cast("int").alias("chunk_index"),
         "embedding",
     )
+    copies = vectors.where(F.pmod("vec_id", F.lit(25)) == 0).select(
+        F.concat(F.lit("c"), F.col("vec_id").cast("string"), F.lit(".md")).alias("path"),
+        F.lit(0).alias("chunk_index"),
+        close.alias("embedding"),
+    )
+    return own.unionByName(copies)
 
 
 def file_events(events: DataFrame) -> DataFrame:
@@ -125,7 +133,7 @@ def linked_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Current texts of the vector notes: every document, with all variants of a link section."""
     documents = texts(spark, folder, "documents")
     later = lambda n: (F.col("doc_id") + n).cast("string")
-    variant = F.pmod("doc_id", F.lit(6))
+    variant = F.pmod("doc_id", F.lit(7))
     content = F.concat(
         "text",
         F.when(variant == 0, "")
@@ -133,6 +141,8 @@ def linked_texts(spark: SparkSession, folder: str) -> DataFrame:
         .when(variant == 2, "\n\n")
         .when(variant == 3, "\n\n## Backlinks\n")
         .when(variant == 4, F.concat(F.lit("\n\n## Backlinks\n- [[n"), later(1), F.lit("]] - seen\n")))
+        # The next heading directly below: its bullets are none of the section's.
+        .when(variant == 6, F.concat(F.lit("\n## Backlinks\n## Next\n- [[n"), later(1), F.lit(".md]] - other\nz\n")))
         .otherwise(
             F.concat(
                 F.lit("\n## backlinks\n- [[n"), later(1), F.lit(".md]] - seen\n-  [[n"), later(2),

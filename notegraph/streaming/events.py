@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from notegraph.operators.events import ROUTES, event_kinds, filter_ignored, micros, route_events
+from notegraph.operators.materialise import materialise
 from notegraph.schema import EVENT_SCHEMA
 
 STATE_STORE = (
@@ -105,7 +106,7 @@ def suppress_stream(events: DataFrame, writes: DataFrame, seconds: float = 5.0,
     near = (
         (F.col("path") == F.col("w_path"))
         & (F.col("ts") >= F.col("w_ts"))
-        & (F.col("ts") <= F.col("w_ts") + F.expr(f"INTERVAL {seconds} SECOND"))
+        & (F.col("ts") <= F.col("w_ts") + F.expr(f"INTERVAL '{micros(seconds) / 1_000_000:.6f}' SECOND"))
     )
     return events.join(written, near, "left_outer").where(F.col("w_path").isNull()).select(*events.columns)
 
@@ -129,7 +130,8 @@ def link_on_events(link: Callable[[DataFrame], None]) -> Callable[[DataFrame, in
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        paths = batch.where(F.col("handler") == ROUTES[0][1]).select("path").distinct()
+        # Written out, so that the micro-batch is evaluated once for both uses.
+        paths = materialise(batch.where(F.col("handler") == ROUTES[0][1]).select("path").distinct())
         if not paths.isEmpty():
             link(paths)
 

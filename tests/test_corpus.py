@@ -116,6 +116,13 @@ def test_a_failing_batch_leaves_the_others(spark):
     assert all(len(r.embedding) == 8 for r in got if r.error is None)
 
 
+def test_vectors_are_checked(spark):
+    chunks = chunk_notes(disk(spark, {"a.md": "t"}), 10)
+    long = embed_chunks(chunks, lambda texts: np.ones((len(texts), 3)), 5, dim=8).first()
+    wild = embed_chunks(chunks, lambda texts: np.full((len(texts), 8), np.nan), 5, dim=8).first()
+    assert long.embedding is None and "not 8" in long.error and wild.embedding is None and "finite" in wild.error
+
+
 def test_one_call_per_batch(spark):
     calls = spark.sparkContext.accumulator(0)
 

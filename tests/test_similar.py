@@ -16,7 +16,7 @@ def brute(rows, k, level):
         if chunk != 0:
             continue
         scores = [
-            (round(float(vector @ v / np.linalg.norm(vector) / np.linalg.norm(v)), 6), p, c) for p, c, v in usable if p != path
+            (round(float(vector @ v / np.linalg.norm(vector) / np.linalg.norm(v)), 12), p, c) for p, c, v in usable if p != path
         ]
         if level == "note":
             best = {}
@@ -24,7 +24,7 @@ def brute(rows, k, level):
                 best[p] = max(s, best.get(p, -9))
             scores = [(s, p, 0) for p, s in best.items()]
         scores.sort(key=lambda x: (-x[0], x[1], x[2]))
-        result += [(path, p, s, i + 1) if level == "note" else (path, p, c, s, i + 1) for i, (s, p, c) in enumerate(scores[:k])]
+        result += [(path, p, round(s, 6), i + 1) if level == "note" else (path, p, c, round(s, 6), i + 1) for i, (s, p, c) in enumerate(scores[:k])]
     return sorted(result)
 
 
@@ -46,7 +46,8 @@ def found(result, level):
     columns = ["path", "similar_path", "similarity", "rank"] if level == "note" else [
         "path", "similar_path", "chunk_index", "similarity", "rank"
     ]
-    return sorted(tuple(r) for r in result.select(*columns).collect())
+    rounded = result.withColumn("similarity", F.round("similarity", 6))
+    return sorted(tuple(r) for r in rounded.select(*columns).collect())
 
 
 @pytest.mark.parametrize("level", ["chunk", "note"])
@@ -58,7 +59,7 @@ def test_equals_brute_force(spark, level, method, rows_per_block, copies):
     rows = vectors(3, 90, 6, copies)
     rows += [("zero.md", 0, [0.0] * 6), ("none.md", 0, None), ("short.md", 0, [1.0])]
     notes = spark.createDataFrame(rows, SCHEMA)
-    got = knn_join(note_vectors(notes), notes, 4, level, method, rows_per_block, pivots=7)
+    got = knn_join(note_vectors(notes), notes, 4, level, method, rows_per_block, pivots=7, dim=6)
     assert found(got, level) == brute([r for r in rows if r[0] != "short.md"], 4, level)
 
 
@@ -71,6 +72,19 @@ def test_one_note_with_most_chunks(spark):
             assert found(got, level) == brute(rows, 3, level)
 
 
+def test_near_ties_and_lengths(spark):
+    rows = [("q", 0, [1.0, 0.0]), ("a", 0, [1.0, 0.0006]), ("z", 0, [1.0, 0.0001]), ("long", 0, [1.0, 0.0, 0.0])]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    for method in ("small_corpus", "small_queries", "blocked", "indexed"):
+        got = knn_join(note_vectors(notes), notes, 1, method=method, pivots=2, dim=2).where("path = 'q'").first()
+        assert got.similar_path == "z"
+        both = {r.path for r in knn_join(note_vectors(notes), notes, 1, method=method, pivots=2, dim=3).collect()}
+        assert both == set()  # one vector of that length has no other
+    assert similar_to(notes, "q", 1).first().similar_path == "z"
+    with pytest.raises(ValueError, match="dim="):
+        knn_join(note_vectors(notes), notes, 1)
+
+
 def test_more_wanted_than_there_are(spark):
     rows = [("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("b", 1, [1.0, 1.0])]
     notes = spark.createDataFrame(rows, SCHEMA)
@@ -98,7 +112,8 @@ def test_similar_to_one_note(spark):
     rows = vectors(8, 30, 5)
     notes = spark.createDataFrame(rows + [("zero.md", 0, [0.0] * 5), ("none.md", 0, None)], SCHEMA)
     expected = [r[1:4] for r in sorted((r for r in brute(rows, 5, "chunk") if r[0] == "n4.md"), key=lambda r: r[4])]
-    assert [tuple(r) for r in similar_to(notes, "n4.md", 5).collect()] == expected
+    got = similar_to(notes, "n4.md", 5).withColumn("similarity", F.round("similarity", 6))
+    assert [tuple(r) for r in got.collect()] == expected
     for path in ("zero.md", "none.md", "missing.md"):
         assert similar_to(notes, path).count() == 0
 

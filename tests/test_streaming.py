@@ -116,7 +116,7 @@ def test_events_lead_to_links_of_their_notes_only(spark, tmp_path):
     target = str(tmp_path / "patches")
 
     def link(paths):
-        patches = suggest_links(notes, texts, similarity_decider(0.9), Settings(), paths)
+        patches = suggest_links(notes, texts, similarity_decider(0.9), Settings(dimensions=2), paths)
         patches.write.mode("append").parquet(target)
 
     stream = st.clean_stream(st.event_stream(spark, as_files(events, tmp_path / "in")))
