@@ -21,6 +21,7 @@ from notegraph.operators.materialise import materialise, shared_folder
 from notegraph.plans.link import link_notes, suggest_links
 from notegraph.plans.populate import populate, populate_table
 from notegraph.schema import CHUNK_KEY, EVENT_IGNORE_SUFFIXES, Settings
+from notegraph.sources import notes as notes_source
 from notegraph.sources.notes import validate_embeddings
 from notegraph.sources.table import load_notes, save_notes
 from notegraph.streaming import events as streams
@@ -164,8 +165,21 @@ def mark_backlinked(spark, folder):
     return _chunk_rows(corpus.mark_backlinked(s.stored_chunks(spark, folder), done, NOW))
 
 
+def _partly_read(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Notes on disk of which some could not be read, and the listing of all."""
+    notes = s.disk_notes(spark, folder)
+    number = F.regexp_extract("path", r"([0-9]+)\.md$", 1).cast("long")
+    return notes.where(F.pmod(number, F.lit(97)) != 5), notes.select("path")
+
+
+def scan_errors(spark, folder):
+    notes, listing = _partly_read(spark, folder)
+    return notes_source.scan_errors(listing, notes)
+
+
 def populate_notes(spark, folder):
-    result = populate(s.disk_notes(spark, folder), s.stored_notes(spark, folder), SETTINGS, NOW)
+    notes, listing = _partly_read(spark, folder)
+    result = populate(notes, s.stored_notes(spark, folder), SETTINGS, NOW, listing=listing)
     return _chunk_rows(result.notes)
 
 
@@ -173,7 +187,8 @@ def populate_stored(spark, folder):
     """The same on a stored table: only the buckets that change are read and written."""
     root = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
     save_notes(s.stored_notes(spark, folder), root, buckets=16)
-    populate_table(spark, s.disk_notes(spark, folder), root, SETTINGS, NOW)
+    notes, listing = _partly_read(spark, folder)
+    populate_table(spark, notes, root, SETTINGS, NOW, listing=listing)
     return _chunk_rows(load_notes(spark, root))
 
 
@@ -398,6 +413,7 @@ def clean_stream(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "scan_notes": scan_notes,
+    "scan_errors": scan_errors,
     "filter_ignored": filter_ignored,
     "fingerprint": fingerprint,
     "chunk_fixed": chunk_fixed,

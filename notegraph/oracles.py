@@ -6,6 +6,7 @@ from notegraph.catalog import NOW, PREFIXES, SUFFIXES, THRESHOLD
 from notegraph.functions.text import WHITESPACE
 from notegraph.operators import corpus, patches
 from notegraph.operators.links import DECISION_AGENT, NO_REASON, PATCH_AGENT
+from notegraph.sources.notes import UNREADABLE
 
 HOUR = 3_600_000_000
 _START = "epoch_us(TIMESTAMP '2024-01-01')"
@@ -172,18 +173,23 @@ _relation("x_changes", _changes(False))
 _relation("x_new", _chunks("x_changes", "md5(content) AS content_hash, modified_us, md5(raw_content) AS chunk_hash"))
 
 
-def _upserted(replace_stale: bool, only_disk: bool) -> str:
-    stale = """AND NOT EXISTS (SELECT 1 FROM x_changes c WHERE c.path = s.path
-            AND s.chunk_index >= (length(c.content) + 999) // 1000)"""
-    present = "AND s.path IN (SELECT path FROM x_disk WHERE length(content) > 0)"
+_UNREAD = "regexp_extract({0}path, '([0-9]+)\\.md$', 1)::BIGINT % 97 = 5"
+
+
+def _upserted(replace_stale: bool, populated: bool) -> str:
+    """The table after an upsert; `populated`: of the notes that could be read, and without those that are gone."""
+    readable = f"AND NOT ({_UNREAD.format('n.')})" if populated else ""
+    stale = f"""AND NOT EXISTS (SELECT 1 FROM x_changes n WHERE n.path = s.path {readable}
+            AND s.chunk_index >= (length(n.content) + 999) // 1000)"""
+    present = f"AND s.path IN (SELECT path FROM x_disk n WHERE length(content) > 0 OR {_UNREAD.format('n.')})"
     return f"""SELECT * REPLACE ({_TIMES}) FROM (
     SELECT n.path, n.chunk_index, n.chunk_start, n.chunk_end, n.content_hash, n.modified_us, {_NOW} AS embedded_us,
         s.backlinked_us, n.chunk_hash
-    FROM x_new n LEFT JOIN x_stored s ON s.path = n.path AND s.chunk_index = n.chunk_index
+    FROM x_new n LEFT JOIN x_stored s ON s.path = n.path AND s.chunk_index = n.chunk_index WHERE TRUE {readable}
     UNION ALL
     SELECT {_CHUNK} FROM x_stored s
-    WHERE NOT EXISTS (SELECT 1 FROM x_new n WHERE n.path = s.path AND n.chunk_index = s.chunk_index)
-    {stale if replace_stale else ''} {present if only_disk else ''})"""
+    WHERE NOT EXISTS (SELECT 1 FROM x_new n WHERE n.path = s.path AND n.chunk_index = s.chunk_index {readable})
+    {stale if replace_stale else ''} {present if populated else ''})"""
 
 
 _relation(
@@ -394,6 +400,7 @@ def oracles() -> dict[str, str]:
     merged = "SELECT path, md5({0}) AS merged_digest FROM (SELECT *, '- [[' || path || ']] - why' AS bullets FROM x_sections_{1})"
     plain = {
         "scan_notes": "SELECT path, modified_us, md5(content) AS content_hash, length(content) AS n_chars FROM x_disk",
+        "scan_errors": f"SELECT path, '{UNREADABLE}' AS reason FROM x_disk WHERE {_UNREAD.format('')}",
         "filter_ignored": f"SELECT path FROM x_disk WHERE NOT ({_prefix_test()})",
         "fingerprint": "SELECT path, md5(content) AS content_hash FROM x_texts",
         "chunk_fixed": """SELECT path, chunk_index, chunk_start, chunk_end, content_hash, md5(raw_content) AS chunk_hash

@@ -12,6 +12,8 @@ from notegraph.operators.chunk import chunk_notes
 from notegraph.operators.corpus import (
     changed_texts,
     detect_changes,
+    health_metrics,
+    inventory,
     note_blocks,
     note_metadata,
     pruned_paths,
@@ -24,16 +26,30 @@ from notegraph.operators.materialise import materialise
 from notegraph.operators.patches import append_log, error_log
 from notegraph.operators.sized import BROADCAST_ROWS, if_small, is_small
 from notegraph.schema import CHUNK_KEY, NOTES_SCHEMA, Settings
-from notegraph.sources.table import load_notes, save_notes, touched_buckets
+from notegraph.sources.notes import scan_errors, validate_embeddings
+from notegraph.sources.table import BUCKETS, load_notes, save_notes, touched_buckets
 
 
 @dataclass(frozen=True)
 class Populated:
-    """The new notes table, the change set and the chunks whose embedding failed."""
+    """The new notes table, the change set, the chunks whose embedding failed, and listed notes that could not be
+    read (path, reason); these keep what is stored of them."""
 
     notes: DataFrame
     changes: DataFrame
     failed: DataFrame
+    unread: DataFrame
+
+
+@dataclass(frozen=True)
+class Report:
+    """What populate_table did and left: the change set, unread notes, and after the save the counts of missing and
+    wrong vectors and the size of the table (one row each)."""
+
+    changes: DataFrame
+    unread: DataFrame
+    check: DataFrame
+    metrics: DataFrame
 
 
 def embed_changes(texts: DataFrame, settings: Settings, embedder: Embedder | None, now) -> DataFrame:
@@ -52,19 +68,25 @@ def embed_changes(texts: DataFrame, settings: Settings, embedder: Embedder | Non
 
 @dataclass(frozen=True)
 class _Work:
-    """What a run has to do: changed notes and notes that are gone, both written out."""
+    """What a run has to do: changed notes and notes that are gone, and what it could not read, all written out."""
 
     changes: DataFrame
     gone: DataFrame
+    unread: DataFrame
 
 
-def _find_work(disk: DataFrame, notes: DataFrame, settings: Settings) -> _Work:
-    metadata = note_metadata(notes)
-    # A note that became empty has no chunks left; its old ones go when stale chunks go.
-    present = disk.where(F.length("content") > 0) if settings.replace_stale else disk
+def _find_work(disk: DataFrame, notes: DataFrame, settings: Settings, listing: DataFrame | None) -> _Work:
+    """The texts are gone through once, for an inventory of short rows; the changed ones are read again."""
+    found = materialise(inventory(disk))
+    metadata = materialise(note_metadata(notes))
+    present = (found if listing is None else listing).select("path")
+    if settings.replace_stale:
+        # A note that became empty has no chunks left; its old ones go when stale chunks go.
+        present = present.join(found.where("n_chars = 0"), "path", "left_anti")
     return _Work(
-        materialise(detect_changes(disk, metadata, settings.force_reembed_all)),
+        materialise(detect_changes(found, metadata, settings.force_reembed_all)),
         materialise(pruned_paths(metadata, present)),
+        materialise(scan_errors(found if listing is None else listing, found)),
     )
 
 
@@ -79,12 +101,24 @@ def _do_work(
         upsert_notes(kept, new, stale, few=keys <= BROADCAST_ROWS),
         work.changes,
         new.where(F.col("error").isNotNull()),
+        work.unread,
     )
 
 
-def populate(disk: DataFrame, notes: DataFrame, settings: Settings, now, embedder: Embedder | None = None) -> Populated:
-    """Detect, chunk, embed, upsert and prune; `notes` are all current rows."""
-    return _do_work(_find_work(disk, notes, settings), disk, notes, settings, now, embedder)
+def populate(
+    disk: DataFrame,
+    notes: DataFrame,
+    settings: Settings,
+    now,
+    embedder: Embedder | None = None,
+    listing: DataFrame | None = None,
+) -> Populated:
+    """Detect, chunk, embed, upsert and prune; `notes` are all current rows.
+
+    `listing` has the paths of all notes that exist, also of those that `disk` has no text of; without it, `disk`
+    is taken to be complete.
+    """
+    return _do_work(_find_work(disk, notes, settings, listing), disk, notes, settings, now, embedder)
 
 
 def populate_table(
@@ -95,18 +129,23 @@ def populate_table(
     now,
     embedder: Embedder | None = None,
     log_folder: str | None = None,
-) -> DataFrame:
+    listing: DataFrame | None = None,
+    buckets: int = BUCKETS,
+) -> Report:
     """populate() on the stored table, reading and writing only the buckets that change.
 
-    What changed is found from four narrow columns. Returns the change set.
+    What changed is found from four narrow columns. `buckets` is for a table's first save: choose it so that a bucket
+    holds some 256 MB to 1 GB, because a changed note rewrites its bucket.
     """
-    work = _find_work(disk, load_notes(spark, root), settings)
+    work = _find_work(disk, load_notes(spark, root), settings, listing)
     last_new = F.ceil(F.col("n_chars") / F.lit(settings.chunk_size)).cast("int") - 1
     changed = work.changes.select("path", F.greatest("last_chunk", last_new).alias("last_chunk"))
     only = touched_buckets(spark, root, note_blocks(changed.unionByName(work.gone)))
 
     done = _do_work(work, disk, load_notes(spark, root, only), settings, now, embedder)
-    save_notes(done.notes.select(*NOTES_SCHEMA.fieldNames()), root, only)
+    save_notes(done.notes.select(*NOTES_SCHEMA.fieldNames()), root, only, buckets)
     if log_folder is not None:
         append_log(error_log(done.failed, "EMBED", now), log_folder)
-    return work.changes
+        append_log(error_log(work.unread.withColumnRenamed("reason", "error"), "SCAN", now), log_folder)
+    stored = load_notes(spark, root)
+    return Report(work.changes, work.unread, validate_embeddings(stored, settings.dimensions), health_metrics(stored))

@@ -22,12 +22,11 @@ def _as_notes(rows: DataFrame, ignore_prefixes: Iterable[str]) -> DataFrame:
     )
 
 
-def scan_notes(spark: SparkSession, root: str, ignore_prefixes: Iterable[str] = ()) -> DataFrame:
-    """All `**/*.md` below root as (path, content, modified_at, content_hash).
+UNREADABLE = "unreadable: gone, damaged or no UTF-8"
 
-    Files that cannot be read or are no UTF-8 are skipped. Spark lists neither empty files nor
-    names starting with `_` or `.`.
-    """
+
+def _files(spark: SparkSession, root: str) -> tuple[DataFrame, Column]:
+    """The note files below root, and their paths from there."""
     base = re.sub(_SCHEME, "", root).rstrip("/")
     files = (
         spark.read.format("binaryFile")
@@ -38,8 +37,34 @@ def scan_notes(spark: SparkSession, root: str, ignore_prefixes: Iterable[str] =
         .load(root)
     )
     absolute = F.regexp_replace("path", _SCHEME, "")
+    return files, normalise_path(F.substring(absolute, len(base) + 2, 1 << 30)).alias("path")
+
+
+def list_notes(spark: SparkSession, root: str, ignore_prefixes: Iterable[str] = ()) -> DataFrame:
+    """(path, modified_at) of all `**/*.md` below root, readable or not; no file is opened.
+
+    What is gone is decided by this listing, never by what could be read.
+    """
+    files, path = _files(spark, root)
+    rows = files.select(path, F.col("modificationTime").alias("modified_at"))
+    return rows.where(path_not_ignored(F.col("path"), ignore_prefixes))
+
+
+def scan_errors(listing: DataFrame, notes: DataFrame) -> DataFrame:
+    """(path, reason) of listed notes that the scan did not give."""
+    missed = listing.select("path").join(notes.select("path"), "path", "left_anti")
+    return missed.select("path", F.lit(UNREADABLE).alias("reason"))
+
+
+def scan_notes(spark: SparkSession, root: str, ignore_prefixes: Iterable[str] = ()) -> DataFrame:
+    """All `**/*.md` below root as (path, content, modified_at, content_hash).
+
+    Files that cannot be read or are no UTF-8 are left out here; `list_notes` has them, and
+    `scan_errors` tells them. Names that start with `_` or `.` are not listed by Spark.
+    """
+    files, path = _files(spark, root)
     rows = files.select(
-        normalise_path(F.substring(absolute, len(base) + 2, 1 << 30)).alias("path"),
+        path,
         F.try_validate_utf8(F.col("content").cast("string")).alias("content"),
         F.col("modificationTime").alias("modified_at"),
     )

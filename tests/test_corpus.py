@@ -10,7 +10,7 @@ from notegraph.operators.chunk import chunk_notes
 from notegraph.operators.embed import embed_chunks, hash_embed
 from notegraph.plans.populate import populate, populate_table
 from notegraph.schema import NOTES_SCHEMA, Settings
-from notegraph.sources.notes import invalid_embeddings, scan_notes, validate_embeddings
+from notegraph.sources.notes import UNREADABLE, invalid_embeddings, list_notes, scan_notes, validate_embeddings
 from notegraph.sources.table import load_notes, save_notes
 
 T0 = dt.datetime(2024, 1, 1)
@@ -173,14 +173,14 @@ def test_populate_table_rewrites_touched_buckets_only(spark, tmp_path):
     saves = lambda: sorted((tmp_path / "notes" / "notes").iterdir(), key=lambda p: p.stat().st_mtime)
     assert len(saves()) == 1
 
-    assert populate_table(spark, disk(spark, notes), root, SETTINGS, LATER).count() == 0
+    assert populate_table(spark, disk(spark, notes), root, SETTINGS, LATER).changes.count() == 0
     assert len(saves()) == 1
 
     del notes["n7.md"]
     notes["n8.md"] = "changed"
     notes["new.md"] = "brand new"
     log = str(tmp_path / "log")
-    changes = populate_table(spark, disk(spark, notes), root, SETTINGS, LATER, log_folder=log)
+    changes = populate_table(spark, disk(spark, notes), root, SETTINGS, LATER, log_folder=log).changes
     assert {r.path for r in changes.collect()} == {"n8.md", "new.md"}
     assert rows(load_notes(spark, root)) == rows(chunk_notes(disk(spark, notes), 10))
     assert len(saves()) == 2 and 1 <= len(list(saves()[1].glob("bucket=*"))) <= 3
@@ -260,3 +260,42 @@ def test_a_table_can_become_empty_and_full_again(spark, tmp_path):
         shown = disk(spark, notes) if notes else disk(spark, {"a.md": "x"}).limit(0)
         populate_table(spark, shown, root, SETTINGS, T0)
         assert [r[0] for r in rows(load_notes(spark, root))] == sorted(notes)
+
+
+def test_an_unreadable_file_keeps_its_chunks(spark, tmp_path):
+    folder, root = tmp_path / "notes", str(tmp_path / "table")
+    folder.mkdir()
+    (folder / "a.md").write_text("first")
+    (folder / "b.md").write_text("second")
+
+    def run(now):
+        return populate_table(
+            spark, scan_notes(spark, str(folder)), root, SETTINGS, now, listing=list_notes(spark, str(folder)), log_folder=str(tmp_path / "log")
+        )
+
+    report = run(T0)
+    assert report.unread.count() == 0 and report.check.first().valid == 2 and report.metrics.first().total_rows == 2
+    (folder / "b.md").write_bytes(b"\xff\xfe broken")
+    report = run(LATER)
+    assert [(r.path, r.reason) for r in report.unread.collect()] == [("b.md", UNREADABLE)]
+    assert {r.path: r.raw_content for r in load_notes(spark, root).collect()} == {"a.md": "first", "b.md": "second"}
+    assert spark.read.parquet(str(tmp_path / "log")).where("action = 'SCAN'").count() == 1
+    (folder / "b.md").unlink()
+    run(LATER)
+    assert {r.path for r in load_notes(spark, root).collect()} == {"a.md"}
+
+
+def test_texts_are_gone_through_once_to_find_the_work(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        calls.add(1)
+        return text
+
+    rows = disk(spark, {f"{i}.md": f"text {i}" for i in range(50)})
+    watched = rows.withColumn("content", seen.asNondeterministic()("content")).withColumn("content_hash", F.md5("content"))
+    stored = populate(rows, spark.createDataFrame([], NOTES_SCHEMA), SETTINGS, T0).notes.cache()
+    calls.value = 0
+    assert populate(watched, stored, SETTINGS, T0).changes.count() == 0
+    assert calls.value <= 100  # one inventory; the texts of changed notes are asked for once more
