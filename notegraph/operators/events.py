@@ -350,7 +350,10 @@ def coalesce_two_timer(events: DataFrame, quiet: float = 3.0, idle: float = 10.0
         .where(F.col("event_us").isNull())
         .select(F.col("us").alias("ready"), "next_us")
     )
-    joined = runs.join(upcoming, "ready", "left")
+    # Almost all runs ask for nothing; they must not meet under one empty key.
+    asking = runs.where(F.col("ready").isNotNull()).join(upcoming, "ready", "left")
+    quiet_ones = runs.where(F.col("ready").isNull()).withColumn("next_us", F.lit(None).cast("long"))
+    joined = asking.unionByName(quiet_ones)
     return _latest(_merge_runs(joined, F.coalesce(F.col("next_us") < F.col("lo"), F.lit(True))))
 
 

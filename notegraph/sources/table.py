@@ -61,6 +61,21 @@ def touched_buckets(spark: SparkSession, root: str, blocks: DataFrame) -> list[i
     return sorted(r.bucket for r in blocks.select(_bucket(buckets, F.col("block")).alias("bucket")).distinct().collect())
 
 
+def remove_superseded(spark: SparkSession, root: str) -> int:
+    """Delete the folders of buckets that newer saves replaced; returns how many. Not while old ones are being read."""
+    _, current = _current(spark, root, SCHEMA_VERSION)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    saves = hadoop.Path(f"{root}/notes")
+    files = saves.getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = 0
+    for folder in files.globStatus(hadoop.Path(saves, "*/bucket=*")) or []:
+        path = folder.getPath()
+        latest = current.get(int(path.getName().removeprefix("bucket=")))
+        if latest is not None and latest.save != path.getParent().getName():
+            removed += files.delete(path, True)
+    return removed
+
+
 def save_notes(notes: DataFrame, root: str, only: list[int] | None = None, buckets: int = BUCKETS) -> None:
     """Make `notes` the current rows of the table, or of the buckets in `only`."""
     if only == []:
@@ -83,5 +98,8 @@ def save_notes(notes: DataFrame, root: str, only: list[int] | None = None, bucke
         filled = {r.bucket for r in saved.select("bucket").distinct().collect()}
     except AnalysisException:  # no row was left
         filled = set()
+    # One writer at a time: a save that another one overtook must not be mixed with it.
+    if any(latest.generation >= generation for latest in _current(spark, root, SCHEMA_VERSION)[1].values()):
+        raise RuntimeError(f"another save to {root} was made meanwhile; run this one again")
     marks = [(SCHEMA_VERSION, generation, save, b, buckets, b in filled) for b in written]
     spark.createDataFrame(marks, _VERSIONS).coalesce(1).write.mode("append").parquet(f"{root}/versions")

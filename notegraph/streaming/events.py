@@ -65,12 +65,14 @@ class _Debounce(StatefulProcessor):
         pass
 
 
-def debounce_stream(events: DataFrame, seconds: float = 1.5, late: str = "1 minute") -> DataFrame:
-    """Streaming twin of debounce_events. Its output carries `ts` as event time for further steps."""
+def debounce_stream(events: DataFrame, seconds: float = 1.5, late: str | None = "1 minute") -> DataFrame:
+    """Streaming twin of debounce_events. late=None: the events have a watermark already. Its output carries `ts` as event time for further steps."""
     events.sparkSession.conf.set(*STATE_STORE)
     if not events.isStreaming:
         raise ValueError("a batch belongs to operators.events.debounce_events")
-    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    if late is not None:
+        events = events.withWatermark("ts", late)
+    timed = events.withColumn("us", F.unix_micros("ts"))
     return (
         timed.groupBy("path")
         .transformWithStateInPandas(
@@ -117,9 +119,14 @@ def clean_stream(
     quiet_seconds: float = 3.0,
     late: str = "1 minute",
     rules: Sequence[tuple[str, str]] = ROUTES,
+    writes: DataFrame | None = None,
+    self_write_seconds: float = 5.0,
 ) -> DataFrame:
-    """Ignored paths, kinds, debounce, bursts and routing in one streaming plan."""
-    kept = debounce_stream(event_kinds(filter_ignored(events)), debounce_seconds, late)
+    """Own writes (a stream of path and ts, if given), ignored paths, kinds, debounce, bursts and routing in one
+    streaming plan. Without `writes` a linker would react to its own patches."""
+    if writes is not None:
+        events = suppress_stream(events, writes, self_write_seconds, late)
+    kept = debounce_stream(event_kinds(filter_ignored(events)), debounce_seconds, late if writes is None else None)
     return route_events(coalesce_stream(kept, quiet_seconds, late=None), rules)
 
 

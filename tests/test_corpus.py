@@ -11,7 +11,7 @@ from notegraph.operators.embed import embed_chunks, hash_embed
 from notegraph.plans.populate import populate, populate_table
 from notegraph.schema import NOTES_SCHEMA, Settings
 from notegraph.sources.notes import UNREADABLE, invalid_embeddings, list_notes, scan_notes, validate_embeddings
-from notegraph.sources.table import load_notes, save_notes
+from notegraph.sources.table import load_notes, remove_superseded, save_notes
 
 T0 = dt.datetime(2024, 1, 1)
 LATER = dt.datetime(2024, 1, 2)
@@ -299,3 +299,33 @@ def test_texts_are_gone_through_once_to_find_the_work(spark, tmp_path):
     calls.value = 0
     assert populate(watched, stored, SETTINGS, T0).changes.count() == 0
     assert calls.value <= 100  # one inventory; the texts of changed notes are asked for once more
+
+
+def test_superseded_saves_go_and_a_second_writer_is_refused(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = {f"{i}.md": f"text {i}" for i in range(40)}
+    populate_table(spark, disk(spark, rows), root, SETTINGS, T0, buckets=4)
+    populate_table(spark, disk(spark, rows | {"3.md": "new"}), root, SETTINGS, LATER)
+    before = sorted((r.path, r.raw_content) for r in load_notes(spark, root).collect())
+    assert remove_superseded(spark, root) == 1  # one changed note rewrote one bucket of four
+    assert sorted((r.path, r.raw_content) for r in load_notes(spark, root).collect()) == before
+
+    stale = load_notes(spark, root)
+
+    import notegraph.sources.table as stored
+
+    current, calls = stored._current, []
+
+    def overtaking(*arguments):
+        calls.append(1)
+        if len(calls) == 2:
+            stored._current = current
+            save_notes(stale, root)
+        return current(*arguments)
+
+    stored._current = overtaking
+    try:
+        with pytest.raises(RuntimeError, match="another save"):
+            save_notes(stale, root)
+    finally:
+        stored._current = current

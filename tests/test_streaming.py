@@ -70,6 +70,18 @@ def test_clean_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
 
 
+def test_clean_stream_leaves_out_own_writes(spark, tmp_path):
+    events = log(spark, random_rows(9, 300, 6, 2000) + [SENTINEL])
+    writes = log(spark, random_rows(8, 60, 6, 2000) + [SENTINEL, ("other.md", 100_000.0)])
+    stream = st.event_stream(spark, as_files(events, tmp_path / "e"))
+    own = st.event_stream(spark, as_files(writes, tmp_path / "w"))
+    got = run(st.clean_stream(stream, 1.5, 3.0, writes=own), tmp_path).where("path != 'sentinel.md'")
+    expected = ev.clean_events(events, writes.select("path", "ts")).where("path != 'sentinel.md'")
+    columns = ["event_id", "path", "kind", "ts", "first_ts", "n_events", "handler"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+    assert expected.count() < ev.clean_events(events, writes.limit(0).select("path", "ts")).count()
+
+
 def test_late_events_are_dropped_and_counted(spark, tmp_path):
     schema = log(spark, []).schema
     first, second = [(1, "a.md", "modified", at(1000))], [(4, "c.md", "modified", at(1100))]
