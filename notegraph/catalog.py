@@ -318,9 +318,14 @@ def patch_log_summary(spark, folder):
 
 
 def _link_inputs(spark, folder):
-    vectors = s.vector_notes(spark, folder)
-    times = F.lit(s.START).cast("timestamp").alias("modified_at"), F.lit(None).cast("timestamp").alias("last_backlinked_at")
-    return vectors.select("*", *times), s.linked_texts(spark, folder), links.similarity_decider(THRESHOLD)
+    """All texts, and their own chunks with built-in vectors."""
+    texts = s.linked_texts(spark, folder)
+    dated = texts.select("*", F.lit(s.START).cast("timestamp").alias("modified_at"), F.md5("content").alias("content_hash"))
+    notes = hash_embed(chunk_notes(dated, 1000).repartition(*CHUNK_KEY), s.DIMENSIONS)
+    never = F.lit(None).cast("timestamp").alias("last_backlinked_at")
+    # The search reads the vectors several times, so they are written out once.
+    notes = materialise(notes.select(*CHUNK_KEY, "embedding", "modified_at", never))
+    return notes, texts, links.similarity_decider(THRESHOLD)
 
 
 def suggest(spark, folder):

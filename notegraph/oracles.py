@@ -192,23 +192,29 @@ def _upserted(replace_stale: bool, populated: bool) -> str:
     {stale if replace_stale else ''} {present if populated else ''})"""
 
 
-_relation(
-    "x_tokens",
-    r"""SELECT path, chunk_index, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM (
+def _vectors(prefix: str, chunks: str) -> None:
+    """Registers the built-in vectors of a relation of chunks: tokens, weights, vectors of length one."""
+    _relation(
+        f"{prefix}tokens",
+        rf"""SELECT path, chunk_index, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM (
             SELECT path, chunk_index, unnest(string_split_regex(lower(raw_content), '[ \t\n\r]+')) AS token
-            FROM x_disk_chunks) WHERE token <> '' GROUP BY ALL""",
-)
-_relation(
-    "x_weights",
-    """SELECT path, chunk_index, bucket,
-            (n / sqrt(sum(n * n) OVER (PARTITION BY path, chunk_index)))::FLOAT::DOUBLE AS weight FROM x_tokens""",
-)
-_relation(
-    "x_hashed",
-    """SELECT path, chunk_index, list(coalesce(weight, 0.0) ORDER BY bucket) AS e FROM (
-            SELECT DISTINCT path, chunk_index, b.bucket FROM x_tokens, (SELECT unnest(range(64)) AS bucket) b)
-        LEFT JOIN x_weights USING (path, chunk_index, bucket) GROUP BY path, chunk_index""",
-)
+            FROM {chunks}) WHERE token <> '' GROUP BY ALL""",
+    )
+    _relation(
+        f"{prefix}weights",
+        f"""SELECT path, chunk_index, bucket,
+            (n / sqrt(sum(n * n) OVER (PARTITION BY path, chunk_index)))::FLOAT::DOUBLE AS weight FROM {prefix}tokens""",
+    )
+    _relation(
+        f"{prefix}hashed",
+        f"""SELECT path, chunk_index, list(coalesce(weight, 0.0) ORDER BY bucket) AS e FROM (
+            SELECT DISTINCT path, chunk_index, b.bucket FROM {prefix}tokens, (SELECT unnest(range(64)) AS bucket) b)
+        LEFT JOIN {prefix}weights USING (path, chunk_index, bucket) GROUP BY path, chunk_index""",
+    )
+
+
+_vectors("x_", "x_disk_chunks")
+_vectors("x_text_", "x_text_chunks")
 _relation(
     "x_vectors",
     """SELECT 'n' || (vec_id // 2) || '.md' AS path, (vec_id % 2)::INT AS chunk_index, embedding::DOUBLE[] AS e
@@ -230,6 +236,8 @@ _relation(
                 || '-  [[n' || (doc_id + 2) || '.md]] - seen' || chr(10) || '## Next' || chr(10) || 'more' || chr(10)
             END AS content FROM documents""",
 )
+_relation("x_text_chunks", _chunks("x_texts", "md5(content) AS content_hash"))
+_relation("x_text_matches", _knn("x_text_hashed"))
 _relation(
     "x_near",
     """SELECT 'n' || doc_id || '.md' AS path, 'n' || (doc_id + n) || '.md' AS similar_path, 'n' || (doc_id + n) AS stem,
@@ -262,7 +270,7 @@ _relation(
         UNION ALL SELECT path, similar_path, similarity, rank + 5 FROM x_near"""
     ),
 )
-_relation("x_match_pairs", _pairs("SELECT path, similar_path, similarity, rank FROM x_matches"))
+_relation("x_match_pairs", _pairs("SELECT path, similar_path, similarity, rank FROM x_text_matches"))
 _relation("x_match_links", f"SELECT * FROM ({_decided('x_match_pairs')}) WHERE should_link")
 _relation("x_near_links", "SELECT path, similar_path, rank, 'near' AS reason FROM x_near")
 for _mode in ("full", "reference"):
@@ -463,7 +471,7 @@ def oracles() -> dict[str, str]:
             status, reason, count(*) AS n, count(*) FILTER (before_mismatch) AS n_mismatch FROM x_resolved GROUP BY 1, 2, 3""",
         "suggest_links": _built("x_match_links", "full"),
         "link_notes": f"""SELECT path, chunk_index, CASE WHEN path IN (SELECT path FROM ({_built('x_match_links', 'full')}))
-            THEN {_NOW} ELSE -1 END AS backlinked_us FROM x_vectors""",
+            THEN {_NOW} ELSE -1 END AS backlinked_us FROM x_text_chunks""",
         "event_kinds": _kinds("x_events"),
         "route_events": "SELECT event_id, path, 'backlinker' AS handler FROM x_events WHERE regexp_matches(path, '(?i)\\.md$')",
         "suppress_self_writes": _unsuppressed(HOUR),
