@@ -9,9 +9,11 @@ One tree over all points would cut off next to nothing: links may differ in a fi
 than unrelated points differ in any few coordinates. So a tree is built for the classes that share a rare shingle.
 Which shingles must be shared follows from the least overlap. Ordered by hash, two linked sets share at least
 1 + n // 50 of the first n / 5 + n / 40 shingles (n: the size of either), so classes with fewer shingles that occur
-elsewhere are dropped; the rest goes on with its rarest shingles. Hot shingles are met in three ways: each class is
-first compared with one leader per shingle (a linear number of pairs), shingles whose classes are all connected by
-then are dropped, and what is left of large buckets is cut into pairs of blocks.
+elsewhere are dropped; the rest goes on with its rarest shingles. A shingle's leader is the smallest class that has it,
+and classes are put together by the leaders of their shingles: classes that share a shingle share its leader, and
+copies of one text share few leaders where they share hundreds of shingles. Hot leaders are met in three ways: each
+class is first compared with its leaders (a linear number of pairs), leaders whose classes are all connected by then
+are dropped, and what is left of large buckets is cut into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from notegraph.llm.common import BLANK_BYTES, LOWER_BYTES, hashes, mixed, shared_checkpoint, shingles, sliced, spans, utf8, written
 
-SIZE, GROUPS = 5, 32
+SIZE, GROUPS = 5, 64
 LEAF, FANOUT, BLOCK = 16, 8, 1024
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Ids that are broadcast at most (8 bytes each); beyond it the join is a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -189,7 +191,7 @@ def bucket_pairs(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sides:
 
 
 def tree_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of all buckets. rows: tok, rep, n, label, point, m (rows of the bucket).
+    """Candidate pairs (a, b) of all buckets. rows: bucket, rep, n, label, point, m (rows of the bucket).
 
     Buckets over BLOCK rows are cut into blocks, and each pair of blocks is a bucket of its own.
     """
@@ -200,15 +202,15 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
     rows = rows.select("*", other.alias("other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     rows = rows.select(
-        "tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "label", side.cast("int").alias("side"), "point"
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "label", side.cast("int").alias("side"), "point"
     )
-    rows = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-            keys = np.stack([table.column(c).to_numpy() for c in ("tok", "i", "j")], 1)
+            keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1 if len(keys) else np.zeros(0, int)
             # The last bucket may go on in the next batch.
             last = int(cuts[-1]) if len(cuts) else 0
@@ -256,14 +258,14 @@ def jaccard_components(documents: DataFrame, size: int = SIZE) -> DataFrame:
     edges = written(linked(pairs, sets))
     tried = written(pairs)
     kept = F.slice("toks", F.lit(1), (F.size("toks") - F.floor(F.col("n") / 50)).cast("int"))
-    rare = held.select("rep", "n", F.explode(kept["tok"]).alias("tok"))
+    rare = written(held.select("rep", "n", F.explode(F.array_distinct(kept["leader"])).alias("bucket")))
     for turn in range(STAR_ROUNDS + 1):
         labels = components(edges).withColumnRenamed("vertex", "rep")
-        rows = rare.join(labels, "rep", "left").select("tok", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        mixed_buckets = rows.groupBy("tok").agg(
+        rows = rare.join(labels, "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        mixed_buckets = rows.groupBy("bucket").agg(
             F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", "rep")).alias("lead")
         )
-        rows = rows.join(mixed_buckets.where("low < high"), "tok")
+        rows = rows.join(mixed_buckets.where("low < high"), "bucket")
         if turn < STAR_ROUNDS:
             # Classes that are not yet connected with the leading class of a bucket.
             candidates = rows.where("label <> lead.label").groupBy("rep", F.col("lead.rep").alias("leader")).agg(F.count("*").alias("c"))
@@ -271,7 +273,7 @@ def jaccard_components(documents: DataFrame, size: int = SIZE) -> DataFrame:
             candidates = candidates.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         else:
             points = one.select(F.col("doc_id").alias("rep"), "n", "point")
-            candidates = tree_pairs(rows.select("tok", "rep", "n", "label", "m").join(points, ["rep", "n"]))
+            candidates = tree_pairs(rows.select("bucket", "rep", "n", "label", "m").join(points, ["rep", "n"]))
         candidates = written(candidates.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(candidates)
         edges = written(edges.unionByName(linked(candidates, sets)))
