@@ -49,7 +49,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows, so that one piece has about `most` bytes of text at most, or a single row."""
     for batch in batches:
         _, offsets = utf8(batch.column(column))
@@ -95,9 +95,17 @@ def spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray) -> tuple[n
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes; stretches must be in order and must not overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each stretch of bytes. Some 2^20 bytes are held at a time, or a single longer stretch."""
+    out = np.zeros(len(starts), np.uint64)
+    ends, at = np.cumsum(lengths), 0
+    while at < len(starts):
+        until = max(at + 1, int(np.searchsorted(ends, ends[at] - lengths[at] + (1 << 20), "right")))
+        out[at:until] = _hashes(data, starts[at:until], lengths[at:until])
+        at = until
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     place = ragged(np.zeros(len(starts), np.int64), lengths)
     value = _BYTE[data[ragged(starts, lengths)]] * _LOW[place & 0xFFFF]
     if len(place) and int(lengths.max()) > 1 << 16:

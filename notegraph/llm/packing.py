@@ -25,7 +25,7 @@ CAPACITY = 1024
 END_ID = 2
 SPECIAL = "<|endoftext|>"
 #: Words whose ids a Python worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 #: Words that are tokenized in one text.
 JOINED = 200
 #: White space of the tokenizer's pattern, below U+10000.
@@ -113,11 +113,12 @@ class WordIds:
         return flat, counts
 
     def known(self, words: np.ndarray) -> np.ndarray:
-        if len(self.places) + len(words) > KEPT_WORDS:
+        found = np.fromiter((self.places.get(x, -1) for x in words), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(self.places) + len(missing) > KEPT_WORDS and self.places:
             self.clear()
+            missing = np.arange(len(words))
         places = self.places
-        found = np.fromiter((places.get(x, -1) for x in words), np.int64, len(words))
-        missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found
         new = words[missing].tolist()
