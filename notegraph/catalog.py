@@ -380,8 +380,8 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return s.file_events(stream)
 
 
-def _run(stream: DataFrame) -> DataFrame:
-    """Run a stream over what there is now and give its output as a table.
+def _run(stream: DataFrame, finish: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over what there is now, then over what `finish` adds, and give its output as a table.
 
     A stream keeps one state store per shuffle partition, so it gets no more of them than cores.
     """
@@ -391,14 +391,42 @@ def _run(stream: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), spark.sparkContext.defaultParallelism))
     try:
         writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{target}/state")
-        writer.outputMode("append").trigger(availableNow=True).start(f"{target}/rows").awaitTermination()
+        writer = writer.outputMode("append").trigger(availableNow=True)
+        writer.start(f"{target}/rows").awaitTermination()
+        if finish:
+            finish()
+            writer.start(f"{target}/rows").awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema(stream.schema).parquet(f"{target}/rows")
 
 
+def _ended(spark: SparkSession, folder: str, build: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
+    """The output of the stream that build(source) makes of the event table, run until every row has left it.
+
+    When the table has been read, a marker far behind the last event moves the watermark past all of them. It is a
+    write, so that it also ends a stream of writes, and is filtered out of the output.
+    """
+    marks, path = f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}", f"end-{uuid.uuid4().hex}.md"
+    raw = s.raw_events(spark, folder)
+    raw.limit(0).write.parquet(marks)
+
+    def source() -> DataFrame:
+        return _event_stream(spark, folder).unionByName(spark.readStream.schema(raw.schema).parquet(marks))
+
+    def finish() -> None:
+        last = F.coalesce(F.max("ts"), F.lit(NOW).cast("timestamp")) + F.expr("INTERVAL 365 DAYS")
+        marker = raw.agg(last.alias("ts")).select(
+            F.lit(0).cast(raw.schema["event_id"].dataType).alias("event_id"), F.lit(path).alias("path"),
+            F.lit("moved").alias("kind"), "ts",
+        )
+        marker.write.mode("append").parquet(marks)
+
+    return _run(build(source), finish).where(F.col("path") != path)
+
+
 def debounce_stream(spark, folder):
-    return _event_rows(_run(streams.debounce_stream(_event_stream(spark, folder), 6 * HOUR)))
+    return _event_rows(_ended(spark, folder, lambda source: streams.debounce_stream(source(), 6 * HOUR, ordered=True)))
 
 
 def coalesce_stream(spark, folder):

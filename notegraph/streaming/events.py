@@ -30,8 +30,19 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _kept(us: np.ndarray, last: int | None, window: int) -> tuple[list[int], int | None]:
+    """Places of the kept ones among sorted times, and the time of the last kept one."""
+    position = 0 if last is None else int(np.searchsorted(us, last + window, side="left"))
+    kept = []
+    while position < len(us):  # one step per kept event, not per event
+        kept.append(position)
+        last = int(us[position])
+        position = int(np.searchsorted(us, last + window, side="left"))
+    return kept, last
+
+
 class _Debounce(StatefulProcessor):
-    """Keeps the time of the last kept event of a path."""
+    """Keeps the time of the last kept event of a path, and decides on events as they arrive."""
 
     def __init__(self, window: int):
         self.window = window
@@ -44,12 +55,7 @@ class _Debounce(StatefulProcessor):
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
         us = frame["us"].to_numpy()
         last = self.last.get()[0] if self.last.exists() else None
-        position = 0 if last is None else int(np.searchsorted(us, last + self.window, side="left"))
-        kept = []
-        while position < len(us):  # one step per kept event, not per event
-            kept.append(position)
-            last = int(us[position])
-            position = int(np.searchsorted(us, last + self.window, side="left"))
+        kept, last = _kept(us, last, self.window)
         if kept:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -65,19 +71,88 @@ class _Debounce(StatefulProcessor):
         pass
 
 
-def debounce_stream(events: DataFrame, seconds: float = 1.5, late: str | None = "1 minute") -> DataFrame:
-    """Streaming twin of debounce_events. late=None: the events have a watermark already. Its output carries `ts` as event time for further steps."""
+class _OrderedDebounce(StatefulProcessor):
+    """Holds the events of a path until the watermark has passed them, and decides on them in order of time."""
+
+    def __init__(self, window: int, held: T.StructType):
+        self.window = window
+        self.held_schema = held
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
+        self.held = handle.getListState("held", self.held_schema)
+
+    def _wake(self, us: int) -> None:
+        """One timer per path, at the first millisecond that is not before `us`."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, at = self.held_schema.names, self.held_schema.names.index("us")
+        first = None
+        for frame in rows:
+            values = frame[names].itertuples(index=False, name=None)
+            new = [tuple(None if pd.isna(v) else v for v in row) for row in values]
+            self.held.appendList(new)
+            first = min([row[at] for row in new] + ([] if first is None else [first]))
+        timers = list(self.handle.listTimers())
+        # A path without held events has the timer of its eviction, which comes too late for new ones.
+        if first is not None and (not timers or -(-first // 1000) < min(timers)):
+            self._wake(first)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        frame = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=self.held_schema.names)
+        passed = frame["us"].le(until).to_numpy(bool)
+        rest = list(frame[~passed].itertuples(index=False, name=None))
+        frame = frame[passed].sort_values(["us", "event_id"], kind="stable")
+        us = frame["us"].to_numpy(np.int64)
+        last = self.last.get()[0] if self.last.exists() else None
+        kept, last = _kept(us, last, self.window)
+        if kept:
+            self.last.update((last,))
+        if rest:
+            self.held.put(rest)
+            self._wake(min(row[self.held_schema.names.index("us")] for row in rest))
+        else:
+            self.held.clear()
+            # What comes from now on is behind the watermark; a window behind the last kept event all of it is kept.
+            if last is not None and last + self.window > until:
+                self._wake(last + self.window)
+            else:
+                self.last.clear()
+        if kept:
+            frame = frame.iloc[kept]
+            yield frame.assign(ts=pd.to_datetime(frame["us"].astype("int64"), unit="us", utc=True))
+
+    def close(self) -> None:
+        pass
+
+
+def debounce_stream(
+    events: DataFrame, seconds: float = 1.5, late: str | None = "1 minute", ordered: bool = False
+) -> DataFrame:
+    """Debounce of a stream. late=None: the events have a watermark already. Its output carries `ts` as event time for further steps.
+
+    ordered=True is the streaming twin of debounce_events, in whatever order events arrive within `late`: an event is
+    held until the watermark has passed it. Otherwise it is decided on when it arrives, at once, but an event that comes
+    in a later micro-batch than a newer kept one of its path is dropped and may shift later decisions.
+    """
     events.sparkSession.conf.set(*STATE_STORE)
     if not events.isStreaming:
         raise ValueError("a batch belongs to operators.events.debounce_events")
     if late is not None:
         events = events.withWatermark("ts", late)
     timed = events.withColumn("us", F.unix_micros("ts"))
+    window = micros(seconds)
+    held = T.StructType([field for field in timed.schema if field.name != "ts"])
+    processor = _OrderedDebounce(window, held) if ordered else _Debounce(window)
     return (
         timed.groupBy("path")
-        .transformWithStateInPandas(
-            _Debounce(micros(seconds)), timed.schema, "Append", "EventTime", eventTimeColumnName="ts"
-        )
+        .transformWithStateInPandas(processor, timed.schema, "Append", "EventTime", eventTimeColumnName="ts")
         .select(*events.columns)
     )
 
@@ -126,7 +201,10 @@ def clean_stream(
     streaming plan. Without `writes` a linker would react to its own patches."""
     if writes is not None:
         events = suppress_stream(events, writes, self_write_seconds, late)
-    kept = debounce_stream(event_kinds(filter_ignored(events)), debounce_seconds, late if writes is None else None)
+    # The bursts need the watermark to pass an event anyway, so holding events until then delays nothing much.
+    kept = debounce_stream(
+        event_kinds(filter_ignored(events)), debounce_seconds, late if writes is None else None, ordered=True
+    )
     return route_events(coalesce_stream(kept, quiet_seconds, late=None), rules)
 
 

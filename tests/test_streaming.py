@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import uuid
 
 import pytest
@@ -42,6 +43,22 @@ def test_debounce_stream_equals_batch(spark, tmp_path, files):
     assert ids(run(st.debounce_stream(stream, 4.0), tmp_path)) == ids(ev.debounce_events(events, 4.0))
 
 
+def shuffled_files(events, folder, files):
+    """Files in which the events lie in no order of time; the end marker comes in one of its own."""
+    rows = events.where("path != 'sentinel.md'").collect()
+    random.Random(1).shuffle(rows)
+    for part in [rows[n::files] for n in range(files)] + [events.where("path = 'sentinel.md'").collect()]:
+        events.sparkSession.createDataFrame(part, events.schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return str(folder)
+
+
+def test_ordered_debounce_does_not_depend_on_arrival(spark, tmp_path):
+    events = log(spark, random_rows(5, 200, 4, 55) + [SENTINEL])  # all within the lateness
+    stream = st.event_stream(spark, shuffled_files(events, tmp_path / "in", 3), files_per_trigger=1)
+    got = run(st.debounce_stream(stream, 1.5, ordered=True), tmp_path)
+    assert ids(got) == ids(ev.debounce_events(events.where("path != 'sentinel.md'"), 1.5))
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_coalesce_stream_equals_batch(spark, tmp_path, files):
     events = log(spark, random_rows(6, 400, 6, 2000) + [SENTINEL])
