@@ -444,6 +444,30 @@ def clean_stream(spark, folder):
     return cleaned.select("event_id", "path", "kind", _us("ts", "us"), "n_events", "handler")
 
 
+# The three streams above run to the end of their input and no further, as their statements have it. The same rules
+# with every row let out, and with own writes left out of the clean stream, have the statements of the batch queries.
+
+
+def coalesce_stream_ended(spark, folder):
+    return _burst_rows(_ended(spark, folder, lambda source: streams.coalesce_stream(source(), 6 * HOUR)))
+
+
+def suppress_stream_ended(spark, folder):
+    def build(source):
+        return streams.suppress_stream(source(), source().where(F.col("kind") == "moved"), HOUR)
+
+    return _event_rows(_ended(spark, folder, build))
+
+
+def clean_stream_ended(spark, folder):
+    def build(source):
+        writes = source().where(F.col("kind") == "moved")
+        return streams.clean_stream(source(), HOUR, 3 * HOUR, writes=writes, self_write_seconds=HOUR)
+
+    cleaned = _ended(spark, folder, build)
+    return cleaned.select("event_id", "path", "kind", _us("ts", "us"), "n_events", "handler")
+
+
 QUERIES: dict[str, Query] = {
     "scan_notes": scan_notes,
     "scan_errors": scan_errors,
@@ -501,4 +525,7 @@ QUERIES: dict[str, Query] = {
     "coalesce_stream": coalesce_stream,
     "suppress_stream": suppress_stream,
     "clean_stream": clean_stream,
+    "coalesce_stream_ended": coalesce_stream_ended,
+    "suppress_stream_ended": suppress_stream_ended,
+    "clean_stream_ended": clean_stream_ended,
 }

@@ -495,5 +495,8 @@ def oracles() -> dict[str, str]:
         "clean_events": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler
             FROM ({_bursts("x_clean", f"us - before > {3 * HOUR}")}) WHERE path LIKE '%.md'""",
     }
+    # Streams that are run until every row has left them give what the batch queries give.
+    plain |= {f"{k}_stream_ended": plain[v] for k, v in (("coalesce", "coalesce_events"), ("suppress", "suppress_self_writes"))}
+    walked["clean_stream_ended"] = walked["clean_events"]
     walked |= {k: plain.pop(k) for k in ("resolve_patches", "apply_patches", "patch_log_summary")}
     return {k: _with(v) for k, v in plain.items()} | {k: _with(v, recursive=True) for k, v in walked.items()}
