@@ -7,6 +7,7 @@ Templates are ranked by how much smaller the block gets; the best are confirmed
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -15,11 +16,17 @@ from pyspark.sql import DataFrame
 
 from notegraph.llm.common import sliced
 
-#: Words kept on both sides of license vocabulary; templates compared word by word; share of a template's words that
-#: must be there in order.
+#: Words kept on both sides of license vocabulary; templates compared word by word at a time, down the ranking until one
+#: is confirmed; share of a template's words that must be there in order.
 MARGIN, COMPARED, CONFIRMED = 60, 3, 0.9
 TRIGGER = re.compile(r"licen[sc]e|copyright|copyleft|spdx|permission is hereby|redistribut|public domain|all rights reserved", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*", re.U)
+# Words that tell licenses apart, besides versions: a notice with another one, or without one of its own, is another notice.
+NAMES = frozenset(
+    "affero apache bsd cc cc0 by-nc by-nd by-sa by-nc-nd by-nc-sa eclipse general gnu lesser library mit mozilla "
+    "noncommercial non-commercial noderivatives sharealike".split()
+)
+VERSION = re.compile(r"v?\d+(?:\.\d+)*")
 
 # Short notices and opening paragraphs of common licenses.
 TEMPLATES = {
@@ -72,6 +79,11 @@ def blocks(text: str, margin: int = MARGIN) -> list[list[str]]:
     return [[w for w, _, _ in words(text[a:b])] for a, b in stretches]
 
 
+def deciding(template: list[str]) -> set[str]:
+    """Words of a template that must all be there: names and versions."""
+    return {w for w in template if w in NAMES or VERSION.fullmatch(w) or (w == "by" and "cc" in template)}
+
+
 class Compressors:
     """Sizes of a block alone and given each template."""
 
@@ -79,6 +91,7 @@ class Compressors:
         import zstandard
 
         self.words = {name: [w for w, _, _ in words(text)] for name, text in templates.items()}
+        self.deciding = {name: deciding(found) for name, found in self.words.items()}
         self.alone = zstandard.ZstdCompressor(level=9)
         self.given = {
             name: zstandard.ZstdCompressor(
@@ -112,17 +125,43 @@ def differences(template: list[str], block: list[str]) -> tuple[float, list[str]
     return (len(inside) - 0.5 * len(extra)) / len(template), changes, places
 
 
+def confirm(template: list[str], must: set[str], block: list[str], confirmed: float) -> tuple[list[str], list[int]] | None:
+    """Differences in wording and places of the passage that has that share of the template and none of whose
+    differences is a name, or a version where the template has one. Other passages are passed over."""
+    versioned = any(VERSION.fullmatch(w) for w in must)
+    while True:
+        share, changes, places = differences(template, block)
+        if share < confirmed:
+            return None
+        other = [w for w in (c[1:] for c in changes) if w in must or w in NAMES or (versioned and VERSION.fullmatch(w))]
+        if not other:
+            return changes, places
+        block = list(block)
+        for k in places:
+            block[k] = ""
+
+
 def licenses(block: list[str], compressors: Compressors, compared: int = COMPARED, confirmed: float = CONFIRMED) -> list[tuple[str, int, list[str]]]:
     """(template, bytes saved, differences) of every notice of a block. A confirmed notice is taken out, and the rest
-    is ranked again, until nothing is confirmed."""
+    is ranked again, until nothing is confirmed: neither one of the ranked templates nor one that saves no bytes."""
     out = []
     while block:
         best = None
-        for saved, name in compressors.ranked(block)[:compared]:
-            template = compressors.words[name]
-            share, changes, places = differences(template, block)
-            if share >= confirmed and (best is None or (len(changes), -len(template)) < best[0]):
-                best = ((len(changes), -len(template)), name, saved, changes, places)
+        held = Counter(block)
+        order = compressors.ranked(block)
+        ranked = {name for _, name in order}
+        order += [(0, name) for name in sorted(compressors.words) if name not in ranked]
+        for at in range(0, len(order), compared):
+            for saved, name in order[at : at + compared]:
+                template, must = compressors.words[name], compressors.deciding[name]
+                # What the block has of the template in any order is a bound on what it has in order.
+                if not must <= held.keys() or (Counter(template) & held).total() / len(template) < confirmed:
+                    continue
+                found = confirm(template, must, block, confirmed)
+                if found and (best is None or (len(found[0]), -len(template)) < best[0]):
+                    best = ((len(found[0]), -len(template)), name, saved, *found)
+            if best:
+                break
         if best is None:
             return out
         out.append(best[1:4])

@@ -29,6 +29,30 @@ def test_two_notices_in_one_block():
     assert {n for n, _ in found(TEMPLATES["MIT"] + " " + TEMPLATES["Apache-2.0"])} == {"MIT", "Apache-2.0"}
 
 
+def test_complete_notices_behind_longer_partial_ones():
+    def part(name):
+        return " ".join(w for k, w in enumerate(TEMPLATES[name].split()) if k % 6)
+
+    partial = " ".join(part(n) for n in ("MIT-text", "GPL-3.0-header", "Apache-2.0-header"))
+    assert found(partial) == []
+    for name in ("Proprietary", "Apache-2.0", "MIT", "CC-BY-4.0"):
+        got = found(partial + " " + TEMPLATES[name])
+        assert (name, []) in got, (name, got)
+
+
+def test_names_and_versions_decide():
+    lgpl = TEMPLATES["LGPL-3.0"]
+    for other in (
+        lgpl.replace("version 3", "version 2.1"), lgpl.replace("version 3", "version 2"), lgpl.replace("Lesser", "Affero"),
+        TEMPLATES["GPL-3.0-header"].replace("General", "Affero General"), TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"),
+        TEMPLATES["CC-BY-NC-4.0"].replace("BY-NC", "BY-NC-ND"),
+    ):
+        assert found(NOISE + other + " " + NOISE) == [], other
+    # A passage of another version does not hide the notice behind it.
+    later = lgpl.replace("This work", "That work")
+    assert [n for n, _ in found(lgpl.replace("version 3", "version 2.1") + " " + NOISE + later)] == ["LGPL-3.0"]
+
+
 def test_clean_text_has_none():
     assert found(NOISE * 20) == [] and found("the license plate was stolen") == []
 
