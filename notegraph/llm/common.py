@@ -135,3 +135,22 @@ def written(frame: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows that come sorted by the keys as one table per key. A key's rows may come in several batches."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        if not len(rows):
+            continue
+        new = np.zeros(len(rows) - 1, bool)
+        for key in keys:
+            column = rows.column(key).combine_chunks()
+            new |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+        cuts = np.r_[0, np.flatnonzero(new) + 1]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            yield rows.slice(start, end - start)
+        rest = rows.slice(cuts[-1])
+    if rest is not None and len(rest):
+        yield rest

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from notegraph.llm import decontaminate, jaccard, license, lm_score, packing, pii, quality, toxicity, warc, winnow
+from notegraph.llm import (
+    decontaminate, gridcodes, jaccard, license, lm_score, merkle, packing, pii, polytope, quality, toxicity, warc, winnow,
+)
 from notegraph.llm.common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -69,6 +71,54 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents")))
+    digest = F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", digest, "folded_root", "verified")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def vector_codes_sql(rounds: int = gridcodes.ROUNDS, entries: int = gridcodes.ENTRIES) -> str:
+    """The codes as one statement: a pair of common tables (nearest entries, next codebook) for each round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+            SELECT vec_id, part, min(d) AS d, arg_min(entry, d * {entries} + entry) AS entry FROM (
+                SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS d FROM p JOIN b{k} b ON p.part = b.part AND p.pos = b.pos GROUP BY ALL
+            ) GROUP BY vec_id, part
+        )""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+            SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+                SELECT part, entry, pos, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM a{k} JOIN p USING (vec_id, part) GROUP BY ALL
+            ) m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos
+        )""")
+    listed = ",\n        ".join(steps)
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, embedding AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS MATERIALIZED (
+            SELECT vec_id, i // (n // 4) AS part, i % (n // 4) AS pos, CAST(floor(1024 * CAST(v[i + 1] AS DOUBLE)) AS BIGINT) AS x
+            FROM (SELECT vec_id, v, len(v) AS n, unnest(range(len(v))) AS i FROM kept)
+        ), b0 AS MATERIALIZED (
+            SELECT part, r - 1 AS entry, pos, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM kept) USING (vec_id) WHERE r <= {entries}
+        ), {listed}, coded AS (
+            SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -80,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_jaccard": op10_jaccard,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_merkle": op12_merkle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -136,4 +189,62 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) m USING (doc_id)
     """,
+    "op11_near_vectors": """
+        WITH RECURSIVE ok AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), near AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+        ), reach AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+        FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM near GROUP BY a) USING (vec_id)
+            LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)
+    """,
+    "op12_merkle": r"""
+        WITH RECURSIVE texts AS (
+            SELECT *, CASE WHEN list_reduce(
+                    list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ord(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda crc, step: CASE WHEN step >= 0 THEN xor(crc, step) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END
+                ) % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents
+        ), leaves AS MATERIALIZED (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS c
+            FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM texts)
+        ), grown AS (
+            SELECT source, 0 AS level, i, leaf AS h, c FROM leaves
+            UNION ALL
+            SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (c + 2) // 3 FROM grown WHERE c > 1 GROUP BY source, level, i // 3, c
+        ), subroots AS MATERIALIZED (
+            SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS c FROM grown WHERE c = 1
+        ), above AS (
+            SELECT 0 AS level, i, subroot AS h, c FROM subroots
+            UNION ALL
+            SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (c + 2) // 3 FROM above WHERE c > 1 GROUP BY level, i // 3, c
+        ), beside AS MATERIALIZED (
+            SELECT a.source, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+            FROM grown a JOIN grown b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.c > 1 GROUP BY ALL
+        ), beside_above AS MATERIALIZED (
+            SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+            FROM above a JOIN above b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.c > 1 GROUP BY ALL
+        ), steps AS MATERIALIZED (
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, level) AS step, l, r FROM (
+                SELECT d.doc_id, 0 AS part, b.level, b.l, b.r FROM leaves d JOIN beside b
+                    ON d.source IS NOT DISTINCT FROM b.source AND b.i = d.i // CAST(pow(3, b.level) AS BIGINT)
+                UNION ALL
+                SELECT d.doc_id, 1, b.level, b.l, b.r FROM leaves d JOIN subroots s ON d.source IS NOT DISTINCT FROM s.source
+                    JOIN beside_above b ON b.i = s.i // CAST(pow(3, b.level) AS BIGINT))
+        ), folded AS (
+            SELECT doc_id, CAST(0 AS BIGINT) AS step, tampered AS h FROM leaves
+            UNION ALL
+            SELECT f.doc_id, s.step, sha256(s.l || f.h || s.r) FROM folded f JOIN steps s ON s.doc_id = f.doc_id AND s.step = f.step + 1
+        ), ends AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM folded GROUP BY doc_id
+        ), proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY step) AS proof FROM steps GROUP BY doc_id
+        ), top AS (SELECT h AS root FROM above WHERE c = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM leaves JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id) JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source, top
+    """,
+    "op13_vector_codes": vector_codes_sql(),
 }
