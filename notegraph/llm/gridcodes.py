@@ -24,7 +24,7 @@ from notegraph.operators.sized import if_small
 
 SCALE = 1024
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-CELL = 128
+CELL = 32
 MEMO = 1 << 16
 SLICE = 4096  # parts worked on at a time
 #: Integers beyond this would overflow squared distances of 64 bits.
