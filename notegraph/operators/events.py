@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import path_not_ignored, path_not_temporary
+from notegraph.operators.materialise import materialise
 from notegraph.schema import EVENT_IGNORE_PREFIXES, EVENT_IGNORE_SUFFIXES
 
 # Which kinds are kept and what they become; all others are dropped.
@@ -25,6 +25,10 @@ KINDS = {"created": "created", "modified": "modified", "deleted": "deleted", "mo
 ROUTES = (("(?i)\\.md$", "backlinker"),)
 
 STEPS_PER_BUCKET = 1024  # a debounce bucket is this many windows long
+FAN = 1024  # buckets, or nodes, below one node of the debounce tree
+STEPS_PER_BLOCK = 1024  # bursts are put together within blocks of this many gaps first
+
+_REPORT = "path string, node long, first_us long, total boolean, entries array<long>, exits array<long>"
 
 
 def micros(seconds: float) -> int:
@@ -164,7 +168,92 @@ class _Steps:
         return flags
 
 
-def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: int = STEPS_PER_BUCKET) -> DataFrame:
+def _composed(first: dict, later: list[dict], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The reports of neighbouring nodes of a path as one: entries and exits of the first one, carried through the others."""
+    entries, exits = np.array(first["entries"]), np.array(first["exits"])
+    for number, report in enumerate(later):
+        ins, outs = np.array(report["entries"]), np.array(report["exits"])
+        place = np.searchsorted(ins, exits + window, side="left")
+        exits = np.where(place < len(ins), outs[np.minimum(place, len(ins) - 1)], exits)
+        if number == 0 and not first["total"]:
+            # Who keeps nothing in the first node starts the second one like somebody without a past: it is a window away.
+            entries, exits = np.append(entries, report["first_us"]), np.append(exits, outs[0])
+    last = np.r_[exits[1:] != exits[:-1], True]
+    return entries[last], exits[last]
+
+
+def _known_starts(reports: DataFrame, window: int, fan: int) -> DataFrame:
+    """path, node, before_us of the nodes for which the last event kept before them makes a difference.
+
+    Reports climb a tree of nodes, `fan` to one, until each path has one node; starts come back down. Only
+    the range of nodes goes to the driver, and only reports of several children meet in Python.
+    """
+    reports = materialise(reports)
+    low, high = reports.agg(F.min("node"), F.max("node")).first()
+    if low is None:
+        return reports.select("path", "node", F.lit(None).cast("long").alias("before_us"))
+    levels = [reports.withColumn("node", F.col("node") - low)]
+    above = F.floor(F.col("node") / fan).cast("long")
+    key = ["path", "bucket"]  # the parent, under the name by which groups are told apart
+
+    def families(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*key).sortWithinPartitions(*key, "node")
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+        """The rows of nodes that are alone below their parent, and each larger family."""
+        for rows in _whole_groups(batches):
+            starts = np.flatnonzero(np.r_[True, _changes_at(rows["path"].combine_chunks(), rows["bucket"].combine_chunks())])
+            sizes = np.diff(np.r_[starts, len(rows)])
+            yield rows.take(pa.array(starts[sizes == 1])), rows.slice(0, 0)
+            for start, size in zip(starts[sizes > 1], sizes[sizes > 1]):
+                yield rows.slice(0, 0), rows.slice(start, size)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "bucket", "first_us", "total", "entries", "exits"]
+        for alone, family in several(batches):
+            yield from alone.select(names).rename_columns(["path", "node", *names[2:]]).to_batches()
+            if len(family):
+                first, *later = family.to_pylist()
+                entries, exits = _composed(first, later, window)
+                row = [first["path"], first["bucket"], first["first_us"], True, entries.tolist(), exits.tolist()]
+                yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(["path", "node", *names[2:]], row)})
+
+    def push(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, family in several(batches):
+            found = {"path": [], "node": [], "before_us": []}
+            last = None
+            for row in family.to_pylist():
+                if row["node"] < 0:  # the start of the family
+                    last = row["before_us"]
+                    continue
+                if last is not None and row["first_us"] - last < window:
+                    for name, value in zip(found, (row["path"], row["node"], last)):
+                        found[name].append(value)
+                place = 0 if last is None else int(np.searchsorted(row["entries"], last + window, side="left"))
+                last = row["exits"][place] if place < len(row["exits"]) else last
+            if found["path"]:
+                yield pa.RecordBatch.from_arrays([pa.array(found["path"]), pa.array(found["node"]), pa.array(found["before_us"])], list(found))
+
+    top = (high - low) // fan
+    while top > 0:
+        parents = families(levels[-1].withColumn("bucket", above)).mapInArrow(compose, _REPORT)
+        levels.append(materialise(parents))
+        top //= fan
+    starts = None
+    for level in reversed(levels):
+        rows = level.withColumn("bucket", above)
+        if starts is not None:
+            marks = starts.select("path", F.col("node").alias("bucket"), F.lit(-1).cast("long").alias("node"), "before_us")
+            rows = rows.unionByName(marks, allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("before_us", F.lit(None).cast("long"))
+        starts = families(rows).mapInArrow(push, "path string, node long, before_us long")
+    return starts.withColumn("node", F.col("node") + low)
+
+
+def debounce_events(
+    events: DataFrame, seconds: float = 1.5, steps_per_bucket: int = STEPS_PER_BUCKET, fan: int = FAN
+) -> DataFrame:
     """Leading-edge debounce per path: an event is kept when none was kept in the `seconds` before.
 
     Dropped events do not extend the window, and the kind does not matter. Which events are kept
@@ -172,12 +261,14 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
 
     1. each bucket reports its last kept event as a function of the event it starts with (only
        events in its first window can differ, and starts with equal ends are merged);
-    2. where buckets follow each other closely, these reports are put together in order, one short
-       row per bucket;
-    3. each bucket, now knowing the last event kept before it, picks its own.
-
-    A bucket is one task's work and has at most as many different times as its length in
-    microseconds. Spark sorts and spills; Python holds one bucket at a time.
+    2. the functions of `fan` neighbouring buckets are composed into one, and those again, until the
+       whole log lies below one node, which starts with nothing;
+    3. from there the last kept event before each node is pushed back down, level by level;
+    4. each bucket, now knowing the last event kept before it, picks its own.
+
+    Tasks are keyed by (path, node), so a path with any share of the log is spread. A node is one short row per
+    child, and a bucket has at most as many different times as its length in microseconds. Spark sorts
+    and spills; Python holds one bucket, or one node's children, at a time.
     """
     window = micros(seconds)
     width = window * steps_per_bucket
@@ -201,25 +292,14 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
             yield pa.RecordBatch.from_pydict(
                 {
                     "path": rows["path"].combine_chunks().take(pa.array(steps.starts)),
-                    "bucket": rows["bucket"].combine_chunks().take(pa.array(steps.starts)),
+                    "node": rows["bucket"].combine_chunks().take(pa.array(steps.starts)),
                     "first_us": steps.us[steps.starts],
-                    "last_us": steps.us[steps.ends - 1],
+                    "total": np.maximum.reduceat(late, steps.starts),
                     "entries": pa.ListArray.from_arrays(ends, steps.us[entry[kept]]),
                     "exits": pa.ListArray.from_arrays(ends, steps.us[end[kept]]),
                 }
             )
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bucket")
-        head = frame["before_us"].iloc[0]
-        before, last = [], None if pd.isna(head) else int(head)
-        for entries, exits in zip(frame["entries"], frame["exits"]):
-            before.append(last)
-            position = 0 if last is None else int(np.searchsorted(entries, last + window, side="left"))
-            if position < len(exits):
-                last = int(exits[position])
-        return pd.DataFrame({"path": frame["path"], "bucket": frame["bucket"], "before_us": before}).iloc[1:]
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches):
             marked = rows["before_us"].combine_chunks().take(pa.array(_Steps(rows, window).starts))
@@ -232,32 +312,10 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
             entry = np.where(entry < steps.ends, entry, steps.count)
             yield from rows.select(columns).filter(pa.array(steps.accepted_from(entry))).to_batches()
 
-    summary = in_order(timed.select(*key, "us"), "us").mapInArrow(
-        summarise,
-        "path string, bucket long, first_us long, last_us long, entries array<long>, exits array<long>",
-    )
-    in_path = Window.partitionBy("path").orderBy("bucket")
-    # A bucket is settled when what was kept before it is known: nothing near enough, or a bucket
-    # that ends in the same event however it starts.
-    settles = (F.size("exits") == 1) & (F.col("last_us") >= F.col("bucket") * width + window)
-    linked = (
-        summary.withColumn("near", F.coalesce(F.col("first_us") - F.lag("last_us").over(in_path) < window, F.lit(False)))
-        .withColumn("sure", F.lag(settles).over(in_path))
-        .withColumn("before_us", F.when(F.col("near") & F.col("sure"), F.lag(F.element_at("exits", -1)).over(in_path)))
-        .withColumn("settled", ~F.col("near") | F.col("sure"))
-        .withColumn("next_settled", F.coalesce(F.lead("settled").over(in_path), F.lit(True)))
-        .withColumn("chain", F.sum(F.when(F.col("settled"), 1).otherwise(0)).over(in_path))
-    )
-    known = linked.where(F.col("settled") & F.col("before_us").isNotNull()).select(*key, "before_us")
-    chained = (
-        linked.where(~F.col("settled") | ~F.col("next_settled"))
-        .select(*key, "entries", "exits", "before_us", "chain")
-        .groupBy("path", "chain")
-        .applyInPandas(chain, "path string, bucket long, before_us long")
-    )
+    known = _known_starts(in_order(timed.select(*key, "us"), "us").mapInArrow(summarise, _REPORT), window, fan)
     # The last kept event before a bucket travels as a first row of the bucket. (A join on the same
     # keys would let Spark drop the repartitioning below and then read its own shuffle in pieces.)
-    marks = known.unionByName(chained).withColumn("us", F.col("bucket") * width - 1)
+    marks = known.withColumnRenamed("node", "bucket").withColumn("us", F.col("bucket") * width - 1)
     marked = timed.unionByName(marks, allowMissingColumns=True)
     kept = in_order(marked, "us", "event_id").mapInArrow(pick, schema)
     return kept.withColumn("ts", F.timestamp_micros("us")).select(*events.columns)
@@ -266,11 +324,34 @@ def debounce_events(events: DataFrame, seconds: float = 1.5, steps_per_bucket: i
 # ---------------------------------------------------------------- coalesce
 
 
-def _merge_runs(rows: DataFrame, starts_new: Column) -> DataFrame:
-    """Join neighbouring rows (path, lo, hi, latest, n) of a path wherever starts_new is false."""
-    in_path = Window.partitionBy("path").orderBy("lo")
+def _in_blocks(rows: DataFrame, gap: int) -> DataFrame:
+    """Rows (path, lo, hi, ...) with the `block` of time they start in and `previous`, the hi of the row before in it."""
+    rows = rows.withColumn("block", _bucket(gap * STEPS_PER_BLOCK, "lo"))
+    return rows.withColumn("previous", F.lag("hi").over(Window.partitionBy("path", "block").orderBy("lo")))
+
+
+def _merge_runs(rows: DataFrame, gap: int) -> DataFrame:
+    """Join neighbouring rows (path, block, lo, hi, latest, n, starts) of a path unless they start a run.
+
+    Runs are numbered within a block. Over a whole path only the edges of blocks are put in order: they hand
+    numbers down, and where `starts` is not known (null) of the first row of a block, they see whether it comes
+    within `gap` of the block before. A run over many blocks is one row per block before it is shuffled.
+    """
+    first = F.min(F.struct("lo", "starts"))
+    edges = rows.groupBy("path", "block").agg(first.alias("first"), F.max("hi").alias("end"), F.sum(F.col("starts").cast("long")).alias("starting"))
+    in_path = Window.partitionBy("path").orderBy("block")
+    opens = F.coalesce("first.starts", F.col("first.lo") - F.lag("end").over(in_path) > gap, F.lit(True)).cast("long")
+    inner = F.coalesce("starting", F.lit(0)) - F.coalesce(F.col("first.starts").cast("long"), F.lit(0))
+    edges = edges.select("path", "block", opens.alias("opens"), inner.alias("inner"))
+    earlier = F.sum(F.col("opens") + F.col("inner")).over(in_path.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select("path", "block", (F.coalesce(earlier, F.lit(0)) + F.col("opens")).alias("before"))
+    in_block = Window.partitionBy("path", "block").orderBy("lo")
+    # The first row of a block has the number that was handed down; later ones count on from it.
+    rows = rows.withColumn("new", F.when(F.row_number().over(in_block) > 1, F.col("starts").cast("long")).otherwise(0))
+    rows = rows.withColumn("run", F.sum("new").over(in_block))
     return (
-        rows.withColumn("run", F.sum(F.when(starts_new, 1).otherwise(0)).over(in_path))
+        rows.join(edges, ["path", "block"])
+        .withColumn("run", F.col("run") + F.col("before"))
         .groupBy("path", "run")
         .agg(
             F.min("lo").alias("lo"),
@@ -286,7 +367,8 @@ def _quiet_runs(events: DataFrame, gap: int) -> DataFrame:
     """Runs of events of a path with no gap longer than `gap` microseconds.
 
     Events in one time cell of that length belong together whatever else happens, so they are
-    aggregated per (path, cell), before the shuffle where possible, and only cells are put in order.
+    aggregated per (path, cell), before the shuffle where possible, and only cells are put in order, within
+    blocks of time; over a whole path only the edges of blocks are.
     """
     cells = (
         events.withColumn("us", F.unix_micros("ts"))
@@ -298,9 +380,7 @@ def _quiet_runs(events: DataFrame, gap: int) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
         )
     )
-    previous = F.lag("hi").over(Window.partitionBy("path").orderBy("lo"))
-    cells = cells.withColumn("previous", previous)
-    return _merge_runs(cells, F.col("previous").isNull() | (F.col("lo") - F.col("previous") > gap))
+    return _merge_runs(_in_blocks(cells, gap).withColumn("starts", F.col("lo") - F.col("previous") > gap), gap)
 
 
 def _latest(runs: DataFrame) -> DataFrame:
@@ -329,10 +409,11 @@ def coalesce_two_timer(events: DataFrame, quiet: float = 3.0, idle: float = 10.0
     """
     quiet_us, idle_us = micros(quiet), micros(idle)
     runs = _quiet_runs(events, quiet_us)
-    in_path = Window.partitionBy("path").orderBy("lo")
-    runs = runs.withColumn("previous", F.lag("hi").over(in_path)).withColumn(
-        "ready", F.when(F.col("lo") - F.col("previous") <= idle_us, F.col("previous") + quiet_us)
-    )
+    runs = materialise(_in_blocks(runs, idle_us))
+    edges = runs.groupBy("path", "block").agg(F.max("hi").alias("end"))
+    edges = edges.withColumn("end", F.lag("end").over(Window.partitionBy("path").orderBy("block")))
+    runs = runs.join(edges, ["path", "block"]).withColumn("previous", F.coalesce("previous", "end")).drop("end")
+    runs = runs.withColumn("ready", F.when(F.col("lo") - F.col("previous") <= idle_us, F.col("previous") + quiet_us))
 
     times = events.select(F.unix_micros("ts").alias("us")).distinct().withColumn("bucket", _bucket(idle_us))
     carried = times.groupBy((F.col("bucket") - 1).alias("bucket")).agg(F.min("us").alias("us"))
@@ -354,7 +435,7 @@ def coalesce_two_timer(events: DataFrame, quiet: float = 3.0, idle: float = 10.0
     asking = runs.where(F.col("ready").isNotNull()).join(upcoming, "ready", "left")
     quiet_ones = runs.where(F.col("ready").isNull()).withColumn("next_us", F.lit(None).cast("long"))
     joined = asking.unionByName(quiet_ones)
-    return _latest(_merge_runs(joined, F.coalesce(F.col("next_us") < F.col("lo"), F.lit(True))))
+    return _latest(_merge_runs(joined.withColumn("starts", F.coalesce(F.col("next_us") < F.col("lo"), F.lit(True))), idle_us))
 
 
 def clean_events(
@@ -364,8 +445,15 @@ def clean_events(
     quiet_seconds: float = 3.0,
     self_write_seconds: float = 5.0,
     rules: Sequence[tuple[str, str]] = ROUTES,
+    idle_seconds: float | None = None,
 ) -> DataFrame:
-    """All rules in order: own writes, ignored paths, kinds, debounce, bursts, routing."""
+    """All rules in order: own writes, ignored paths, kinds, debounce, bursts, routing.
+
+    With idle_seconds a burst is sent off by the two-timer rule: after `quiet_seconds` when anything arrives,
+    else after `idle_seconds`.
+    """
     events = filter_ignored(suppress_self_writes(events, writes, self_write_seconds))
     events = debounce_events(event_kinds(events), debounce_seconds)
-    return route_events(coalesce_events(events, quiet_seconds), rules)
+    if idle_seconds is None:
+        return route_events(coalesce_events(events, quiet_seconds), rules)
+    return route_events(coalesce_two_timer(events, quiet_seconds, idle_seconds), rules)

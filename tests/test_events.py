@@ -1,7 +1,9 @@
 import datetime as dt
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from notegraph.operators import events as ev
 from notegraph.schema import EVENT_SCHEMA
@@ -115,6 +117,73 @@ def test_debounce_equals_brute_force(spark, seed, window, steps):
     assert got.columns == ["event_id", "path", "kind", "ts"]
 
 
+@pytest.mark.parametrize("fan, steps", [(2, 1), (2, 2), (3, 4), (7, 1)])
+def test_debounce_tree_equals_the_walk(spark, fan, steps):
+    """A third of the log is a path whose heartbeat never pauses for a window, so that nothing is ever settled."""
+    pick = random.Random(fan * steps)
+    rows = random_rows(steps, 300, 8, 500, hot=0)
+    rows += [("beat.md", round(k * 0.7 + pick.random() * 0.3, 6)) for k in range(400)]
+    rows += [("sparse.md", t) for t in (0, 0.2, 1.4, 1.5, 2.9, 3.0, 400, 401.2, 401.6, 499.9)]
+    assert ids(ev.debounce_events(log(spark, rows), 1.5, steps, fan)) == brute_debounce(rows, 1.5)
+
+
+def hashed_by(df):
+    """The keys of all hash exchanges and windows of a plan, by name."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    names = lambda keys: tuple(re.findall(r"([a-z_]+)#", keys))
+    exchanges = [names(k) for k in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)]
+    windows = [names(k) for k in re.findall(r"windowspecdefinition\((.*?), [a-z_]+#\d+L? ASC", plan)]
+    return exchanges, windows
+
+
+def test_no_task_gets_a_whole_path(spark):
+    beat = [("beat.md", k * 1.0) for k in range(6000)]
+    rows = log(spark, beat + random_rows(3, 3000, 40, 6000, hot=0))
+    kept = ev.debounce_events(rows, 1.5, steps_per_bucket=16)
+    exchanges, windows = hashed_by(kept)
+    assert exchanges and not windows and all("bucket" in keys for keys in exchanges)
+    assert ids(kept) == brute_debounce(beat + random_rows(3, 3000, 40, 6000, hot=0), 1.5)
+    # What a task gets: the rows of (path, bucket), of which none has more than a bucket's length of heartbeats.
+    buckets = rows.groupBy("path", F.floor(F.unix_micros("ts") / 24_000_000)).count()
+    assert buckets.agg(F.max("count")).first()[0] <= 25
+    # Bursts: cells and events are put in order within blocks; windows over a path see one row per block.
+    gap = 0.01
+    bursts = ev.coalesce_events(rows, gap)
+    _, windows = hashed_by(bursts)
+    assert set(windows) == {("path", "block"), ("path",)}
+    plan = bursts._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"windowspecdefinition\(path#\d+, (?!block#)", plan)
+    blocks = rows.groupBy("path", F.floor(F.unix_micros("ts") / (1e4 * ev.STEPS_PER_BLOCK))).count()
+    edges = blocks.groupBy("path").count().agg(F.max("count")).first()[0]
+    assert edges * 9 < 6000
+    assert sum(r.n_events for r in bursts.collect()) == 9000
+
+
+@pytest.mark.parametrize("steps", [1, 2, 5])
+def test_bursts_over_many_blocks(spark, steps, monkeypatch):
+    monkeypatch.setattr(ev, "STEPS_PER_BLOCK", steps)
+    pick = random.Random(steps)
+    rows = [("beat.md", round(k * 2.0 + pick.random() * 1.5, 6)) for k in range(300)] + random_rows(steps, 400, 6, 900)
+    got = sorted((r.event_id, r.n_events) for r in ev.coalesce_events(log(spark, rows), 3.0).collect())
+    assert got == brute_bursts(rows, lambda a, b: round((b - a) * 1e6) <= 3_000_000)
+    times = sorted(round(t * 1e6) for _, t in rows)
+
+    def joins(a, b):
+        a, b = round(a * 1e6), round(b * 1e6)
+        return b - a <= 3_000_000 or (b - a <= 10_000_000 and not any(a + 3_000_000 < t < b for t in times))
+
+    got = sorted((r.event_id, r.n_events) for r in ev.coalesce_two_timer(log(spark, rows)).collect())
+    assert got == brute_bursts(rows, joins)
+
+
+def test_clean_events_with_the_flush_rule(spark):
+    rows = [("a.md", 0.0), ("a.md", 8.0), ("b.md", 20.0), ("a.md", 30.0), ("b.md", 34.0), ("a.md", 38.0)]
+    nothing = log(spark, []).select("path", "ts")
+    got = ev.clean_events(log(spark, rows), nothing, idle_seconds=10.0).orderBy("ts").collect()
+    # Nothing at all came between 0 and 8; b came between 30 and 38, and a had its quiet time before 34.
+    assert [(r.event_id, r.n_events) for r in got] == [(1, 2), (2, 1), (3, 1), (4, 1), (5, 1)]
+
+
 def test_debounce_does_not_depend_on_batches(spark):
     rows = random_rows(9, 500, 4, 300)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
@@ -182,8 +251,6 @@ def test_no_plan_pairs_events(spark):
 
 def test_debounce_holds_when_joins_change_at_run_time(spark):
     """Enough rows and partitions for adaptive execution to re-plan; a third of them on one path."""
-    from pyspark.sql import functions as F
-
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         path = F.when(F.rand(1) < 0.34, "hot.md").otherwise(F.concat(F.lit("p"), (F.rand(2) * 1500).cast("int")))
