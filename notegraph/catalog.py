@@ -367,10 +367,13 @@ def coalesce_two_timer(spark, folder):
     return _burst_rows(events.coalesce_two_timer(s.raw_events(spark, folder), 600.0, 3 * HOUR))
 
 
-def clean_events(spark, folder):
-    raw, writes = s.raw_events(spark, folder), s.agent_writes(spark, folder)
-    cleaned = events.clean_events(raw, writes, HOUR, 3 * HOUR, HOUR)
-    return cleaned.select("event_id", "path", "kind", _us("ts", "us"), "n_events", "handler")
+def _clean_events(idle: float | None) -> Query:
+    def query(spark, folder):
+        raw, writes = s.raw_events(spark, folder), s.agent_writes(spark, folder)
+        cleaned = events.clean_events(raw, writes, HOUR, 3 * HOUR if idle is None else HOUR, HOUR, idle_seconds=idle)
+        return cleaned.select("event_id", "path", "kind", _us("ts", "us"), "n_events", "handler")
+
+    return query
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -430,42 +433,31 @@ def debounce_stream(spark, folder):
 
 
 def coalesce_stream(spark, folder):
-    return _burst_rows(_run(streams.coalesce_stream(_event_stream(spark, folder), 6 * HOUR)))
-
-
-def suppress_stream(spark, folder):
-    stream = _event_stream(spark, folder)
-    writes = _event_stream(spark, folder).where(F.col("kind") == "moved")
-    return _event_rows(_run(streams.suppress_stream(stream, writes, HOUR)))
-
-
-def clean_stream(spark, folder):
-    cleaned = _run(streams.clean_stream(_event_stream(spark, folder), HOUR, 3 * HOUR))
-    return cleaned.select("event_id", "path", "kind", _us("ts", "us"), "n_events", "handler")
-
-
-# The three streams above run to the end of their input and no further, as their statements have it. The same rules
-# with every row let out, and with own writes left out of the clean stream, have the statements of the batch queries.
+    return _burst_rows(_ended(spark, folder, lambda source: streams.coalesce_stream(source(), 6 * HOUR)))
 
 
-def coalesce_stream_ended(spark, folder):
-    return _burst_rows(_ended(spark, folder, lambda source: streams.coalesce_stream(source(), 6 * HOUR)))
+def coalesce_two_timer_stream(spark, folder):
+    return _burst_rows(_ended(spark, folder, lambda source: streams.coalesce_two_timer_stream(source(), 600, 3 * HOUR)))
 
 
-def suppress_stream_ended(spark, folder):
+def suppress_stream(spark, folder):
     def build(source):
         return streams.suppress_stream(source(), source().where(F.col("kind") == "moved"), HOUR)
 
     return _event_rows(_ended(spark, folder, build))
 
 
-def clean_stream_ended(spark, folder):
-    def build(source):
-        writes = source().where(F.col("kind") == "moved")
-        return streams.clean_stream(source(), HOUR, 3 * HOUR, writes=writes, self_write_seconds=HOUR)
+def _clean_stream(idle: float | None) -> Query:
+    def query(spark, folder):
+        def build(source):
+            writes = source().where(F.col("kind") == "moved")
+            return streams.clean_stream(
+                source(), HOUR, 3 * HOUR if idle is None else HOUR, writes=writes, self_write_seconds=HOUR, idle_seconds=idle
+            )
 
-    cleaned = _ended(spark, folder, build)
-    return cleaned.select("event_id", "path", "kind", _us("ts", "us"), "n_events", "handler")
+        return _ended(spark, folder, build).select("event_id", "path", "kind", _us("ts", "us"), "n_events", "handler")
+
+    return query
 
 
 QUERIES: dict[str, Query] = {
@@ -520,12 +512,16 @@ QUERIES: dict[str, Query] = {
     "debounce_events": debounce_events,
     "coalesce_events": coalesce_events,
     "coalesce_two_timer": coalesce_two_timer,
-    "clean_events": clean_events,
+    "clean_events": _clean_events(None),
+    "clean_events_flush": _clean_events(3 * HOUR),
     "debounce_stream": debounce_stream,
     "coalesce_stream": coalesce_stream,
     "suppress_stream": suppress_stream,
-    "clean_stream": clean_stream,
-    "coalesce_stream_ended": coalesce_stream_ended,
-    "suppress_stream_ended": suppress_stream_ended,
-    "clean_stream_ended": clean_stream_ended,
+    "coalesce_two_timer_stream": coalesce_two_timer_stream,
+    "clean_stream": _clean_stream(None),
+    "clean_stream_flush": _clean_stream(3 * HOUR),
+    # Earlier names of the same.
+    "coalesce_stream_ended": coalesce_stream,
+    "suppress_stream_ended": suppress_stream,
+    "clean_stream_ended": _clean_stream(None),
 }

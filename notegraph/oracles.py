@@ -382,17 +382,19 @@ def _bursts(relation: str, breaks: str) -> str:
     GROUP BY path, burst"""
 
 
+def _flushed(relation: str, quiet: int, idle_us: int) -> str:
+    """When row (us, before) starts a new burst by the two-timer rule; quiet in seconds."""
+    quiet_us = quiet * 1_000_000
+    return f"""NOT (us - before <= {quiet_us} OR (us - before <= {idle_us} AND NOT EXISTS (
+                SELECT 1 FROM {relation} o WHERE o.us > e.before + {quiet_us} AND o.us < e.us)))"""
+
+
 _debounced("x_debounced", "x_events", 6 * HOUR)
 _relation("x_clean_input", _kinds(f"({_unsuppressed(HOUR)})"))
 _debounced("x_clean", "x_clean_input", HOUR)
 _relation("x_kinds", _kinds("x_events"))
 _debounced("x_kept", "x_kinds", HOUR)
 
-# What the streams have emitted when their input ends: the watermark is one minute behind the last
-# event (of the slower input, for a join), and a burst, or an event without a write near it, is only
-# known once the watermark has passed it.
-_ENDED = "us + {gap} <= (SELECT max(us) FROM {relation}) - 60000000"
-
 _PATCH = "patch_id, path, status, reason, before_mismatch"
 _EVENT = "event_id, path, kind, us"
 
@@ -476,27 +478,20 @@ def oracles() -> dict[str, str]:
         "route_events": "SELECT event_id, path, 'backlinker' AS handler FROM x_events WHERE regexp_matches(path, '(?i)\\.md$')",
         "suppress_self_writes": _unsuppressed(HOUR),
         "coalesce_events": _bursts("x_events", f"us - before > {6 * HOUR}"),
-        "coalesce_two_timer": _bursts(
-            "x_events",
-            f"""NOT (us - before <= 600000000 OR (us - before <= {3 * HOUR} AND NOT EXISTS (
-                SELECT 1 FROM x_events o WHERE o.us > e.before + 600000000 AND o.us < e.us)))""",
-        ),
-        "coalesce_stream": f"""SELECT * FROM ({_bursts("x_events", f"us - before > {6 * HOUR}")})
-            WHERE {_ENDED.format(gap=6 * HOUR, relation="x_events")}""",
+        "coalesce_two_timer": _bursts("x_events", _flushed("x_events", 600, 3 * HOUR)),
     }
-    plain["suppress_stream"] = f"""SELECT * FROM ({_unsuppressed(HOUR)})
-        WHERE {_ENDED.format(gap=0, relation="x_events WHERE kind = 'moved'")}"""
     walked = {
-        "clean_stream": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler
-            FROM ({_bursts("x_kept", f"us - before > {3 * HOUR}")})
-            WHERE path LIKE '%.md' AND {_ENDED.format(gap=3 * HOUR, relation="x_kinds")}""",
         "debounce_events": f"SELECT {_EVENT} FROM x_debounced",
         "debounce_stream": f"SELECT {_EVENT} FROM x_debounced",
         "clean_events": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler
             FROM ({_bursts("x_clean", f"us - before > {3 * HOUR}")}) WHERE path LIKE '%.md'""",
+        "clean_events_flush": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler
+            FROM ({_bursts("x_clean", _flushed("x_clean", HOUR // 1_000_000, 3 * HOUR))}) WHERE path LIKE '%.md'""",
     }
-    # Streams that are run until every row has left them give what the batch queries give.
-    plain |= {f"{k}_stream_ended": plain[v] for k, v in (("coalesce", "coalesce_events"), ("suppress", "suppress_self_writes"))}
-    walked["clean_stream_ended"] = walked["clean_events"]
+    # Streams are run until every row has left them and give what the batch queries give.
+    twins = {"coalesce": "coalesce_events", "coalesce_two_timer": "coalesce_two_timer", "suppress": "suppress_self_writes"}
+    plain |= {f"{k}_stream": plain[v] for k, v in twins.items()}
+    plain |= {f"{k}_stream_ended": plain[f"{k}_stream"] for k in ("coalesce", "suppress")}
+    walked |= {"clean_stream": walked["clean_events"], "clean_stream_ended": walked["clean_events"], "clean_stream_flush": walked["clean_events_flush"]}
     walked |= {k: plain.pop(k) for k in ("resolve_patches", "apply_patches", "patch_log_summary")}
     return {k: _with(v) for k, v in plain.items()} | {k: _with(v, recursive=True) for k, v in walked.items()}

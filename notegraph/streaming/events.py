@@ -22,6 +22,7 @@ STATE_STORE = (
     "spark.sql.streaming.stateStore.providerClass",
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 )
+NEVER, FOREVER = -(1 << 62), 1 << 62  # times in microseconds that no event has
 EVICT_AFTER_WINDOWS = 20  # fixed value: how long the time of a kept event is remembered
 
 
@@ -71,20 +72,28 @@ class _Debounce(StatefulProcessor):
         pass
 
 
-class _OrderedDebounce(StatefulProcessor):
-    """Holds the events of a path until the watermark has passed them, and decides on them in order of time."""
+class _InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them, and then hands them on in order of time.
 
-    def __init__(self, window: int, held: T.StructType):
-        self.window = window
-        self.held_schema = held
+    A subclass says in `decide` what becomes of rows that no older row can come before any more, and when it wants to be
+    called again although nothing came.
+    """
+
+    def __init__(self, held: T.StructType, order: list[str]):
+        self.held_schema, self.order = held, order
+        # Whole numbers that may be missing, which pandas would turn into floats.
+        self.whole = {f.name: "Int64" for f in held if isinstance(f.dataType, (T.IntegerType, T.LongType))}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
         self.held = handle.getListState("held", self.held_schema)
 
+    def decide(self, key, rows: pd.DataFrame, until: int) -> tuple[pd.DataFrame, int | None]:
+        """Output rows with their event time `us`, and the time of the next call. until: the watermark in microseconds."""
+        raise NotImplementedError
+
     def _wake(self, us: int) -> None:
-        """One timer per path, at the first millisecond that is not before `us`."""
+        """One timer per key, at the first millisecond that is not before `us`."""
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(-(-us // 1000))
@@ -93,40 +102,213 @@ class _OrderedDebounce(StatefulProcessor):
         names, at = self.held_schema.names, self.held_schema.names.index("us")
         first = None
         for frame in rows:
-            values = frame[names].itertuples(index=False, name=None)
+            values = frame[names].astype(self.whole).itertuples(index=False, name=None)
             new = [tuple(None if pd.isna(v) else v for v in row) for row in values]
             self.held.appendList(new)
             first = min([row[at] for row in new] + ([] if first is None else [first]))
         timers = list(self.handle.listTimers())
-        # A path without held events has the timer of its eviction, which comes too late for new ones.
+        # A key without held rows has the timer that its subclass asked for, which comes too late for new ones.
         if first is not None and (not timers or -(-first // 1000) < min(timers)):
             self._wake(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        frame = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=self.held_schema.names)
-        passed = frame["us"].le(until).to_numpy(bool)
-        rest = list(frame[~passed].itertuples(index=False, name=None))
-        frame = frame[passed].sort_values(["us", "event_id"], kind="stable")
-        us = frame["us"].to_numpy(np.int64)
-        last = self.last.get()[0] if self.last.exists() else None
-        kept, last = _kept(us, last, self.window)
-        if kept:
-            self.last.update((last,))
+        at = self.held_schema.names.index("us")
+        held = list(self.held.get()) if self.held.exists() else []
+        passed = pd.DataFrame([r for r in held if r[at] <= until], columns=self.held_schema.names).astype(self.whole)
+        rest = [tuple(r) for r in held if r[at] > until]
+        out, again = self.decide(key, passed.sort_values(self.order, kind="stable", ignore_index=True), until)
         if rest:
             self.held.put(rest)
-            self._wake(min(row[self.held_schema.names.index("us")] for row in rest))
         else:
             self.held.clear()
-            # What comes from now on is behind the watermark; a window behind the last kept event all of it is kept.
-            if last is not None and last + self.window > until:
-                self._wake(last + self.window)
-            else:
-                self.last.clear()
-        if kept:
-            frame = frame.iloc[kept]
-            yield frame.assign(ts=pd.to_datetime(frame["us"].astype("int64"), unit="us", utc=True))
+        times = [row[at] for row in rest] + ([] if again is None else [again])
+        if times:
+            self._wake(min(times))
+        if len(out):
+            yield out.assign(ts=pd.to_datetime(out["us"].astype("int64"), unit="us", utc=True))
+
+    def close(self) -> None:
+        pass
+
+
+class _LastTime(_InOrder):
+    """With a remembered time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
+
+    def remembered(self) -> int | None:
+        return self.last.get()[0] if self.last.exists() else None
+
+    def remember(self, us: int | None, length: int, until: int) -> int | None:
+        """Keep the time for `length`; gives the time to forget it."""
+        if us is None or us + length <= until:
+            self.last.clear()
+            return None
+        self.last.update((int(us),))
+        return us + length
+
+
+class _OrderedDebounce(_LastTime):
+    """Keeps an event of a path when none was kept in the window before. What comes a window later is kept anyway."""
+
+    def __init__(self, window: int, held: T.StructType):
+        super().__init__(held, ["us", "event_id"])
+        self.window = window
+
+    def decide(self, key, rows, until):
+        kept, last = _kept(rows["us"].to_numpy(np.int64), self.remembered(), self.window)
+        return rows.iloc[kept], self.remember(last, self.window, until)
+
+
+class _Suppress(_LastTime):
+    """Keeps events of a path and time bucket that come later than `ttl` after the last write before them.
+
+    State: rows that the watermark has not passed, and the one time of the last write, for `ttl`.
+    """
+
+    def __init__(self, ttl: int, held: T.StructType):
+        super().__init__(held, ["us", "is_event"])  # a write comes before an event of the same instant
+        self.ttl = ttl
+
+    def decide(self, key, rows, until):
+        before = self.remembered()
+        event = rows["is_event"].to_numpy(bool)
+        us = rows["us"].to_numpy(np.int64)
+        written = np.where(event, NEVER, us)
+        written = np.maximum.accumulate(np.r_[NEVER if before is None else before, written])
+        last = int(written[-1])
+        kept = rows[event & (us - written[1:] > self.ttl)]
+        return kept, self.remember(None if last == NEVER else last, self.ttl, until)
+
+
+class _Runs(_InOrder):
+    """Cuts the events of a path into quiet runs. Gives a row for each time, and one for each run as soon as it
+    is known whether another one of the path starts within `idle` (next_lo)."""
+
+    def __init__(self, quiet: int, idle: int, held: T.StructType, out: T.StructType):
+        super().__init__(held, ["us", "event_id"])
+        self.quiet, self.idle, self.out = quiet, idle, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.run = handle.getValueState("run", self.out)
+
+    def decide(self, key, rows, until):
+        us = rows["us"].to_numpy(np.int64)
+        names = [n for n in self.out.names if n != "ts"]
+        runs = [dict(zip(self.out.names, self.run.get()))] if self.run.exists() else []
+        cuts = np.flatnonzero(np.r_[True, us[1:] - us[:-1] > self.quiet])[: len(us)]
+        for start, end in zip(cuts, np.r_[cuts[1:], len(us)]):
+            last = rows.iloc[end - 1]
+            part = {"lo": int(us[start]), "hi": int(us[end - 1]), "event_id": int(last["event_id"]), "kind": last["kind"], "n": int(end - start)}
+            if runs and part["lo"] - runs[-1]["hi"] <= self.quiet:
+                runs[-1] |= {"hi": part["hi"], "event_id": part["event_id"], "kind": part["kind"], "n": runs[-1]["n"] + part["n"]}
+                continue
+            near = runs and part["lo"] - runs[-1]["hi"] <= self.idle
+            if near:
+                runs[-1]["next_lo"] = part["lo"]
+            runs.append(part | {"path": key[0], "follows": bool(near), "next_lo": NEVER, "is_run": True})
+        done = runs if runs and runs[-1]["hi"] + self.idle <= until else runs[:-1]
+        times = [{"path": "", "us": int(t), "lo": 0, "hi": 0, "event_id": 0, "kind": "", "n": 0, "follows": False, "next_lo": NEVER, "is_run": False} for t in np.unique(us)]
+        out = pd.DataFrame(times + [r | {"us": r["hi"] + self.idle} for r in done], columns=names)
+        if len(done) < len(runs):
+            self.run.update(tuple((runs[-1] | {"us": 0, "ts": None}).get(n) for n in self.out.names))
+            return out, runs[-1]["hi"] + self.idle
+        self.run.clear()
+        return out, None
+
+
+class _Timeline(StatefulProcessor):
+    """The times of all paths in one bucket of `idle` (and the first one of the next bucket), for runs that ask whether
+    anything came between the end of their quiet time and the next run of their path."""
+
+    def __init__(self, quiet: int, idle: int, run: T.StructType):
+        self.quiet, self.idle, self.run = quiet, idle, run
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", T.StructType([T.StructField("us", T.LongType())]))
+        self.asking = handle.getListState("asking", self.run)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            known = frame[frame["is_run"] & (frame["next_lo"] == NEVER)]
+            if len(known):
+                yield known.assign(joins=False)
+            asked = frame[frame["is_run"] & (frame["next_lo"] != NEVER)][self.run.names]
+            if len(asked):
+                self.asking.appendList(list(asked.itertuples(index=False, name=None)))
+            us = np.unique(frame.loc[~frame["is_run"], "us"].to_numpy(np.int64))
+            later = us >= (key[0] + 1) * self.idle
+            us = np.r_[us[~later], us[later][:1]]
+            if len(us):
+                self.times.appendList([(int(t),) for t in us])
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(-(-(key[0] + 2) * self.idle // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        times = np.unique([r[0] for r in self.times.get()]) if self.times.exists() else np.zeros(0, np.int64)
+        asked = pd.DataFrame(list(self.asking.get()) if self.asking.exists() else [], columns=self.run.names)
+        self.times.clear()
+        self.asking.clear()
+        if len(asked):
+            upcoming = np.r_[times, FOREVER][np.searchsorted(times, asked["hi"].to_numpy(np.int64) + self.quiet, side="right")]
+            at = (key[0] + 2) * self.idle
+            joins = upcoming >= asked["next_lo"].to_numpy(np.int64)
+            ts = pd.to_datetime(pd.Series(at, index=asked.index), unit="us", utc=True)
+            yield asked.assign(joins=joins, us=at, is_run=True, ts=ts)
+
+    def close(self) -> None:
+        pass
+
+
+class _Chains(StatefulProcessor):
+    """Puts runs of a path together that join their next one, when all of a chain are there."""
+
+    def __init__(self, run: T.StructType):
+        self.run = run
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", self.run)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = self.run.names
+        held = [dict(zip(names, r)) for r in self.held.get()] if self.held.exists() else []
+        for frame in rows:
+            held += frame[names].to_dict("records")
+        by_start = {r["lo"]: r for r in held if r["n"]}
+        # A run that did not join its next one leaves that next one's start behind: it is the head of a chain.
+        free = {r["lo"] for r in held if not r["n"]}
+        out = []
+        while heads := [r for lo, r in by_start.items() if not r["follows"] or lo in free]:
+            progress = False
+            for head in heads:
+                chain = [head]
+                while chain[-1]["joins"] and chain[-1]["next_lo"] in by_start:
+                    chain.append(by_start[chain[-1]["next_lo"]])
+                last = chain[-1]
+                if last["joins"]:
+                    continue  # the next one is still under way
+                progress = True
+                for row in chain:
+                    del by_start[row["lo"]]
+                free.discard(head["lo"])
+                if last["next_lo"] != NEVER:
+                    free.add(last["next_lo"])
+                out.append((last["event_id"], key[0], last["kind"], last["hi"], head["lo"], sum(r["n"] for r in chain)))
+            if not progress:
+                break
+        rest = list(by_start.values()) + [{n: 0 for n in names} | {"lo": lo, "kind": "", "follows": False, "joins": False} for lo in free]
+        if rest:
+            self.held.put([tuple(r[n] for n in names) for r in rest])
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["event_id", "path", "kind", "us", "first_us", "n_events"])
 
     def close(self) -> None:
         pass
@@ -176,16 +358,68 @@ def coalesce_stream(events: DataFrame, seconds: float = 3.0, late: str | None =
     )
 
 
-def suppress_stream(events: DataFrame, writes: DataFrame, seconds: float = 5.0, late: str = "1 minute") -> DataFrame:
-    """Streaming twin of suppress_self_writes: an outer interval join that keeps events without a write."""
-    events = events.withWatermark("ts", late)
-    written = writes.select(F.col("path").alias("w_path"), F.col("ts").alias("w_ts")).withWatermark("w_ts", late)
-    near = (
-        (F.col("path") == F.col("w_path"))
-        & (F.col("ts") >= F.col("w_ts"))
-        & (F.col("ts") <= F.col("w_ts") + F.expr(f"INTERVAL '{micros(seconds) / 1_000_000:.6f}' SECOND"))
+def coalesce_two_timer_stream(
+    events: DataFrame, quiet: float = 3.0, idle: float = 10.0, late: str | None = "1 minute"
+) -> DataFrame:
+    """Streaming twin of coalesce_two_timer: a burst is sent off after `quiet` when anything arrives, else after `idle`.
+
+    Three stateful steps. Per path: quiet runs, and whether another one starts within `idle`. Per time bucket: the times
+    of all paths answer, for the runs that ask, whether something came in between. Per path again: runs that
+    join are put together. State is what the watermark has not passed, and the open run of each path.
+    """
+    events.sparkSession.conf.set(*STATE_STORE)
+    if late is not None:
+        events = events.withWatermark("ts", late)
+    quiet_us, idle_us = micros(quiet), micros(idle)
+    held = "us long, event_id long, kind string"
+    run = "path string, lo long, hi long, event_id long, kind string, n long, follows boolean, next_lo long"
+    marked = f"{run}, us long, is_run boolean, ts timestamp"
+    timed = events.select("path", "event_id", "kind", "ts", F.unix_micros("ts").alias("us"))
+    runs = timed.groupBy("path").transformWithStateInPandas(
+        _Runs(quiet_us, idle_us, T.StructType.fromDDL(held), T.StructType.fromDDL(marked)),
+        T.StructType.fromDDL(marked), "Append", "EventTime", eventTimeColumnName="ts",
+    )
+    # A time also goes to the bucket before its own, whose last runs may ask for it.
+    own = F.floor(F.when(F.col("is_run"), F.col("hi") + quiet_us).otherwise(F.col("us")) / idle_us).cast("long")
+    buckets = F.when(F.col("is_run"), F.array(own)).otherwise(F.array(own, own - 1))
+    answered = f"{run}, us long, is_run boolean, ts timestamp, bucket long, joins boolean"
+    asked = T.StructType.fromDDL(f"{run}, bucket long")
+    known = runs.withColumn("bucket", F.explode(buckets)).groupBy("bucket").transformWithStateInPandas(
+        _Timeline(quiet_us, idle_us, asked), T.StructType.fromDDL(answered), "Append", "EventTime", eventTimeColumnName="ts"
+    )
+    bursts = known.groupBy("path").transformWithStateInPandas(
+        _Chains(T.StructType.fromDDL(f"{run}, joins boolean")),
+        "event_id long, path string, kind string, us long, first_us long, n_events long", "Append", "None",
+    )
+    return bursts.select(
+        "event_id", "path", "kind", F.timestamp_micros("us").alias("ts"), F.timestamp_micros("first_us").alias("first_ts"), "n_events"
+    )
+
+
+def suppress_stream(
+    events: DataFrame, writes: DataFrame, seconds: float = 5.0, late: str | None = "1 minute"
+) -> DataFrame:
+    """Streaming twin of suppress_self_writes: a running maximum of write times over both streams, per path and bucket.
+
+    Events and writes come together in one processor, which holds them until the watermark has passed them; nothing is paired.
+    late=None: both streams have a watermark already.
+    """
+    events.sparkSession.conf.set(*STATE_STORE)
+    writes = writes.select("path", "ts")
+    if late is not None:
+        events, writes = events.withWatermark("ts", late), writes.withWatermark("ts", late)
+    ttl = micros(seconds)
+    bucket = F.floor(F.unix_micros("ts") / (16 * max(1, ttl))).cast("long")
+    timed = events.withColumn("bucket", bucket).withColumn("is_event", F.lit(True))
+    # A write also counts in the bucket after its own.
+    marks = writes.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("is_event", F.lit(False))
+    both = timed.unionByName(marks, allowMissingColumns=True).withColumn("us", F.unix_micros("ts"))
+    held = T.StructType([T.StructField(f.name, f.dataType) for f in both.schema if f.name not in ("ts", "bucket")])
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in both.schema if f.name != "bucket"])
+    kept = both.groupBy("path", "bucket").transformWithStateInPandas(
+        _Suppress(ttl, held), out, "Append", "EventTime", eventTimeColumnName="ts"
     )
-    return events.join(written, near, "left_outer").where(F.col("w_path").isNull()).select(*events.columns)
+    return kept.select(*events.columns)
 
 
 def clean_stream(
@@ -196,16 +430,20 @@ def clean_stream(
     rules: Sequence[tuple[str, str]] = ROUTES,
     writes: DataFrame | None = None,
     self_write_seconds: float = 5.0,
+    idle_seconds: float | None = None,
 ) -> DataFrame:
     """Own writes (a stream of path and ts, if given), ignored paths, kinds, debounce, bursts and routing in one
-    streaming plan. Without `writes` a linker would react to its own patches."""
+    streaming plan. Without `writes` a linker would react to its own patches. With idle_seconds bursts follow the
+    two-timer rule, as in clean_events."""
     if writes is not None:
         events = suppress_stream(events, writes, self_write_seconds, late)
     # The bursts need the watermark to pass an event anyway, so holding events until then delays nothing much.
     kept = debounce_stream(
         event_kinds(filter_ignored(events)), debounce_seconds, late if writes is None else None, ordered=True
     )
-    return route_events(coalesce_stream(kept, quiet_seconds, late=None), rules)
+    if idle_seconds is None:
+        return route_events(coalesce_stream(kept, quiet_seconds, late=None), rules)
+    return route_events(coalesce_two_timer_stream(kept, quiet_seconds, idle_seconds, late=None), rules)
 
 
 def link_on_events(link: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:

@@ -78,6 +78,42 @@ def test_suppress_stream_equals_batch(spark, tmp_path):
     assert ids(got) == ids(expected)
 
 
+def test_suppression_does_not_depend_on_arrival(spark, tmp_path):
+    """A third of events and writes on one path; nothing is paired, and state is short rows."""
+    events = log(spark, random_rows(7, 300, 6, 55) + [SENTINEL])
+    writes = log(spark, random_rows(8, 200, 6, 55) + [SENTINEL, ("other.md", 100_000.0)])
+    e = st.event_stream(spark, shuffled_files(events, tmp_path / "e", 3), files_per_trigger=1)
+    w = st.event_stream(spark, shuffled_files(writes, tmp_path / "w", 2), files_per_trigger=1)
+    stream = st.suppress_stream(e, w, 0.3)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and "TransformWithState" in plan
+    got = run(stream, tmp_path).where("path != 'sentinel.md'")
+    expected = ev.suppress_self_writes(events, writes.select("path", "ts"), 0.3).where("path != 'sentinel.md'")
+    assert ids(got) == ids(expected) and 0 < len(ids(got)) < 300
+
+
+@pytest.mark.parametrize("seed, n, span, files", [(1, 200, 2000, 2), (2, 200, 55, 3), (3, 40, 400, 1)])
+def test_two_timer_stream_equals_batch(spark, tmp_path, seed, n, span, files):
+    events = log(spark, random_rows(seed, n, 6, span) + [SENTINEL])
+    write = shuffled_files if span < 60 else as_files  # shuffled: all within the lateness
+    stream = st.event_stream(spark, write(events, tmp_path / "in", files), files_per_trigger=1)
+    got = run(st.coalesce_two_timer_stream(stream), tmp_path).where("path != 'sentinel.md'")
+    expected = ev.coalesce_two_timer(events).where("path != 'sentinel.md'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert expected.count() < ev.coalesce_events(events).where("path != 'sentinel.md'").count() or span < 60
+
+
+def test_clean_stream_with_the_flush_rule(spark, tmp_path):
+    events = log(spark, random_rows(9, 300, 6, 2000) + [SENTINEL])
+    writes = log(spark, random_rows(8, 60, 6, 2000) + [SENTINEL, ("other.md", 100_000.0)])
+    stream = st.event_stream(spark, as_files(events, tmp_path / "e"))
+    own = st.event_stream(spark, as_files(writes, tmp_path / "w"))
+    got = run(st.clean_stream(stream, 1.5, 3.0, writes=own, idle_seconds=10.0), tmp_path).where("path != 'sentinel.md'")
+    expected = ev.clean_events(events, writes.select("path", "ts"), idle_seconds=10.0).where("path != 'sentinel.md'")
+    columns = ["event_id", "path", "kind", "ts", "first_ts", "n_events", "handler"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+
+
 def test_clean_stream_equals_batch(spark, tmp_path):
     events = log(spark, random_rows(9, 300, 6, 2000) + [("x.txt", 5.0), ("y.md~", 5.0), ("z.md", 5.0, "opened"), SENTINEL])
     stream = st.event_stream(spark, as_files(events, tmp_path / "in", 2), files_per_trigger=1)
