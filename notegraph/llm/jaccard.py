@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, as components.
 
 Shingles are hashed to 64 bits; equal hashes count as equal shingles. Documents with equal sets are one class, which
-its smallest doc_id stands for. Hashing shingles into groups makes a point of each class: its count per group. The
+its smallest doc_id, a row of it and a number stand for. Hashing shingles into groups makes a point of each class: its count per group. The
 sum of the smaller counts of two points bounds their overlap from above, and the larger counts of an R-tree node do
 so for all points below it.
 
@@ -29,8 +29,10 @@ from notegraph.llm.common import BLANK_BYTES, LOWER_BYTES, hashes, mixed, shared
 SIZE, GROUPS = 5, 64
 LEAF, FANOUT, BLOCK = 16, 8, 1024
 STAR_ROUNDS = 1
-#: Ids that are broadcast at most (8 bytes each); beyond it the join is a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Ids that are broadcast at most, with a hash of the text and a number; beyond it the join is a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Bytes of such ids where they are texts.
+BROADCAST_BYTES = 64 << 20
 
 
 def distinct_shingles(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +56,8 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set), prefix (the smallest hashes, cut to 48 bits), point (counts per group)."""
+    """doc_id, copy (a hash of the text), n, d1, d2 (a digest of the set), prefix (the smallest hashes, cut to 48 bits),
+    point (counts per group)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -74,42 +77,49 @@ def shingle_sets(documents: DataFrame, size: int = SIZE) -> DataFrame:
             points = [x.tobytes() for x in counts.reshape(-1, GROUPS).astype(np.uint32)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    batch.column("doc_id"), batch.column("copy"), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.array(prefix)), pa.array(points, pa.binary()),
                 ],
-                ["doc_id", "n", "d1", "d2", "prefix", "point"],
+                ["doc_id", "copy", "n", "d1", "d2", "prefix", "point"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        measure, "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, point binary"
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(
+        measure, f"doc_id {id_type(documents)}, copy bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, point binary"
     )
 
 
-def full_sets(documents: DataFrame, ids: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, shingles (whole set) of the documents with these ids."""
+def id_type(documents: DataFrame) -> str:
+    return documents.schema["doc_id"].dataType.simpleString()
+
+
+def full_sets(documents: DataFrame, picked: DataFrame, size: int = SIZE) -> DataFrame:
+    """v, shingles (whole set) of the rows picked (v, doc_id, copy): a class and the row that stands for it."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             found, n = distinct_shingles(batch.column("text"), size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(found.view(np.int64)))],
-                ["doc_id", "shingles"],
+                [batch.column("v"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(found.view(np.int64)))],
+                ["v", "shingles"],
             )
 
-    return with_ids(documents.select(F.col("doc_id").cast("long"), "text"), ids, "left_semi").mapInArrow(
-        measure, "doc_id bigint, shingles array<bigint>"
-    )
+    rows = with_keys(documents.select("doc_id", "text"), picked, "inner").select("v", "text")
+    return rows.mapInArrow(measure, "v bigint, shingles array<bigint>")
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id with a stored table of ids, which is counted before it is broadcast."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+def with_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Join of rows with a text to a stored table of (doc_id, copy), which is counted before it is broadcast. Null ids are equal."""
+    held = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("doc_id").cast("string"))), F.lit(0)).alias("bytes")).first()
+    small = held["n"] <= BROADCAST_IDS and held["bytes"] <= BROADCAST_BYTES
+    keys = keys.withColumnsRenamed({"doc_id": "key_id", "copy": "key_copy"})
+    same = (F.xxhash64(rows["text"]) == keys["key_copy"]) & rows["doc_id"].eqNullSafe(keys["key_id"])
+    return rows.join(F.broadcast(keys) if small else keys, same, how)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose similarity is 0.8 or more, by whole sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """Those of the pairs (a, b) of classes whose similarity is 0.8 or more, by whole sets."""
+    left = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).where("100 * i >= 80 * (s - i)").select("a", "b")
@@ -235,57 +245,82 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_components(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) for every row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), copy, first of every row.
 
-    Rows without shingles (null, empty or blank texts) are linked with nothing. Rows that repeat a doc_id are one
-    vertex. A row without a doc_id has no component. An empty table gives no rows.
+    copy is a hash of the text; first tells whether (doc_id, copy) is the smallest of its component, ids before null.
+    Rows without shingles (null, empty or blank texts) are linked with nothing and are first. Rows that repeat a doc_id
+    with another text are documents of their own. A row without a doc_id has the smallest id of its component, or
+    null where there is none. Ids may have any type that has an order. Extra columns take no part. An empty table gives no rows.
     """
     measured = written(shingle_sets(documents, size))
-    classes = measured.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes)
+    # The row that stands for a class: the smallest id that there is, and of that the smallest hash of a text.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    classes = measured.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("key"))
+    classes = written(classes.withColumn("v", F.monotonically_increasing_id()))
     # One row per class: its representative's.
-    one = measured.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"]).dropDuplicates(["doc_id", "d1", "d2"])
-    tokens = one.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("df"), F.min("rep").alias("leader")).where("df > 1")
-    held = tokens.join(shared, "tok").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok", "leader"))).alias("toks"))
+    keys = classes.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("key.doc_id").alias("key_id"), F.col("key.copy").alias("key_copy"), "v")
+    same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("copy") == F.col("key_copy")) & F.col("doc_id").eqNullSafe(F.col("key_id"))
+    one = measured.join(keys, same).dropDuplicates(["v"])
+    tokens = one.select("v", "n", F.explode("prefix").alias("tok"))
+    shared = tokens.groupBy("tok").agg(F.count("*").alias("df"), F.min("v").alias("leader")).where("df > 1")
+    held = tokens.join(shared, "tok").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok", "leader"))).alias("toks"))
     held = written(held.where(F.size("toks") >= 1 + F.floor(F.col("n") / 50)))
-    sets = written(full_sets(documents, held.select(F.col("rep").alias("doc_id")).distinct(), size))
+    picked = classes.select("v", "key.doc_id", "key.copy").join(held.select("v").distinct(), "v", "left_semi")
+    sets = written(full_sets(documents, written(picked), size))
+    if sets.select("v").distinct().count() < sets.count():  # rows that are repeated as they are
+        sets = written(sets.groupBy("v").agg(F.min("shingles").alias("shingles")))
 
     # Each class and the leader with whom it shares most shingles.
-    stars = held.select("rep", F.explode("toks.leader").alias("leader")).where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("c"))
-    best = Window.partitionBy("rep").orderBy(F.desc("c"), "leader")
-    pairs = stars.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    stars = held.select("v", F.explode("toks.leader").alias("leader")).where("v <> leader").groupBy("v", "leader").agg(F.count("*").alias("c"))
+    best = Window.partitionBy("v").orderBy(F.desc("c"), "leader")
+    pairs = stars.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("leader").alias("a"), F.col("v").alias("b"))
     edges = written(linked(pairs, sets))
     tried = written(pairs)
     kept = F.slice("toks", F.lit(1), (F.size("toks") - F.floor(F.col("n") / 50)).cast("int"))
-    rare = written(held.select("rep", "n", F.explode(F.array_distinct(kept["leader"])).alias("bucket")))
+    rare = written(held.select("v", "n", F.explode(F.array_distinct(kept["leader"])).alias("bucket")))
     for turn in range(STAR_ROUNDS + 1):
-        labels = components(edges).withColumnRenamed("vertex", "rep")
-        rows = rare.join(labels, "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        labels = components(edges).withColumnRenamed("vertex", "v")
+        rows = rare.join(labels, "v", "left").select("bucket", "v", "n", F.coalesce("label", "v").alias("label"))
         mixed_buckets = rows.groupBy("bucket").agg(
-            F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", "rep")).alias("lead")
+            F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", "v")).alias("lead")
         )
         rows = rows.join(mixed_buckets.where("low < high"), "bucket")
         if turn < STAR_ROUNDS:
             # Classes that are not yet connected with the leading class of a bucket.
-            candidates = rows.where("label <> lead.label").groupBy("rep", F.col("lead.rep").alias("leader")).agg(F.count("*").alias("c"))
+            candidates = rows.where("label <> lead.label").groupBy("v", F.col("lead.v").alias("leader")).agg(F.count("*").alias("c"))
             candidates = candidates.withColumn("r", F.row_number().over(best)).where("r <= 2")
-            candidates = candidates.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+            candidates = candidates.select(F.least("v", "leader").alias("a"), F.greatest("v", "leader").alias("b")).distinct()
         else:
-            points = one.select(F.col("doc_id").alias("rep"), "n", "point")
-            candidates = tree_pairs(rows.select("bucket", "rep", "n", "label", "m").join(points, ["rep", "n"]))
+            points = one.select("v", "n", "point")
+            candidates = tree_pairs(rows.select("bucket", F.col("v").alias("rep"), "n", "label", "m").join(points.withColumnRenamed("v", "rep"), ["rep", "n"]))
         candidates = written(candidates.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(candidates)
         edges = written(edges.unionByName(linked(candidates, sets)))
-    # A component has the smallest of its representatives, which are the smallest of their classes.
-    labels = components(edges)
-    named = classes.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("component"))
-    rows = measured.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    labels = components(edges).withColumnRenamed("vertex", "v")
+    named = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    # Most components are one class, which needs no look at others.
+    several = named.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("key").alias("least"))
+    named = named.join(several, "label", "left").select("d1", "d2", "n", F.coalesce("least", "key").alias("least"))
+    rows = measured.select("doc_id", "copy", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    stands = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("copy") == F.col("least.copy"))
+    first = F.col("least").isNull() | stands
+    component = F.coalesce("least.doc_id", "doc_id").alias("component_id")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component, "copy", first.alias("first"))
 
 
 def one_of_each(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without those that are not the first of their component; found: rows of `jaccard_components`."""
-    dropped = written(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return with_ids(documents, dropped, "left_anti")
+    """One document of each component; found: rows of `jaccard_components`.
+
+    The one with the smallest (doc_id, hash of its text) stays, an id before none. Of rows that repeat both, that with the
+    smallest other columns stays. Rows without shingles are in no component and all stay, repeated ones too. Columns are kept as they are.
+    """
+    found = written(found.select("doc_id", "copy", "first", (F.col("n_shingles") > 0).alias("some")))
+    repeated = written(found.where("first AND some").groupBy("doc_id", "copy").count().where("count > 1").select("doc_id", "copy"))
+    out = written(found.where("NOT first").select("doc_id", "copy").distinct().unionByName(repeated))
+    rest = with_keys(documents, out, "left_anti")
+    if repeated.isEmpty():
+        return rest
+    again = with_keys(documents, repeated, "left_semi")
+    row = F.min(F.struct(*documents.columns)).alias("row")
+    again = again.groupBy("doc_id", F.xxhash64("text").alias("copy")).agg(row).select("row.*")
+    return rest.unionByName(again)

@@ -231,3 +231,15 @@ def score_quality(documents: DataFrame, model: Additive, keep: tuple[str, ...] =
     chosen = documents.select(*dict.fromkeys([*keep, "text"]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
     return chosen.mapInArrow(score, f"{kinds}, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, model: Additive) -> DataFrame:
+    """The documents with a score of 0.5 or more, all columns as they are, whatever their names. Each row is judged by
+    its text alone, so rows that are repeated stay or go together; null and empty texts are judged as zeros."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            yield batch.filter(pa.array(held.value.score(features(batch.column("text"))) >= 0.5))
+
+    return documents.mapInArrow(judge, documents.schema)

@@ -68,7 +68,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("copy", "first")
 
 
 def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,29 +60,62 @@ def corpus(seed):
     return texts
 
 
+def got(docs):
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_brute_force(spark, seed, monkeypatch):
     texts = corpus(seed)
     rows = list(enumerate(texts))
     expected = brute(rows)
-    assert sorted(map(tuple, jaccard_components(documents(spark, texts).repartition(3)).collect())) == expected
+    assert got(documents(spark, texts).repartition(3)) == expected
     if seed == 1:
         # Without leaders, and with buckets cut into blocks, all pairs come from the trees.
         monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
         monkeypatch.setattr(jaccard, "BLOCK", 16)
-        assert sorted(map(tuple, jaccard_components(documents(spark, texts)).collect())) == expected
+        assert got(documents(spark, texts)) == expected
+        # Ids that are texts, in an order of their own.
+        named = got(documents(spark, texts).selectExpr("concat('d', doc_id) AS doc_id", "text"))
+        least = {c: min(f"d{i}" for i, _, o in expected if o == c) for _, _, c in expected}
+        assert named == sorted((f"d{i}", n, least[c]) for i, n, c in expected)
 
 
 def test_awkward_rows(spark):
     rows = [(i, t) for i, t, *_ in awkward()]
     docs = spark.createDataFrame([(i, t, "x", 1, "k", "n", "t", "l", "s", "r") for i, t in [*rows, (None, "no id")]], CLASHING)
-    got = sorted(map(tuple, jaccard_components(docs).where("doc_id IS NOT NULL").collect()))
-    assert [(i, n) for i, n, _ in got] == sorted((i, len(shingle_set(t))) for i, t in rows)
-    assert {i: c for i, _, c in got}[10] == 9 and all(c == i for i, n, c in got if n == 0)
+    rows_got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).where("doc_id IS NOT NULL").collect())
+    assert [(i, n) for i, n, _ in rows_got] == sorted((i, len(shingle_set(t))) for i, t in rows)
+    assert {i: c for i, _, c in rows_got}[10] == 9 and all(c == i for i, n, c in rows_got if n == 0)
     assert jaccard_components(docs.limit(0)).count() == 0
     kept = one_of_each(docs, jaccard_components(docs))
-    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 9]
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
     assert kept.columns == docs.columns
+    assert one_of_each(docs.limit(0), jaccard_components(docs.limit(0))).count() == 0
+
+
+def one_of_each_brute(rows):
+    """Texts of the rows that stay: of each group of linked texts one row, rows without words all."""
+    texts = sorted({t for _, t in rows if shingle_set(t)})
+    group = {t: c for t, (_, _, c) in zip(texts, brute(list(enumerate(texts))))}
+    return sorted(str(t) for _, t in rows if not shingle_set(t)), len(set(group.values())), group
+
+
+def test_no_document_is_lost(spark):
+    """Ids that are repeated with other texts, rows that are repeated as they are, and rows without id."""
+    r = random.Random(8)
+    base = [" ".join(f"w{r.randint(0, 300)}" for _ in range(60)) for _ in range(12)]
+    rows = [(1, base[0]), (1, base[0]), (2, base[1]), (2, base[0]), (None, base[2]), (None, base[2]), (None, base[3]), (5, base[3]), (None, None), (None, ""), (6, " "), (6, " ")]
+    for k in range(120):
+        text = base[r.randrange(12)] if r.random() < 0.5 else near_copies(r, base[r.randrange(12)], 1, 3)[0]
+        rows.append((r.choice([None, r.randint(0, 30)]), text))
+    docs = spark.createDataFrame([(i, t, k % 3, "x") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, score int, key string")
+    kept = one_of_each(docs, jaccard_components(docs)).collect()
+    without, n, group = one_of_each_brute(rows)
+    assert sorted(str(x["text"]) for x in kept if not shingle_set(x["text"])) == without
+    assert sorted(group[x["text"]] for x in kept if shingle_set(x["text"])) == sorted(set(group.values())) and n == len(kept) - len(without)
+    few = spark.createDataFrame([(i, t) for i, t in rows[:6]], "doc_id bigint, text string")
+    assert sorted(one_of_each(few, jaccard_components(few)).collect(), key=str) == sorted([(1, base[0]), (2, base[1]), (None, base[2])], key=str)
 
 
 def test_tree_against_all_pairs():

@@ -43,3 +43,20 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+def test_awkward_rows_go_through_every_stage(spark):
+    """Null, empty and repeated rows, null ids, and extra columns with the names that stages use themselves."""
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(30).select("text").collect()
+    rows = [(k, t["text"]) for k, t in enumerate(texts)] + [(3, texts[4]["text"]), (None, texts[5]["text"]), (3, texts[3]["text"]), (90, None), (91, ""), (None, None), (92, "x" * 50_000)]
+    clashing = "1 AS score, 2 AS predicted, 'c' AS copy, 3 AS key, 4 AS window_id, 5 AS n, 'p' AS spans, 6 AS first, 7 AS label".split(", ")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", *clashing)
+    for empty in (False, True):
+        state = written(docs.limit(0) if empty else docs)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            state = written(stage(spark, state, FOLDER))
+            assert state.columns == docs.columns
+        left = {r["text"] for r in state.collect()}
+        assert len(left) <= len(rows) and (not empty or not left)
+        packed = corpus_pipeline.STAGES[-1][1](spark, state, FOLDER).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in state.collect()}
