@@ -1,9 +1,15 @@
-"""The corpus pipeline: documents go through the stages in order, each stage works on all that the one before kept."""
+"""The corpus pipeline: documents go through the stages in order, each stage works on all that the one before kept.
+
+Stages but the last return the columns they get, extra ones too, whatever their names. Null and empty texts are scored as
+zeros by the classifier, and where they stay they are in no group of copies, are clean, have no personal data, and are
+packed as the end mark alone. Rows that repeat an id with another text are documents of their own; of rows that repeat id
+and text one stays, if they have words. Ids may be null. An empty table gives none.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from notegraph.llm import decontaminate, jaccard, packing, pii, quality
 from notegraph.llm.common import table, written
@@ -14,21 +20,18 @@ TOKENIZER = "byte_bpe_50k.json"
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled documents, does not reject."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id."""
+    """Of each component of near-duplicates one document: that with the smallest id, see `jaccard.one_of_each`."""
     return jaccard.one_of_each(docs, jaccard.jaccard_components(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; a row goes by its id and text together, null ids too."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    found = written(found.select(F.col("doc_id").alias("hit_id"), F.col("copy").alias("hit_copy")))
-    same = docs["doc_id"].eqNullSafe(found["hit_id"]) & F.xxhash64(docs["text"]).eqNullSafe(found["hit_copy"])
-    small = found.count() <= jaccard.BROADCAST_IDS
-    return docs.join(F.broadcast(found) if small else found, same, "left_anti")
+    return jaccard.with_keys(docs, written(found.select("doc_id", "copy")), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
