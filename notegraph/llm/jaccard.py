@@ -256,7 +256,8 @@ def jaccard_components(documents: DataFrame, size: int = SIZE) -> DataFrame:
     # The row that stands for a class: the smallest id that there is, and of that the smallest hash of a text.
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
     classes = measured.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("key"))
-    classes = written(classes.withColumn("v", F.monotonically_increasing_id()))
+    # Numbers in the order of these rows: leaders are the smallest ids, which tend to be what others were copied from.
+    classes = written(classes.sort("key").withColumn("v", F.monotonically_increasing_id()))
     # One row per class: its representative's.
     keys = classes.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("key.doc_id").alias("key_id"), F.col("key.copy").alias("key_copy"), "v")
     same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("copy") == F.col("key_copy")) & F.col("doc_id").eqNullSafe(F.col("key_id"))
