@@ -18,6 +18,7 @@ from notegraph.operators import corpus, events, links, patches, similar
 from notegraph.operators.chunk import chunk_notes
 from notegraph.operators.embed import hash_embed
 from notegraph.operators.materialise import materialise, shared_folder
+from notegraph.operators.vector_index import build_index, knn_in_index, similar_to_indexed, update_index
 from notegraph.plans.link import link_notes, suggest_links
 from notegraph.plans.populate import populate, populate_table
 from notegraph.schema import CHUNK_KEY, EVENT_IGNORE_SUFFIXES, Settings
@@ -212,6 +213,33 @@ def _knn(method: str, level: str = "chunk", **options) -> Query:
     return query
 
 
+def _stored_index(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """All vectors, and an index that was built on an earlier state of them and then brought up to date.
+
+    Before, a third of the notes was not there, a third had the opposite vectors, and a third had namesakes that are gone.
+    """
+    notes = s.vector_notes(spark, folder)
+    third = F.pmod(F.xxhash64("path"), F.lit(3))
+    before = F.when(third == 1, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    gone = notes.where(third == 2).withColumn("path", F.concat(F.lit("gone/"), "path"))
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    build_index(notes.where(third != 0).withColumn("embedding", before).unionByName(gone), root, s.DIMENSIONS, cell_rows=50)
+    update_index(notes, notes.where(third != 2).select("path").union(gone.select("path")), root)
+    return notes, root
+
+
+def _knn_stored(level: str) -> Query:
+    def query(spark, folder):
+        notes, root = _stored_index(spark, folder)
+        return _rounded(knn_in_index(similar.note_vectors(notes), root, 5, level, block_rows=100))
+
+    return query
+
+
+def similar_to_stored(spark, folder):
+    return _rounded(similar_to_indexed(*_stored_index(spark, folder), "n3.md", 5))
+
+
 def note_similarity(spark, folder):
     """Documents to chunks to built-in vectors to the nearest notes of every note."""
     chunks = chunk_notes(s.disk_notes(spark, folder), 1000).repartition(*CHUNK_KEY)
@@ -489,6 +517,9 @@ QUERIES: dict[str, Query] = {
     "knn_indexed": _knn("indexed", block_rows=100, pivots=8),
     "similar_notes_distinct": _knn("auto", "note"),
     "similar_notes_indexed": _knn("indexed", "note", block_rows=100, pivots=8),
+    "similar_to_stored": similar_to_stored,
+    "knn_stored": _knn_stored("chunk"),
+    "similar_notes_stored": _knn_stored("note"),
     "note_similarity": note_similarity,
     "link_exists": link_exists_query,
     "candidate_pairs": candidate_pairs,

@@ -444,6 +444,8 @@ def oracles() -> dict[str, str]:
         "similar_notes_small_queries": knn_notes,
         "knn_blocked": knn,
         "knn_indexed": knn,
+        "knn_stored": knn,
+        "similar_notes_stored": knn_notes,
         "similar_notes_distinct": knn_notes,
         "similar_notes_indexed": knn_notes,
         "note_similarity": f"SELECT path, similar_path, similarity, rank FROM ({_knn('x_hashed', 'note')})",
@@ -488,6 +490,7 @@ def oracles() -> dict[str, str]:
         "clean_events_flush": f"""SELECT event_id, path, kind, us, n_events, 'backlinker' AS handler
             FROM ({_bursts("x_clean", _flushed("x_clean", HOUR // 1_000_000, 3 * HOUR))}) WHERE path LIKE '%.md'""",
     }
+    plain["similar_to_stored"] = plain["similar_to_note"]
     # Streams are run until every row has left them and give what the batch queries give.
     twins = {"coalesce": "coalesce_events", "coalesce_two_timer": "coalesce_two_timer", "suppress": "suppress_self_writes"}
     plain |= {f"{k}_stream": plain[v] for k, v in twins.items()}

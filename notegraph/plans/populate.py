@@ -25,6 +25,7 @@ from notegraph.operators.embed import Embedder, embed_chunks, hash_embed
 from notegraph.operators.materialise import materialise
 from notegraph.operators.patches import append_log, error_log
 from notegraph.operators.sized import BROADCAST_ROWS, if_small, is_small
+from notegraph.operators.vector_index import build_index, update_index
 from notegraph.schema import CHUNK_KEY, NOTES_SCHEMA, Settings
 from notegraph.sources.notes import scan_errors, validate_embeddings
 from notegraph.sources.table import BUCKETS, load_notes, save_notes, touched_buckets
@@ -131,9 +132,13 @@ def populate_table(
     log_folder: str | None = None,
     listing: DataFrame | None = None,
     buckets: int = BUCKETS,
+    index_root: str | None = None,
 ) -> Report:
     """populate() on the stored table, reading and writing only the buckets that change.
 
+    `index_root` names the vector index beside the table (`operators.vector_index`): it is built with the first save and
+    then brought up to date in the cells of changed and pruned notes.
+
     What changed is found from four narrow columns. `buckets` is for a table's first save: choose it so that a bucket
     holds some 256 MB to 1 GB, because a changed note rewrites its bucket.
     """
@@ -144,6 +149,10 @@ def populate_table(
 
     done = _do_work(work, disk, load_notes(spark, root, only), settings, now, embedder)
     save_notes(done.notes.select(*NOTES_SCHEMA.fieldNames()), root, only, buckets)
+    if index_root is not None and only is None:
+        build_index(load_notes(spark, root), index_root, settings.dimensions)
+    elif index_root is not None:
+        update_index(load_notes(spark, root, only), work.changes.select("path").union(work.gone.select("path")), index_root)
     if log_folder is not None:
         append_log(error_log(done.failed, "EMBED", now), log_folder)
         append_log(error_log(work.unread.withColumnRenamed("reason", "error"), "SCAN", now), log_folder)
