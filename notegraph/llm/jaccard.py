@@ -259,9 +259,10 @@ def jaccard_components(documents: DataFrame, size: int = SIZE) -> DataFrame:
     # Numbers in the order of these rows: leaders are the smallest ids, which tend to be what others were copied from.
     classes = written(classes.sort("key").withColumn("v", F.monotonically_increasing_id()))
     # One row per class: its representative's.
-    keys = classes.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("key.doc_id").alias("key_id"), F.col("key.copy").alias("key_copy"), "v")
-    same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("copy") == F.col("key_copy")) & F.col("doc_id").eqNullSafe(F.col("key_id"))
-    one = measured.join(keys, same).dropDuplicates(["v"])
+    # The id goes into the join by its hash, so that null ids meet and rows need no further shuffle to be made unique.
+    keys = classes.select("d1", "d2", "key.copy", F.xxhash64("key.doc_id").alias("id_hash"), F.col("key.doc_id").alias("key_id"), "v")
+    on = ["d1", "d2", "copy", "id_hash"]
+    one = measured.withColumn("id_hash", F.xxhash64("doc_id")).join(keys, on).where(F.col("doc_id").eqNullSafe(F.col("key_id"))).dropDuplicates(on)
     tokens = one.select("v", "n", F.explode("prefix").alias("tok"))
     shared = tokens.groupBy("tok").agg(F.count("*").alias("df"), F.min("v").alias("leader")).where("df > 1")
     held = tokens.join(shared, "tok").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok", "leader"))).alias("toks"))
