@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from notegraph.llm.common import BLANK_BYTES, LOWER_BYTES, hashes, mixed, shared_checkpoint, shingles, sliced, spans, utf8, written
+from notegraph.llm.common import BLANK_BYTES, LOWER_BYTES, hashes, mixed, numbered, shared_checkpoint, shingles, sliced, spans, utf8, written
 
 SIZE, GROUPS = 5, 64
 LEAF, FANOUT, BLOCK = 16, 8, 1024
@@ -256,8 +256,8 @@ def jaccard_components(documents: DataFrame, size: int = SIZE) -> DataFrame:
     # The row that stands for a class: the smallest id that there is, and of that the smallest hash of a text.
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
     classes = measured.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(key).alias("key"))
-    # Numbers in the order of these rows: leaders are the smallest ids, which tend to be what others were copied from.
-    classes = written(classes.sort("key").withColumn("v", F.monotonically_increasing_id()))
+    # Short numbers in the order of these rows: leaders are the smallest ids, which tend to be what others were copied from.
+    classes = written(numbered(classes, F.asc("key")).withColumnRenamed("at", "v"))
     # One row per class: its representative's.
     # The id goes into the join by its hash, so that null ids meet and rows need no further shuffle to be made unique.
     keys = classes.select("d1", "d2", "key.copy", F.xxhash64("key.doc_id").alias("id_hash"), F.col("key.doc_id").alias("key_id"), "v")

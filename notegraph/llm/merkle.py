@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from notegraph.llm.common import grouped, written
+from notegraph.llm.common import grouped, numbered, written
 from notegraph.operators.sized import BROADCAST_ROWS
 
 ARITY = 3
@@ -115,21 +115,6 @@ def siblings(nodes: bytes, size: int, height: int) -> tuple[list[list[str]], lis
     return lefts, rights
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """The rows with their places `at` from 0 in that order, written. One count per partition goes to the driver."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = written(ranged.withColumn("place", F.monotonically_increasing_id()))
-    part = F.shiftright("place", 33)
-    counts = ranged.groupBy(part.alias("part")).count().orderBy("part").collect()
-    before, total = [], 0
-    for row in counts:
-        before.append((row["part"], total))
-        total += row["count"]
-    offsets = rows.sparkSession.createDataFrame(before, "part bigint, before bigint")
-    joined = ranged.withColumn("part", part).join(F.broadcast(offsets), "part")
-    return joined.withColumn("at", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before", "place")
-
-
 def segments(nodes: DataFrame, levels: int) -> DataFrame:
     """One tier of blocks. nodes: tree, idx (from 0), count (nodes of the tree on this tier), digest."""
     width = ARITY**levels
