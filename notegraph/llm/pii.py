@@ -1,13 +1,18 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with a CRF that adds spans.
 
-The network is trained in numpy on the spans that the patterns find in a bounded sample of documents. Whole texts are
-tagged in overlapping windows; where two windows overlap, each decides up to the middle, and runs of one tag across
-windows are one span. An added span must pass the same check of its kind as a pattern's (digits, Luhn, parts).
+The network is trained in numpy on windows of a bounded sample of documents: with the spans that the patterns find, and
+with made-up values (`made_up`) put between the words of the text, whose spans are known: keys and tokens, phone numbers
+without a plus, spelled-out addresses, card numbers with other signs, long IP addresses; and with dates, prices, numbers,
+versions and names that are no personal data. Whole texts are tagged in overlapping windows; where two windows overlap,
+each decides up to the middle, and runs of one tag across windows are one span. A span is added if the network prefers it
+by MARGIN (scores and transitions of the whole span against those of none), and if it has the digits and signs that a value of its kind needs at least (`likely`).
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,20 +22,28 @@ from pyspark.sql import DataFrame, functions as F
 from notegraph.llm.common import ragged, sliced, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = 1 + len(KINDS)
+#: Kinds of added spans, in order: those of the patterns, and keys, tokens and passwords.
+ALL_KINDS = (*KINDS, "secret")
+TAGS = 1 + len(ALL_KINDS)
 HIDDEN = 6
 WINDOW, OVERLAP, BATCH = 512, 64, 1024
 #: Documents that the network is trained on at most; windows per document; characters of a training window.
 TRAINING_ROWS, WINDOWS_PER_ROW, TRAINING_WIDTH = 3000, 6, 96
-ROUNDS, RATE = 12, 0.02
-SIGNS = ".@+-_%():,/"
+#: Windows with made-up values per training document.
+MADE_PER_ROW = 6
+#: How much more log likelihood the network must give to an added span than to none in its place.
+MARGIN = 2.0
+#: Updates of the weights, about: rounds over the windows are as many as that takes, between the two bounds.
+UPDATES, FEWEST_ROUNDS, MOST_ROUNDS, BATCH_ROWS, RATE = 1100, 4, 30, 96, 0.02
+SIGNS = ".@+-_%():,/=\"'[]"
+HEX = 0  # a to f, which digests and keys are made of
 DIGIT, LOWER, UPPER, BEYOND, BLANK, LINE, MARK = 1, 2, 3, 4, 5, 6, 7
 CLASSES = MARK + 1 + len(SIGNS)
 CLASS = np.zeros(128, np.uint8)
 for _x in range(128):
     _c = chr(_x)
     CLASS[_x] = (
-        DIGIT if _c.isdigit() else LOWER if _c.islower() else UPPER if _c.isupper() else BLANK if _c == " "
+        DIGIT if _c.isdigit() else HEX if _c in "abcdef" else LOWER if _c.islower() else UPPER if _c.isupper() else BLANK if _c == " "
         else LINE if _c in "\t\n\r" else MARK + 1 + SIGNS.index(_c) if _c in SIGNS else MARK
     )
 
@@ -96,6 +109,80 @@ def base_spans(text: str, digits: int = 4) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def likely(kind: str, part: str) -> bool:
+    """What a value of a kind has at least, however it is written. Spans that the network adds must have it."""
+    digits = _digits(part)
+    if kind == "email":
+        return valid(kind, part) or re.search(r"(?i)[ (\[{]at[ )\]}].*[ (\[{.](dot[ )\]}])?", part) is not None
+    if kind == "ip":
+        return valid(kind, part) or (part.count(":") >= 3 and re.fullmatch("[0-9A-Fa-f:.]+", part) is not None)
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15 and re.fullmatch(r"[0-9\x20()./+-]+", part) is not None and len(part) > len(digits)
+    return len(part) >= 16 and not re.search(r"\s", part) and bool(digits) and re.search("[A-Za-z]", part) is not None
+
+
+_HEX, _ALNUM = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_KEYS = ("token", "api_key", "secret", "password", "key", "access_token", "Authorization: Bearer", "API key", "auth", "passwd")
+
+
+def made_up(r: random.Random) -> tuple[str, str, str, str | None]:
+    """A made-up passage: what is before the value, the value, what is behind it, and its kind (None: nothing personal)."""
+
+    def signs(alphabet: str, n: int) -> str:
+        return "".join(r.choice(alphabet) for _ in range(n))
+
+    def number(n: int) -> str:
+        return signs("123456789", 1) + signs("0123456789", n - 1)
+
+    def word() -> str:
+        return signs("abcdefghijklmnopqrstuvwxyz", r.randint(2, 9))
+
+    before, behind = r.choice([" ", " ", " ", "\n", " (", "## ", "!! "]), r.choice([" ", " ", " ", ". ", ", ", "\n", "### ", "%%% ", ") "])
+    choice = r.randrange(12)
+    if choice < 3:
+        quote = r.choice(['"', '"', "'", ""])
+        value = r.choice([
+            lambda: signs(_HEX, r.choice([32, 40, 40, 64])), lambda: signs(_ALNUM, r.randint(20, 48)), lambda: "AKIA" + signs(_ALNUM[:26] + "234567", 16),
+            lambda: r.choice(["ghp_", "sk-", "pk_live_", "xoxb-"]) + signs(_ALNUM, r.randint(24, 40)), lambda: signs(_ALNUM + "+/", 40) + r.choice(["", "=", "=="]),
+        ])()
+        head = r.choice([f"{r.choice(_KEYS)}{r.choice([' = ', '=', ': ', ' '])}", f"{r.choice(_KEYS)} = ", ""])
+        return before + head + quote, value, quote + behind, "secret" if likely("secret", value) else None
+    if choice < 5:
+        a, b, c = number(3), number(3), number(4)
+        value = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"00{number(2)} {a} {number(7)}", f"0{number(3)} / {number(7)}", f"+{number(2)} {a} {b} {c}"])
+        return before, value, behind, "phone"
+    if choice == 5:
+        at, dot = r.choice([(" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) ")])
+        return before, f"{word()}{r.choice(['', '.', '_'])}{number(r.randint(1, 3))}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}", behind, "email"
+    if choice == 6:
+        digits = number(15)
+        digits += next(c for c in "0123456789" if luhn(digits + c))
+        between = r.choice([".", "/", "  ", ""])
+        return before, between.join(digits[k : k + 4] for k in range(0, 16, 4)), behind, "card"
+    if choice == 7:
+        return before, ":".join(signs(_HEX, r.randint(1, 4)) for _ in range(r.choice([4, 6, 8]))), behind, "ip"
+    nothing = r.choice([
+        lambda: f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}",
+        lambda: f"{r.randint(1, 999)},{signs('0123456789', 3)}.{signs('0123456789', 2)}", lambda: f"v{r.randint(0, 20)}.{r.randint(0, 40)}.{r.randint(0, 9)}",
+        lambda: number(r.randint(1, 11)), lambda: f"{word()}_{word()}_{word()}", lambda: f"https://www.{word()}.org/{word()}/{word()}-{word()}.html",
+        lambda: f"{word()}-{word()}-{word()}", lambda: f"{number(3)}-{number(3)}", lambda: f"{word()} at {word()}. {word().title()}", lambda: "".join(word() for _ in range(5)),
+        lambda: f"{number(2)}/{number(2)}/{number(4)}", lambda: f"{word().title()}{number(2)}{word()}", lambda: f"{number(4)} {number(4)}", lambda: f'{word()} = "{word()}{word()}"',
+    ])()
+    return before, nothing, behind, None
+
+
+def made_window(text: str, r: random.Random, width: int) -> tuple[str, int, int, str | None]:
+    """A window of a text with a made-up passage between two of its words: the window, and the value's span and kind."""
+    before, value, behind, kind = made_up(r)
+    at = text.find(" ", r.randrange(len(text) + 1))
+    at = len(text) if at < 0 else at
+    lead = r.randrange(max(1, min(40, width - len(before) - 12)))
+    left = text[max(0, at - lead) : at] + before
+    return (left + value + behind + text[at + 1 : at + 1 + width])[:width], len(left), min(width, len(left) + len(value)), kind
+
+
 def classes(points: np.ndarray) -> np.ndarray:
     """The class of each code point."""
     return np.where(points < 128, CLASS[np.minimum(points, 127)], BEYOND).astype(np.uint8)
@@ -199,8 +286,9 @@ class Tagger:
             at = back[t, at, columns]
         return tags
 
-    def tag(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A tag for each code point of texts that lie one after the other."""
+    def tag(self, points: np.ndarray, offsets: np.ndarray, leads: np.ndarray | None = None) -> np.ndarray:
+        """A tag for each code point of texts that lie one after the other. `leads`, if given, gets the score of each tag
+        that is not 0 less that of tag 0."""
         kinds, sizes = classes(points), np.diff(offsets)
         step = WINDOW - OVERLAP
         per_row = np.where(sizes > 0, np.maximum(1, -(-(sizes - WINDOW) // step) + 1), 0)
@@ -241,7 +329,10 @@ class Tagger:
             column, row = np.nonzero(found.T)
             inside = begin[part][column] + row
             own = (inside >= since[part][column]) & (inside < until[part][column])
-            tags[first[part][column[own]] + row[own]] = found[row[own], column[own]]
+            place, row, column = first[part][column[own]] + row[own], row[own], column[own]
+            tags[place] = chosen = found[row, column]
+            if leads is not None:
+                leads[place] = scores[row, chosen, column] - scores[row, 0, column]
         return tags
 
     def gradients(self, codes: np.ndarray, tags: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
@@ -307,17 +398,20 @@ def train_tagger(codes: np.ndarray, tags: np.ndarray) -> Tagger:
         tagger.p["c"][0] = 1e3
         return tagger
     adam, r = Adam(tagger.p), np.random.Generator(np.random.PCG64(3))
-    for turn in range(ROUNDS):
-        for part in np.array_split(r.permutation(len(codes)), max(1, len(codes) // 96)):
+    batches = max(1, len(codes) // BATCH_ROWS)
+    rounds = min(max(-(-UPDATES // batches), FEWEST_ROUNDS), MOST_ROUNDS)
+    for turn in range(rounds):
+        for part in np.array_split(r.permutation(len(codes)), batches):
             g, _ = tagger.gradients(codes[part].T, tags[part].T)
             norm = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
-            adam.step({k: (x * min(1.0, 5 / norm)).astype(np.float32) for k, x in g.items()}, RATE * (1.0 if turn < ROUNDS - 3 else 0.25))
+            adam.step({k: (x * min(1.0, 5 / norm)).astype(np.float32) for k, x in g.items()}, RATE * (1.0 if turn < 0.75 * rounds else 0.25))
     return tagger
 
 
 def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Tagger:
-    """A tagger from the patterns' spans in at most `rows` documents, chosen by a hash of the id: up to
-    WINDOWS_PER_ROW windows of each, around spans and at even places, so the driver gets a bounded amount."""
+    """A tagger from at most `rows` documents, chosen by a hash of the id: up to WINDOWS_PER_ROW windows of each, around the
+    patterns' spans and in the middle, and MADE_PER_ROW windows with made-up values that depend on the text alone, so the
+    driver gets a bounded amount."""
     width = TRAINING_WIDTH
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,6 +430,19 @@ def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Tagger:
                     ids.append(doc_id)
                     codes.append(kinds[a : a + width].tobytes())
                     tags.append(truth[a : a + width].tobytes())
+                r = random.Random(zlib.crc32(text.encode()))
+                for _ in range(MADE_PER_ROW):
+                    window, a, b, kind = made_window(text, r, width)
+                    own = np.full(width, BLANK, np.uint8)
+                    own[: len(window)] = classes(np.frombuffer(window.encode("utf-32-le"), np.uint32))
+                    truth = np.zeros(width, np.uint8)
+                    for known, x, y in base_spans(window):
+                        truth[x:y] = 1 + KINDS.index(known)
+                    if kind is not None:
+                        truth[a:b] = 1 + ALL_KINDS.index(kind)
+                    ids.append(doc_id)
+                    codes.append(own.tobytes())
+                    tags.append(truth.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.column("doc_id").type), pa.array(codes, pa.binary()), pa.array(tags, pa.binary())], ["doc_id", "codes", "tags"]
             )
@@ -351,17 +458,31 @@ def train(documents: DataFrame, rows: int = TRAINING_ROWS) -> Tagger:
     return train_tagger(*arrays)
 
 
-def added_spans(text: str, tags: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs of one tag that overlap no base span and, without blanks at their ends, pass the check of their kind."""
+def added_spans(text: str, tags: np.ndarray, leads: np.ndarray, base: list[tuple[str, int, int]], moves: np.ndarray) -> list[tuple[str, int, int]]:
+    """moves: the transitions. Runs of one tag that the network prefers by MARGIN, whole words, that are likely and overlap no base span or one
+    another. A run is widened to the words that it begins and ends in, and loses blanks and stops at its ends."""
     cuts = np.flatnonzero(np.diff(np.r_[0, tags, 0]))
-    out = []
+    out, last = [], 0
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if not tags[a]:
             continue
-        kind, part = KINDS[tags[a] - 1], text[a:b]
-        a, b = a + len(part) - len(part.lstrip(" .,;:")), b - len(part) + len(part.rstrip(" .,;:"))
-        if a < b and valid(kind, text[a:b]) and all(b <= x or a >= y for _, x, y in base):
+        k = tags[a]
+        gained = leads[a:b].sum() + moves[0, k] + (b - a - 1) * moves[k, k] + moves[k, 0] - (b - a + 1) * moves[0, 0]
+        if gained < MARGIN:
+            continue
+        kind, part = ALL_KINDS[tags[a] - 1], text[a:b]
+        a, b = a + len(part) - len(part.lstrip(" .,;:\"'\n")), b - len(part) + len(part.rstrip(" .,;:\"'\n"))
+        if a >= b:
+            continue
+        while a > last and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
+            b += 1
+        if kind in ("phone", "card") and text[a] != "(" and text[a - 1 : a] == "(" and ")" in text[a:b]:
+            a -= 1
+        if a >= last and likely(kind, text[a:b]) and all(b <= x or a >= y for _, x, y in base):
             out.append((kind, a, b))
+            last = b
     return out
 
 
@@ -375,21 +496,27 @@ def find(tagger: Tagger, column: pa.Array) -> Iterator[tuple[str, list, list]]:
     texts = [x or "" for x in column.to_pylist()]
     offsets = np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    tags = tagger.tag(points, offsets)
+    leads = np.zeros(len(points), np.float32)
+    tags = tagger.tag(points, offsets, leads)
     tagged = np.r_[0, np.cumsum(tags > 0)]
     digits = np.r_[0, np.cumsum((points >= 48) & (points <= 57))]
     for i, text in enumerate(texts):
         base = base_spans(text, int(digits[offsets[i + 1]] - digits[offsets[i]]))
         found = base
         if tagged[offsets[i + 1]] > tagged[offsets[i]]:
-            added = added_spans(text, tags[offsets[i] : offsets[i + 1]], base)
-            found = sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
+            own = slice(offsets[i], offsets[i + 1])
+            found = sorted(base + added_spans(text, tags[own], leads[own], base, tagger.p["t"]), key=lambda x: (x[1], ALL_KINDS.index(x[0])))
         yield text, base, found
 
 
 def find_personal_data(documents: DataFrame, tagger: Tagger) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base (list of them), spans (all), both as kind:start:end by
-    start, comma-joined. Null and empty texts have none. One row per row."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base (list of them), spans (all, kinds of ALL_KINDS), both as
+    kind:start:end by start, comma-joined.
+
+    Null and empty texts have none, nor has an empty table. Long texts are read whole, in windows. One row per row, so a row
+    that is repeated is repeated here; spans that start at one place go by kind. Extra columns are left out, whatever
+    their names.
+    """
     held = documents.sparkSession.sparkContext.broadcast(tagger)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +538,8 @@ def find_personal_data(documents: DataFrame, tagger: Tagger) -> DataFrame:
 
 
 def mask_personal_data(documents: DataFrame, tagger: Tagger) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets, and n_chars as it is then. A null text stays."""
+    """The documents with every span replaced by its kind in brackets, and n_chars as it is then. All columns as they are,
+    whatever their names. Null and empty texts and an empty table stay as they are; repeated rows stay repeated."""
     held = documents.sparkSession.sparkContext.broadcast(tagger)
     names = documents.columns
 

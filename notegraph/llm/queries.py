@@ -64,7 +64,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = pii.find_personal_data(documents, pii.train(documents))
     base = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), base, "spans")
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), base, "spans", (F.col("spans") != "").alias("has_personal_data"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
