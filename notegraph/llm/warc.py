@@ -52,13 +52,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
 
 @dataclass
 class Found:
-    """A record, or (with a reason) a gap of bytes that was set aside."""
+    """A record, or (with a reason) a gap of bytes that was set aside. Of what is inside a member, `offset` and `length`
+    are the member's, and `inside` counts from the start of what it holds, `size` in its bytes."""
 
     offset: int
     length: int
     headers: dict[str, str]
     payload: bytes | None = None
     reason: str | None = None
+    inside: int | None = None
+    size: int | None = None
 
 
 def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
@@ -89,40 +92,89 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     return stop + 4, headers, payload
 
 
-def inflate(data: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member that starts at a byte: where it ends and what it holds. ValueError if it is damaged."""
+def inflate(data: bytes, at: int) -> tuple[int, bytes, str | None]:
+    """The gzip member that starts at a byte: where it ends, what it holds, and what is wrong with it, if anything. Of a
+    damaged member what came out before the damage is given, and its end is the first byte that was not understood or,
+    where only the check sum or the length differs, the byte behind it."""
     engine, out, place = zlib.decompressobj(31), [], at
-    try:
-        while not engine.eof and place < len(data):
-            out.append(engine.decompress(data[place : place + 65536]))
-            place += 65536
-    except zlib.error as error:
-        raise ValueError(f"member: {error}") from error
+    while not engine.eof and place < len(data):
+        # Smaller steps behind an error, since a step that fails gives nothing of what it had read.
+        step = 65536
+        while True:
+            before = engine.copy()
+            try:
+                out.append(engine.decompress(data[place : place + step]))
+                break
+            except zlib.error as error:
+                if step == 1:
+                    return place, b"".join(out), f"member: {error}"
+                engine, step = before, max(1, step // 16)
+        place += step
     if not engine.eof:
-        raise ValueError("member without end")
-    return min(place, len(data)) - len(engine.unused_data), b"".join(out)
+        return len(data), b"".join(out), "member without end"
+    return min(place, len(data)) - len(engine.unused_data), b"".join(out), None
 
 
-def salvage(data: bytes) -> Iterator[Found]:
-    """All records of an archive, plain or gzip, in order. After a failed check the search goes on one byte further
-    for the next gzip member or version line that passes; what lies between is reported once, as a gap."""
+def _records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes | None, str | None]]:
+    """Records and gaps of plain bytes: start, end, headers, payload, reason. After a failed check the search goes on one
+    byte further for the next version line whose record passes."""
     at, gap, reason = 0, -1, ""
     while at < len(data):
         try:
-            if data.startswith(MEMBER, at):
-                end, inner = inflate(data, at)
-                inside, place = [], 0
-                while place < len(inner):
-                    place, headers, payload = parse(inner, place)
-                    inside.append(Found(at, end - at, headers, payload))
-            else:
-                end, headers, payload = parse(data, at)
-                inside = [Found(at, end - at, headers, payload)]
+            end, headers, payload = parse(data, at)
         except ValueError as error:
             if gap < 0:
                 gap, reason = at, str(error)
-            following = _next.search(data, at + 1)
-            at = following.start() if following else len(data)
+            following = data.find(VERSION, at + 1)
+            at = following if following >= 0 else len(data)
+            continue
+        if gap >= 0:
+            yield gap, at, {}, None, reason
+            gap = -1
+        yield at, end, headers, payload, None
+        at = end
+    if gap >= 0:
+        yield gap, len(data), {}, None, reason
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """All records of an archive, plain or gzip, in order. After a failed check the search goes on one byte further for
+    the next gzip member or version line that passes; what lies between is reported once, as a gap. Of a member, damaged
+    or not, all records that pass are given, and what lies between them is a gap inside it; behind a damaged member the
+    search goes on where it was last understood. A damaged member without a record is part of the gap around it."""
+    at, gap, reason = 0, -1, ""
+    while at < len(data):
+        inside, wrong, following = [], None, len(data)
+        if data.startswith(MEMBER, at):
+            end, inner, wrong = inflate(data, at)
+            parts = list(_records(inner))
+            if wrong or any(x[4] for x in parts):
+                whole = any(x[4] is None for x in parts)
+                wrong = wrong or (None if whole else parts[0][4])
+                if wrong:
+                    # What was read may hold the start of another member: its bytes are searched too, unless it gave records.
+                    hit = _next.search(data, max(at + 1, end) if whole else at + 1)
+                    following = hit.start() if hit else len(data)
+                    end = following if whole else end
+                if not whole:
+                    parts = []
+                elif wrong:
+                    # The rest of a broken member is one gap, its last one.
+                    last = parts.pop() if parts[-1][4] else (len(inner), len(inner))
+                    parts.append((last[0], len(inner), {}, None, wrong))
+            inside = [Found(at, end - at, h, p, why, a, b - a) for a, b, h, p, why in parts]
+        else:
+            try:
+                end, headers, payload = parse(data, at)
+                inside = [Found(at, end - at, headers, payload)]
+            except ValueError as error:
+                wrong = str(error)
+                hit = _next.search(data, at + 1)
+                following = hit.start() if hit else len(data)
+        if wrong and not inside:
+            if gap < 0:
+                gap, reason = at, wrong
+            at = following
             continue
         if gap >= 0:
             yield Found(gap, at - gap, {}, None, reason)
@@ -165,7 +217,9 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Records and gaps of all archives in a folder: path, offset, length, reason (null for records), record_id,
-    record_type, target_uri, payload_digest, payload_bytes, refers_to, payload (null for gaps and revisits)."""
+    record_type, target_uri, payload_digest, payload_bytes, refers_to, payload (null for gaps and revisits), inside, size (place and bytes within
+    what the member at `offset` holds; null outside of members). Empty files give no rows, records without a header that
+    names it null there."""
 
     def recover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +232,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append(
                         (path, x.offset, x.length, x.reason, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"),
                          h.get("warc-payload-digest", "").removeprefix("sha1:") or None, None if x.reason else size or 0,
-                         h.get("warc-refers-to"), None if revisit else x.payload)
+                         h.get("warc-refers-to"), None if revisit else x.payload, x.inside, x.size)
                     )
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARCHIVE_ROWS)], schema=ARCHIVE_ROWS)
@@ -190,14 +244,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(
         recover,
         "path string, offset bigint, length bigint, reason string, record_id string, record_type string, target_uri string, "
-        "payload_digest string, payload_bytes bigint, refers_to string, payload binary",
+        "payload_digest string, payload_bytes bigint, refers_to string, payload binary, inside bigint, size bigint",
     )
 
 
 _text, _long = pa.string(), pa.int64()
 ARCHIVE_ROWS = pa.schema(
     [("path", _text), ("offset", _long), ("length", _long), ("reason", _text), ("record_id", _text), ("record_type", _text),
-     ("target_uri", _text), ("payload_digest", _text), ("payload_bytes", _long), ("refers_to", _text), ("payload", pa.binary())]
+     ("target_uri", _text), ("payload_digest", _text), ("payload_bytes", _long), ("refers_to", _text), ("payload", pa.binary()), ("inside", _long), ("size", _long)]
 )
 
 

@@ -1,5 +1,6 @@
 import glob
 import gzip
+import random
 
 from notegraph.llm.warc import RECORDS_PER_ARCHIVE, archive_pages, parse, payload_digest, plan_records, read_archives, record, salvage, write_archives
 
@@ -76,3 +77,33 @@ def test_salvage_of_plain_and_mixed_damage():
     assert list(salvage(b"")) == [] and [x.length for x in salvage(b"only junk")] == [9]
     end, headers, payload = parse(one[0], 0)
     assert end == len(one[0]) and headers["warc-type"] == "response" and payload == b"payload 0 " * 40
+
+
+def test_salvage_inside_damaged_members():
+    one = [record(k, "u", b"payload %d " % k * 40, "response", None, "2024-01-01T00:00:00Z") for k in range(5)]
+    names = lambda found: [x.headers["warc-record-id"][10:-1] for x in found if x.reason is None]
+    wrong = [*one[:2], one[2].replace(b"payload 2", b"pAyload 2", 1), *one[3:]]
+    member = gzip.compress(b"".join(wrong))
+    found = list(salvage(member + gzip.compress(one[2])))
+    assert names(found) == ["0", "1", "3", "4", "2"]
+    assert [(x.offset, x.length, x.inside, x.size) for x in found if x.reason] == [(0, len(member), len(one[0]) * 2, len(one[2]))]
+    # A member that breaks off, a wrong check sum, and damage in the middle of one; later members are found.
+    r = random.Random(4)
+    noisy = [record(k, "u", bytes(r.randrange(256) for _ in range(900)), "response", None, "2024-01-01T00:00:00Z") for k in range(5)]
+    member, behind = gzip.compress(b"".join(noisy)), gzip.compress(one[0])
+    cut = list(salvage(member[:-200]))
+    assert names(cut) == ["0", "1", "2", "3"] and cut[-1].reason == "member without end" and cut[-1].size > 0
+    for at in (len(member) - 6, len(member) // 2):
+        damaged = bytearray(member)
+        damaged[at] ^= 0xFF
+        found = list(salvage(bytes(damaged) + behind))
+        assert names(found)[:2] == ["0", "1"] and names(found)[-1] == "0" and any(x.reason for x in found)
+        assert len(names(found)) >= 3
+    # The bytes of members and of the gaps outside them make up the archive, whatever is damaged.
+    for _ in range(200):
+        damaged = bytearray(member[:1500] + behind + member + b"junk" + behind + one[1])
+        for _ in range(r.randint(1, 4)):
+            damaged[r.randrange(len(damaged))] ^= 1 << r.randrange(8)
+        found = list(salvage(bytes(damaged)))
+        spans = sorted({(x.offset, x.length) for x in found})
+        assert sum(n for _, n in spans) == len(damaged) and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
