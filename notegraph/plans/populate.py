@@ -27,7 +27,7 @@ from notegraph.operators.patches import append_log, error_log
 from notegraph.operators.sized import BROADCAST_ROWS, if_small, is_small
 from notegraph.operators.vector_index import build_index, update_index
 from notegraph.schema import CHUNK_KEY, NOTES_SCHEMA, Settings
-from notegraph.sources.notes import scan_errors, validate_embeddings
+from notegraph.sources.notes import list_notes, scan_errors, scan_notes, validate_embeddings
 from notegraph.sources.table import BUCKETS, load_notes, save_notes, touched_buckets
 
 
@@ -124,7 +124,7 @@ def populate(
 
 def populate_table(
     spark: SparkSession,
-    disk: DataFrame,
+    disk: DataFrame | str,
     root: str,
     settings: Settings,
     now,
@@ -136,12 +136,18 @@ def populate_table(
 ) -> Report:
     """populate() on the stored table, reading and writing only the buckets that change.
 
+    `disk` is a table of notes, or a folder, which is then listed and scanned. What is gone is decided by the listing, so
+    that a note which cannot be read keeps what is stored of it; a table is taken to be complete unless `listing` is given.
+
     `index_root` names the vector index beside the table (`operators.vector_index`): it is built with the first save and
     then brought up to date in the cells of changed and pruned notes.
 
     What changed is found from four narrow columns. `buckets` is for a table's first save: choose it so that a bucket
     holds some 256 MB to 1 GB, because a changed note rewrites its bucket.
     """
+    if isinstance(disk, str):
+        listing = list_notes(spark, disk, settings.ignore_prefixes) if listing is None else listing
+        disk = scan_notes(spark, disk, settings.ignore_prefixes)
     work = _find_work(disk, load_notes(spark, root), settings, listing)
     last_new = F.ceil(F.col("n_chars") / F.lit(settings.chunk_size)).cast("int") - 1
     changed = work.changes.select("path", F.greatest("last_chunk", last_new).alias("last_chunk"))

@@ -1,5 +1,7 @@
 import datetime as dt
 import hashlib
+import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -285,6 +287,21 @@ def test_an_unreadable_file_keeps_its_chunks(spark, tmp_path):
     assert {r.path for r in load_notes(spark, root).collect()} == {"a.md"}
 
 
+def test_a_folder_is_listed_without_being_asked(spark, tmp_path):
+    folder, root = tmp_path / "notes", str(tmp_path / "table")
+    (folder / "skipped").mkdir(parents=True)
+    settings = replace(SETTINGS, ignore_prefixes=("skipped/",))
+    for name in ("a.md", "b.md", "c.md", "skipped/d.md"):
+        (folder / name).write_text(name)
+        os.utime(folder / name, (0, 0))  # older than any embedding
+    assert populate_table(spark, str(folder), root, settings, T0).changes.count() == 3
+    (folder / "b.md").write_bytes(b"\xff\xfe broken")
+    (folder / "c.md").unlink()
+    report = populate_table(spark, str(folder), root, settings, LATER)
+    assert [r.path for r in report.unread.collect()] == ["b.md"] and report.changes.count() == 0
+    assert {r.path: r.raw_content for r in load_notes(spark, root).collect()} == {"a.md": "a.md", "b.md": "b.md"}
+
+
 def test_texts_are_gone_through_once_to_find_the_work(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
