@@ -135,6 +135,21 @@ def test_clean_stream_leaves_out_own_writes(spark, tmp_path):
     assert expected.count() < ev.clean_events(events, writes.limit(0).select("path", "ts")).count()
 
 
+def test_state_in_order_of_time_has_a_key_per_group_not_per_path(spark, tmp_path):
+    events = log(spark, [(f"p{i}.md", float(i % 50)) for i in range(3000)])
+    writes = log(spark, [(f"p{i}.md", 20.0) for i in range(0, 3000, 3)])
+    e = st.event_stream(spark, as_files(events, tmp_path / "e"))
+    w = st.event_stream(spark, as_files(writes, tmp_path / "w"))
+    stream = st.debounce_stream(st.suppress_stream(e, w, 5.0), 1.5, late=None, ordered=True)
+    query = (
+        stream.writeStream.format("memory").queryName("groups_out").option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    held = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(held) <= 4 * st.GROUPS  # before: a key and a timer for each of 3000 paths
+
+
 def test_late_events_are_dropped_and_counted(spark, tmp_path):
     schema = log(spark, []).schema
     first, second = [(1, "a.md", "modified", at(1000))], [(4, "c.md", "modified", at(1100))]
