@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from notegraph.functions.vectors import unit_rows
 from notegraph.operators.materialise import materialise
 from notegraph.operators.similar import (
-    ANGLE_SLACK, _pair_search, _part, _rank, _seed_search, note_vectors, similar_to, _FOUND, _SEED,
+    ANGLE_SLACK, Cells, drop_surplus_copies, note_vectors, similar_to, _cell_search, _part, _rank, _search_strips, _seed_search,
+    _strips, _FOUND, _SEED,
 )
 from notegraph.operators.sized import if_small, is_small
 
@@ -184,6 +185,7 @@ def knn_in_index(queries: DataFrame, root: str, k: int = 5, level: str = "chunk"
     """knn_join by the index: the k best matches of each query (path, embedding), exact, from the cells that can hold them.
 
     Each block of queries of a cell meets a block nearby first; its worst k-th score then leaves out cells by their radius.
+    The cells that are left for any block are read once, and strips of queries meet strips of them, see knn_join.
     """
     spark = queries.sparkSession
     index = open_index(spark, root)
@@ -211,10 +213,14 @@ def knn_in_index(queries: DataFrame, root: str, k: int = 5, level: str = "chunk"
     placed = placed.withColumn("q_part", _part(F.col("parts"), "path")).drop("parts")
     c_lookup = spark.createDataFrame([(int(c), int(p)) for c, p in zip(cells, parts)], "c_cell int, parts int")
 
+    def rows_of(wanted: list[int]) -> DataFrame:
+        """Only the cells that are named are read."""
+        return index.rows(spark, wanted).withColumnRenamed("cell", "c_cell").drop("angle")
+
     def search(pairs: DataFrame, function, schema: str) -> DataFrame:
-        """Blocks of queries with blocks of rows; only the cells that are named are read."""
+        """Blocks of queries with blocks of rows."""
         wanted = [r["c_cell"] for r in pairs.select("c_cell").distinct().collect()]
-        rows = index.rows(spark, wanted).withColumnRenamed("cell", "c_cell").drop("angle").join(F.broadcast(c_lookup), "c_cell")
+        rows = rows_of(wanted).join(F.broadcast(c_lookup), "c_cell")
         rows = rows.withColumn("c_part", _part(F.col("parts"), "path", "chunk_index")).drop("parts")
         named = F.broadcast(pairs) if is_small(pairs) else pairs
         left = placed.join(named, key[:2]).groupBy(*key)
@@ -224,21 +230,22 @@ def knn_in_index(queries: DataFrame, root: str, k: int = 5, level: str = "chunk"
     reached = first.groupBy("q_cell", "q_part", "path").agg(F.min("similarity").alias("kth"))
     reached = reached.groupBy("q_cell", "q_part").agg(F.min("kth").alias("kth"))
 
+    held = spark.sparkContext.broadcast((pivots, q_radii, {int(c): float(r) for c, r in zip(cells, radii)}))  # the fields of Cells
+
     def may_matter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block of queries the blocks of cells that its bound does not rule out."""
+        """The cells that the bounds of some block of queries do not rule out."""
+        wanted, known = np.zeros(len(cells), bool), Cells(*held.value)
         for batch in batches:
-            for q, part, kth in zip(*(batch.column(c).to_pylist() for c in ("q_cell", "q_part", "kth"))):
-                angle = np.arccos(np.clip(pivots[cells] @ pivots[q], -1.0, 1.0)) - q_radii[q] - radii - ANGLE_SLACK
-                hit = np.flatnonzero(np.cos(np.clip(angle, 0.0, np.pi)) >= kth - ANGLE_SLACK)
-                c = np.repeat(cells[hit], parts[hit])
-                p = np.concatenate([np.arange(n) for n in parts[hit]]) if len(hit) else np.zeros(0, int)
-                columns = (np.full(len(c), q), np.full(len(c), part), c, p)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], key)
-
-    rest = materialise(reached.mapInArrow(may_matter, key_schema).join(F.broadcast(seeds), key, "left_anti"))
-    found = search(rest, _pair_search(k, by_note), _FOUND)
-    names = found.columns
-    result = _rank(found.unionByName(first.where(F.col("similar_path").isNotNull()).select(*names)), k, by_note)
+            for q, kth in zip(*(batch.column(c).to_pylist() for c in ("q_cell", "kth"))):
+                wanted |= np.cos(known.gaps(q, cells)) >= kth - ANGLE_SLACK
+        yield pa.RecordBatch.from_arrays([pa.array(cells[wanted].astype(np.int32))], ["c_cell"])
+
+    matter = [r["c_cell"] for r in reached.mapInArrow(may_matter, "c_cell int").distinct().collect()]
+    corpus = drop_surplus_copies(rows_of(matter).withColumnRenamed("c_cell", "cell"), k)
+    asked = placed.select("path", "embedding", F.col("q_cell").alias("cell"))
+    strips = _strips(sum(r["n"] for r in sizes), sum(index.current[c].n for c in matter), index.dim)
+    found = _search_strips(asked, corpus, _cell_search(k, by_note, block_rows, held), strips)
+    result = _rank(found, k, by_note)
     return result.drop("chunk_index") if by_note else result
 
 

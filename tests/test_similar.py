@@ -189,6 +189,25 @@ def test_far_cells_are_left_out(spark, monkeypatch):
     assert 0 < pairs.value < 8 * 8
 
 
+@pytest.mark.parametrize("method, level", [("blocked", "chunk"), ("indexed", "note")])
+def test_rows_are_sent_to_strips_not_to_each_block(spark, monkeypatch, method, level):
+    """Blocks of two rows: a row is sent as often as there are strips of the other side, whatever the blocks."""
+    monkeypatch.setattr(similar, "TASK_SCORES", 5000)
+    rows = vectors(6, 200, 5, 0.2)
+    notes = spark.createDataFrame(rows, SCHEMA)
+    sent = []
+    original = similar._search_strips
+
+    def counted(queries, corpus, search, strips):
+        sent.append(strips)
+        return original(queries, corpus, search, strips)
+
+    monkeypatch.setattr(similar, "_search_strips", counted)
+    got = knn_join(note_vectors(notes), notes, 4, level, method, 2, 5)
+    assert found(got, level) == brute(rows, 4, level)
+    assert len(sent) == 1 and 1 < max(sent[0]) <= similar.MOST_STRIPS  # before: some 100 blocks
+
+
 def test_queries_from_another_table(spark):
     rows = vectors(2, 30, 4)
     corpus = spark.createDataFrame(rows, SCHEMA)
