@@ -7,7 +7,7 @@ chance, and with nearly all of it when each is put into the buckets of its PROBE
 two (measured; closer pairs meet more often).
 
 Equal vectors of one label are one class, of which one row goes on. A task takes a bucket (label, table, vertex),
-splits it by further rotations of its own while it is large, compares what is left exactly, and reports a number of links
+compares all its vectors exactly, however many there are, and reports a number of links
 per class and the tree edges that connect them: never pairs, which grow with the square of a group of near copies. A
 pair that meets in several buckets counts in the first of them only, which both vectors' codes tell. Buckets
 beyond BLOCK_VALUES are cut into blocks, and pairs of blocks go to tasks of their own, so no group of near copies,
@@ -29,8 +29,7 @@ from notegraph.operators.sized import if_small
 
 COSINE = 0.93
 TABLES, PROBES = 2, 3
-LOCAL_PROBES, LOCAL_DEPTH = 4, 3
-LEAF = 2048  # vectors compared without a further split
+LEAF = 2048  # vectors compared with others at a time
 BLOCK_VALUES = 1 << 22  # numbers of a block: 65,536 vectors of 64 dimensions
 SCORES = 1 << 20  # cosines held at a time
 
@@ -99,34 +98,25 @@ class Bucket:
         self.links = np.zeros(len(unit), np.int64)
         self.root = np.arange(len(unit))
 
-    def search(self, rows: np.ndarray, codes: list[tuple[np.ndarray, int]], depth: int = 0) -> None:
-        """Links among `rows` (ascending) whose first shared code is the given one on every level of splitting."""
-        if len(rows) > self.leaf and depth < LOCAL_DEPTH:
-            own = vertices(self.unit[rows], TABLES + 100 + depth, LOCAL_PROBES)
-            mine = np.full((len(self.unit), own.shape[1]), -1, np.int32)
-            mine[rows] = own
-            order = np.argsort(own.ravel(), kind="stable")
-            held = own.ravel()[order]
-            cuts = np.r_[0, np.flatnonzero(held[1:] != held[:-1]) + 1, len(held)]
-            for start, end in zip(cuts[:-1], cuts[1:]):
-                part = order[start:end] // own.shape[1]
-                self.search(rows[part], [*codes, (mine, int(held[start]))], depth + 1)
-            return
-        left = rows[self.sides[rows] != 2] if self.across else rows
-        right = rows[self.sides[rows] == 2] if self.across else rows
-        step = max(1, SCORES // max(len(right), 1))
-        for at in range(0, len(left), step):
-            some = left[at : at + step]
-            a, b = np.nonzero(self.unit[some] @ self.unit[right].T >= self.cosine)
-            a, b = some[a], right[b]
-            if not self.across:
-                a, b = a[a < b], b[a < b]
-            for of, code in codes:
-                first = first_shared(of[a], of[b]) == code
+    def search(self, codes: np.ndarray, code: int) -> None:
+        """All links whose first shared code is this one, `leaf` vectors against others at a time."""
+        rows = np.arange(len(self.unit))
+        left, right = (rows[self.sides != 2], rows[self.sides == 2]) if self.across else (rows, rows)
+        for start in range(0, len(right), self.leaf):
+            others = right[start : start + self.leaf]
+            ahead = left if self.across else left[: others[-1]]  # a pair once
+            step = max(1, SCORES // len(others))
+            for at in range(0, len(ahead), step):
+                some = ahead[at : at + step]
+                a, b = np.nonzero(self.unit[some] @ self.unit[others].T >= self.cosine)
+                a, b = some[a], others[b]
+                if not self.across:
+                    a, b = a[a < b], b[a < b]
+                first = first_shared(codes[a], codes[b]) == code
                 a, b = a[first], b[first]
-            np.add.at(self.links, a, self.weight[b])
-            np.add.at(self.links, b, self.weight[a])
-            self.connect(a, b)
+                np.add.at(self.links, a, self.weight[b])
+                np.add.at(self.links, b, self.weight[a])
+                self.connect(a, b)
 
     def connect(self, a: np.ndarray, b: np.ndarray) -> None:
         """Hang the larger root of every pair below the smaller one until each pair has one root."""
@@ -173,7 +163,7 @@ def bucket_links(rows: DataFrame, cosine: float, leaf: int) -> DataFrame:
             ids, weight, sides = (table.column(c).to_numpy() for c in ("v", "m", "side"))
             bucket = Bucket(unit_rows(matrix(table.column("embedding"))), weight, sides, cosine, leaf)
             codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-            bucket.search(np.arange(len(table)), [(codes, table.column("cell")[0].as_py())])
+            bucket.search(codes, table.column("cell")[0].as_py())
             linked = np.flatnonzero(bucket.links)
             if len(linked):
                 columns = (ids[linked], bucket.links[linked], ids[bucket.root[linked]])

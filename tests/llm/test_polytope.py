@@ -89,6 +89,16 @@ def test_links_equal_all_pairs(spark, seed, leaf, block_values):
     assert sum(found.values()) >= 0.98 * sum(expected.values())
 
 
+def test_links_do_not_depend_on_the_size_of_buckets(spark):
+    """A bucket of more vectors than are compared at a time has the same links."""
+    r = np.random.default_rng(5)
+    centre = r.normal(size=64)
+    rows = [(i, [float(x) for x in centre + 0.27 * r.normal(size=64)], 1) for i in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    few, all_at_once = got(near_duplicates(frame, leaf=8)), got(near_duplicates(frame, leaf=1 << 20))
+    assert few == all_at_once and sum(row[1] for row in few) > 1000
+
+
 def test_awkward_rows(spark):
     one, near, nan, inf = [1.0, 0.0, 0.5], [1.0, 0.01, 0.5], float("nan"), float("inf")
     rows = [
