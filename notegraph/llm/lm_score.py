@@ -7,8 +7,8 @@ tables have more rows the more bytes there are to learn from.
 While a text is scored, the predictions are mixed in the logistic domain with weights that are chosen by how often each
 context was met in training (the gate), and with shifts of them that learn from every block of the
 text; a last stage corrects the mixed prediction by what came true at similar predictions in the same text. The gated
-weights are fitted on pieces of an eighth of the training rows, against counts of the other seven eighths. Texts do not
-influence each other, so results do not depend on how rows are dealt out.
+weights are fitted on all training rows, each against counts of those of the other half; tasks count which inputs meet,
+and Spark sums the tasks. Texts do not influence each other, so results do not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -37,8 +37,11 @@ START_WEIGHT, LEARN, REFINE, BUCKETS = 0.4, 0.02, 0.01, 24
 #: A row's last column holds its level: how many of these its count reaches. A gate is the levels of all contexts.
 LEVELS = (1, 3, 20)
 GATES = (len(LEVELS) + 1) ** CONTEXTS
-#: Rows whose texts, one piece each of so many characters at most, the gated weights are fitted on; of how many folds one.
-FITTED, PIECE, FOLDS = 600, 2048, 8
+#: The gated weights are fitted on log odds of these sizes, the nearest ones of those that occur.
+_SIZES = (2, 5, 9, 14, 21, 30, 43, 61, 86, 120)
+STEPS = np.array([*(-s for s in reversed(_SIZES)), 0, *_SIZES])
+#: Ways in which steps of all contexts can meet. In a cell turned round, all signs are changed.
+MEETINGS = len(STEPS) ** CONTEXTS
 #: Cells that a task sums before it hands them on.
 HELD_CELLS = 4_000_000
 #: Texts that are scored side by side, and the lengths of their first blocks; later ones are as long as the last.
@@ -46,6 +49,9 @@ LANES, BLOCKS = 256, (48, 48, 96, 192, 384, 768)
 #: Tokens whose counts are broadcast, most frequent first, and their most bytes; the others are joined.
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 
+_NEAREST = np.abs(np.arange(256)[:, None] - STEPS[len(_SIZES) :]).argmin(1)
+#: The step of each log odds, read as an unsigned byte.
+_STEP = np.r_[len(_SIZES) + _NEAREST[:128], len(_SIZES) - _NEAREST[128:0:-1]].astype(np.int32)
 _SYMBOL = np.arange(1, 258, dtype=np.uint32)
 _SIGN = np.r_[_BYTE >> np.uint64(32), 1].astype(np.uint32)
 _PLACE = (_LOW >> np.uint64(32)).astype(np.uint32)
@@ -191,17 +197,54 @@ def equal_weights() -> np.ndarray:
     return np.full((CONTEXTS, GATES), START_WEIGHT / SCALE, np.float32)
 
 
-def fit_weights(data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.ndarray, rounds: int = 7) -> np.ndarray:
-    """The weights by context and gate that code these texts best, by Newton's method, drawn towards those of all gates.
+def paths(code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and bits of the paths of all symbols one after the other, and where each path starts."""
+    on_path = np.arange(len(code.node)) < code.length[:, None]
+    return code.node.T[on_path], code.bit.T[on_path], np.r_[0, np.cumsum(code.length, dtype=np.int64)[:-1]]
+
+
+def count_inputs(data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.ndarray, totals: np.ndarray) -> None:
+    """Adds to totals[gate and steps of all contexts] the bits of these texts, turned round so that each is a one.
 
-    The tables must not have been counted on the same texts. Without texts the weights are equal.
+    The tables must not have been counted on the same texts.
     """
-    start = equal_weights()
     text, starts = symbols(data, offsets)
-    if not len(data):
-        return start
-    contexts = context_rows(text, starts, tables.shape[1] // WIDTH)
-    gates = gates_of(tables, contexts)
+    slots = tables.shape[1] // WIDTH
+    contexts = context_rows(text, starts, slots)
+    times = np.ones(len(text), np.int64)
+    size = slots.bit_length() - 1
+    if CONTEXTS * size + 9 < 64:  # equal places are looked up once
+        places = text.astype(np.int64)
+        for k in range(CONTEXTS):
+            places |= (contexts[k] // WIDTH).astype(np.int64) << (9 + k * size)
+        places.sort()
+        first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]]) if len(places) else np.zeros(0, np.intp)
+        times, places = np.diff(np.r_[first, len(places)]), places[first]
+        text = places & 511
+        contexts = [(places >> (9 + k * size) & (slots - 1)) * WIDTH for k in range(CONTEXTS)]
+    nodes, bits, begin = paths(code)
+    for at in range(0, len(text), 1 << 17):
+        here, of = text[at : at + (1 << 17)], [c[at : at + (1 << 17)].astype(np.intp) for c in contexts]
+        left = np.take(code.length, here).astype(np.int64)
+        path = ragged(np.take(begin, here), left)
+        node, steps = np.take(nodes, path), np.zeros(len(path), np.int64)
+        for k in range(CONTEXTS):
+            cell = np.repeat(of[k], left)
+            cell += node
+            steps *= len(STEPS)
+            steps += np.take(_STEP, np.take(tables[k], cell).view(np.uint8))
+        steps = np.where(np.take(bits, path) > 0, steps, MEETINGS - 1 - steps)
+        steps += np.repeat(gates_of(tables, of) * np.int64(MEETINGS), left)
+        np.add.at(totals, steps, np.repeat(times[at : at + (1 << 17)], left))
+
+
+def fit_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 7) -> np.ndarray:
+    """The weights by context and gate that code the counted bits best, by Newton's method, drawn towards those of all gates.
+
+    `cells` are those of count_inputs that are not 0. Without any the weights are equal.
+    """
+    gates = cells // MEETINGS
+    inputs = [STEPS[cells // len(STEPS) ** (CONTEXTS - 1 - k) % len(STEPS)] / SCALE for k in range(CONTEXTS)]
 
     def newton(weights: np.ndarray, gates: np.ndarray, prior: float) -> np.ndarray:
         """weights[context, gate] in units of log odds."""
@@ -209,24 +252,18 @@ def fit_weights(data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.nd
         for _ in range(rounds):
             slope = prior * (weights - goal)
             bend = np.tile(np.eye(CONTEXTS) * prior, (n, 1, 1))
-            for depth in range(len(code.node)):
-                some = np.flatnonzero(code.length[text] > depth)
-                if not len(some):
-                    break
-                gate, node = gates[some], code.node[depth, text[some]]
-                inputs = [np.take(tables[k], contexts[k][some] + node) / np.float32(SCALE) for k in range(CONTEXTS)]
-                odds = sum(weights[k].astype(np.float32)[gate] * inputs[k] for k in range(CONTEXTS))
-                p = 1 / (1 + np.exp(-np.clip(odds, -12, 12)))
-                wrong, spread = p - code.bit[depth, text[some]], p * (1 - p)
-                for k in range(CONTEXTS):
-                    slope[k] += np.bincount(gate, wrong * inputs[k], n)
-                    for j in range(k + 1):
-                        bend[:, k, j] += np.bincount(gate, spread * inputs[k] * inputs[j], n)
+            odds = sum(weights[k][gates] * inputs[k] for k in range(CONTEXTS))
+            p = 1 / (1 + np.exp(-np.clip(odds, -12, 12)))
+            wrong, spread = (p - 1) * counts, p * (1 - p) * counts
+            for k in range(CONTEXTS):
+                slope[k] += np.bincount(gates, wrong * inputs[k], n)
+                for j in range(k + 1):
+                    bend[:, k, j] += np.bincount(gates, spread * inputs[k] * inputs[j], n)
             bend = np.tril(bend) + np.tril(bend, -1).transpose(0, 2, 1)
             weights = weights - np.linalg.solve(bend, slope.T[:, :, None])[:, :, 0].T
         return weights
 
-    common = newton(np.full((CONTEXTS, 1), START_WEIGHT), np.zeros(len(text), np.uint8), 1.0)
+    common = newton(np.full((CONTEXTS, 1), START_WEIGHT), np.zeros(len(cells), np.int64), 1.0)
     return (newton(np.repeat(common, GATES, 1), gates, 4.0) / SCALE).astype(np.float32)
 
 
@@ -241,10 +278,7 @@ def log_probabilities(
     sizes = np.diff(starts)
     out = np.zeros(len(sizes))
     order = np.argsort(-sizes, kind="stable")
-    # The paths of all symbols one after the other, so that the bits of a place lie together.
-    on_path = np.arange(len(code.node)) < code.length[:, None]
-    nodes, bits = code.node.T[on_path], code.bit.T[on_path]
-    first = np.r_[0, np.cumsum(code.length, dtype=np.int64)[:-1]]
+    nodes, bits, first = paths(code)  # the bits of a place lie together
     for lane_at in range(0, len(order), LANES):
         lanes = order[lane_at : lane_at + LANES]
         n = len(lanes)
@@ -328,9 +362,9 @@ def _cells(cells: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
 def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all rows whose crc32 of the id does not leave 2 of 7, and the counts (token, c) of their tokens.
 
-    Two passes over the rows: tokens and bytes are counted, then symbols by context. Each task sums what it has read;
-    Spark sums the tasks. Only the tables, sized by the bytes, FITTED pieces of texts and at most FREQUENT tokens go to
-    the driver.
+    Three passes over the rows: tokens and bytes are counted, then symbols by context, then what the weights are fitted
+    on, each half against the counts of the other. Each task sums what it has read; Spark sums the tasks. Only the tables,
+    sized by the bytes, GATES * MEETINGS sums at most and at most FREQUENT tokens go to the driver.
     """
     spark = documents.sparkSession
     learned = documents.where(~held_out(F.col("doc_id"), 7, 2)).select("text")
@@ -383,18 +417,34 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
                 held, sums = held[:0], sums[:0]
         yield _cells(held, sums)
 
-    fold = (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 7) % FOLDS == 0).alias("fold")
-    marked = documents.where(~held_out(F.col("doc_id"), 7, 2)).select("doc_id", "text", fold)
-    summed = marked.select("text", "fold").mapInArrow(count_contexts, "slot bigint, c bigint, others bigint")
+    half = (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 7) % 2 == 0).alias("fold")
+    marked = documents.where(~held_out(F.col("doc_id"), 7, 2)).select("text", half)
+    summed = marked.mapInArrow(count_contexts, "slot bigint, c bigint, others bigint")
     summed = summed.groupBy("slot").agg(F.sum("c").alias("c"), F.sum("others").alias("others")).toArrow()
     order = np.argsort(summed["slot"].to_numpy())
     cells, sums_of, others = (summed[c].to_numpy()[order] for c in ("slot", "c", "others"))
     del summed, order
-    length = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
-    piece = F.substring("text", (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), length) + 1).cast("int"), F.lit(PIECE))
-    pieces = marked.where("fold AND text <> ''").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").select(piece.alias("text")).limit(FITTED)
-    some = np.flatnonzero(others)
-    start = fit_weights(*utf8(pieces.toArrow()["text"].combine_chunks()), code, sparse_log_odds(cells[some], others[some], slots, code))
+
+    def halves(fold: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The inputs that meet in the texts of a half, with counts of the other half."""
+        other = others if fold else sums_of - others
+        some = np.flatnonzero(other)
+        held = spark.sparkContext.broadcast((code, sparse_log_odds(cells[some], other[some], slots, code)))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals = np.zeros(GATES * MEETINGS, np.int64)
+            for batch in sliced(batches, "text", 4_000_000):
+                count_inputs(*utf8(batch.column("text")), *held.value, totals)
+            met = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(totals[met])], ["cell", "c"])
+
+        inputs = marked.where(F.col("fold") == fold).select("text").mapInArrow(count, "cell bigint, c bigint")
+        inputs = inputs.groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+        held.unpersist(blocking=True)
+        return inputs["cell"].to_numpy(), inputs["c"].to_numpy()
+
+    met = [halves(fold) for fold in (True, False)]
+    start = fit_weights(np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]))
     model = Model(
         code, sparse_log_odds(cells, sums_of, slots, code), start, int(sums["n"]) + ends, int(sums["v"]) + (ends > 0), ends,
         short["token"].combine_chunks(), short["c"].to_numpy(),

@@ -123,3 +123,37 @@ def test_more_rows_predict_better():
         lm_score.count_symbols(data, offsets, totals)
         got.append(lm_score.log_probabilities(held, at, code, lm_score.log_odds(totals, code)).sum())
     assert got[1] > got[0]
+
+
+def test_counted_inputs_are_those_of_all_bits(monkeypatch):
+    texts = [*random_texts(40, 5, 60, 50), "", "é"]
+    code, tables = model_of(random_texts(60, 6, 60, 50))
+    totals = np.zeros(lm_score.GATES * lm_score.MEETINGS, np.int64)
+    lm_score.count_inputs(*utf8(pa.array(texts)), code, tables, totals)
+    text, starts = lm_score.symbols(*utf8(pa.array(texts)))
+    contexts = lm_score.context_rows(text, starts)
+    gates, expected = lm_score.gates_of(tables, contexts), Counter()
+    for at, symbol in enumerate(text):
+        for depth in range(code.length[symbol]):
+            odds = [int(tables[k][contexts[k][at] + code.node[depth, symbol]]) for k in range(lm_score.CONTEXTS)]
+            near = [np.sign(x) * min(lm_score.STEPS[lm_score.STEPS >= 0], key=lambda s: abs(s - abs(x))) for x in odds]
+            cell = int(gates[at])
+            for x in near:
+                cell = cell * len(lm_score.STEPS) + int(np.flatnonzero(lm_score.STEPS == (x if code.bit[depth, symbol] else -x))[0])
+            expected[cell] += 1
+    assert {int(c): int(totals[c]) for c in np.flatnonzero(totals)} == expected
+
+
+def test_weights_are_fitted_on_every_training_row(spark, monkeypatch):
+    """No limit on rows or on their length: every bit of every training text counts, each against the other half."""
+    texts = random_texts(900, 8, 12, 40) + ["a long text " * 2000]
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(learned) > 600
+    seen = []
+    fit = lm_score.fit_weights
+    monkeypatch.setattr(lm_score, "fit_weights", lambda cells, counts: seen.append(int(counts.sum())) or fit(cells, counts))
+    models = [lm_score.train(documents(spark, texts).repartition(n))[0] for n in (3, 7)]
+    text, _ = lm_score.symbols(*utf8(pa.array(learned)))
+    assert seen == [int(models[0].code.length[text].sum())] * 2
+    assert models[0].start == pytest.approx(models[1].start, rel=1e-5)
+    assert (models[0].start != lm_score.equal_weights()).any()
