@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import os
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -346,3 +347,31 @@ def test_superseded_saves_go_and_a_second_writer_is_refused(spark, tmp_path):
             save_notes(stale, root)
     finally:
         stored._current = current
+
+
+def test_hash_embed_parts_and_lowers_like_the_jvm(spark):
+    """Only blank, tab, line feed and carriage return part tokens; each token goes by the first 32 bits of its md5."""
+    texts = [None, "", " ", "\t\n\r", "A b\vc\fd A", "Ab  ab\n\nAB\r", "\x00 q \x00", "😀 é É", "ΑΒ x y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw_content string")
+    got = {r.i: r.embedding for r in hash_embed(rows, 64).collect()}
+    for i, text in enumerate(texts):
+        counts = np.zeros(64)
+        for token in re.split("[ \t\n\r]+", (text or "").lower()):
+            if token:
+                counts[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 64] += 1
+        norm = np.linalg.norm(counts)
+        assert got[i] == pytest.approx(counts / norm if norm else counts, abs=1e-6)
+
+
+def test_digests_are_taken_per_batch_not_per_token(spark):
+    rows = spark.createDataFrame([(1, "a b")], "i int, raw_content string")
+    plan = hash_embed(rows, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5" not in plan
+
+
+def test_the_registered_upsert_embeds_once(spark):
+    from notegraph import catalog
+
+    for query in (catalog.upsert_notes, catalog.upsert_notes_keeping_stale):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan  # the new chunks are read as written
