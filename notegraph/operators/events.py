@@ -450,10 +450,10 @@ def clean_events(
     """All rules in order: own writes, ignored paths, kinds, debounce, bursts, routing.
 
     With idle_seconds a burst is sent off by the two-timer rule: after `quiet_seconds` when anything arrives,
-    else after `idle_seconds`.
+    else after `idle_seconds`. What a later step reads twice is written out.
     """
     events = filter_ignored(suppress_self_writes(events, writes, self_write_seconds))
-    events = debounce_events(event_kinds(events), debounce_seconds)
+    events = debounce_events(materialise(event_kinds(events)), debounce_seconds)
     if idle_seconds is None:
         return route_events(coalesce_events(events, quiet_seconds), rules)
-    return route_events(coalesce_two_timer(events, quiet_seconds, idle_seconds), rules)
+    return route_events(coalesce_two_timer(materialise(events), quiet_seconds, idle_seconds), rules)

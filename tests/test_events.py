@@ -271,3 +271,12 @@ def test_debounce_holds_when_joins_change_at_run_time(spark):
         assert "Join" not in plan
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.parametrize("idle", [None, 10.0])
+def test_steps_that_are_read_twice_are_written_out(spark, idle):
+    """Own writes are looked up once, and a burst step does not debounce again."""
+    rows = log(spark, random_rows(4, 100, 3, 100))
+    cleaned = ev.clean_events(rows, rows.select("path", "ts"), idle_seconds=idle)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "last_write" not in plan and ("MapInArrow" in plan) == (idle is None)
