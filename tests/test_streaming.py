@@ -2,8 +2,11 @@ import datetime as dt
 import random
 import uuid
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from test_events import T0, at, ids, log, random_rows
 
 from notegraph.operators import events as ev
@@ -214,3 +217,43 @@ def test_batch_input_is_refused(spark):
     with pytest.raises(ValueError):
         st.debounce_stream(log(spark, [("a", 0)]))
     assert at(1) - T0 == dt.timedelta(seconds=1)
+
+
+def test_times_of_a_bucket_are_one_row(spark):
+    """Not one row per event time, which all paths would send through a shuffle twice."""
+    held = T.StructType.fromDDL("path string, event_id long, kind string, us long")
+    names = ["path", "lo", "hi", "event_id", "kind", "n", "follows", "next_lo"]
+    rows = pd.DataFrame({"path": [f"p{k % 50}" for k in range(1000)], "event_id": range(1000), "kind": "modified", "us": [k * 7 for k in range(1000)]})
+    out, _, _ = st._Runs(3, 10_000, held, names).decide(rows, pd.DataFrame(columns=names), 0)
+    times = out[~out["is_run"].astype(bool)]
+    assert sorted(times["bucket"]) == [-1, 0]
+    assert np.frombuffer(times.set_index("bucket")["times"][0], np.int64).tolist() == rows["us"].tolist()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chains_do_not_depend_on_arrival(seed):
+    """Runs of several paths, also of none, come in any order and in any pieces."""
+    r = random.Random(seed)
+    names = ["path", "lo", "hi", "event_id", "kind", "n", "follows", "next_lo", "bucket", "joins"]
+    rows, expected = [], []
+    for path in ("a", "b", None):
+        lo = [k * 10 for k in range(r.randint(1, 12))]
+        near = [r.random() < 0.7 for _ in lo[1:]] + [False]
+        joins = [n and r.random() < 0.5 for n in near]
+        start = None
+        for k, at in enumerate(lo):
+            start = at if start is None else start
+            rows.append((path, at, at + 4, k, "x", 2, k > 0 and near[k - 1], lo[k + 1] if near[k] else st.NEVER, 0, joins[k]))
+            if not joins[k]:
+                expected.append((k, path, "x", at + 4, start, 2 * ((at - start) // 10 + 1)))
+                start = None
+    r.shuffle(rows)
+    held, got = pd.DataFrame(columns=names), []
+    while rows:
+        n = r.randint(1, 6)
+        came, rows = pd.DataFrame(rows[:n], columns=names), rows[n:]
+        out, rest = st._Chains(names)._chained(pd.concat([held, came], ignore_index=True) if len(held) else came)
+        got += list(out.itertuples(index=False, name=None))
+        held = st._unpacked([st._packed(rest)], names) if len(rest) else rest
+    key = lambda row: (row[1] or "", row[3])
+    assert sorted(got, key=key) == sorted(expected, key=key) and not len(held)
