@@ -16,11 +16,10 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from notegraph.llm.common import BLANK_BYTES, LOWER_BYTES, held_out, ragged, sliced, spans, utf8, written, _BYTE, _LOW
@@ -31,6 +30,8 @@ CONTEXTS, SLOT_BITS, WIDTH = 3, 15, 257
 SLOTS = 1 << SLOT_BITS
 #: Rows grow with the root of the training bytes, times this, from SLOTS on: contexts that are new get rarer.
 ROWS_PER_ROOT = 4
+#: Nodes of a row that lie together when tables are read; a divisor of WIDTH - 1.
+HEAD = 32
 #: Log odds are held as small integers, in steps of 1 / SCALE.
 SCALE = 15.0
 START_WEIGHT, LEARN, REFINE, BUCKETS = 0.4, 0.02, 0.01, 24
@@ -46,13 +47,16 @@ MEETINGS = len(STEPS) ** CONTEXTS
 HELD_CELLS = 4_000_000
 #: Texts that are scored side by side, and the lengths of their first blocks; later ones are as long as the last.
 LANES, BLOCKS = 256, (48, 48, 96, 192, 384, 768)
+#: Places whose bits are worked off together: what the tables hold of them stays in the caches.
+PLACES = 1 << 15
+#: Bytes of texts whose contexts are found together.
+PIECE = 1 << 18
 #: Tokens whose counts are broadcast, most frequent first, and their most bytes; the others are joined.
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 
 _NEAREST = np.abs(np.arange(256)[:, None] - STEPS[len(_SIZES) :]).argmin(1)
 #: The step of each log odds, read as an unsigned byte.
 _STEP = np.r_[len(_SIZES) + _NEAREST[:128], len(_SIZES) - _NEAREST[128:0:-1]].astype(np.int32)
-_SYMBOL = np.arange(1, 258, dtype=np.uint32)
 _SIGN = np.r_[_BYTE >> np.uint64(32), 1].astype(np.uint32)
 _PLACE = (_LOW >> np.uint64(32)).astype(np.uint32)
 #: White space, and the end.
@@ -112,10 +116,16 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def context_rows(text: np.ndarray, starts: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
-    """For each place where the rows of three contexts start, in tables of that many rows (a power of two): of the two
-    bytes before, the four before, the word so far."""
+    """For each place where the rows of three contexts start, in tables of that many rows (a power of two)."""
+    return [rows.astype(np.int64) * WIDTH for rows in context_numbers(text, starts, slots)]
+
+
+def context_numbers(text: np.ndarray, starts: np.ndarray, slots: int) -> list[np.ndarray]:
+    """For each place the numbers of the rows of three contexts: of the two bytes before, the four before, the word so far."""
     n = len(text)
-    value = np.take(_SYMBOL, text)
+    wide = text.astype(np.intp)
+    value = text.astype(np.uint32)
+    value += np.uint32(1)
     before = []
     for k in range(1, 5):
         b = np.zeros(n, np.uint32)
@@ -128,12 +138,16 @@ def context_rows(text: np.ndarray, starts: np.ndarray, slots: int = SLOTS) -> li
     four = two ^ (before[2] * np.uint32(0x27D4EB2F) + before[3] * np.uint32(0x165667B1))
     # A word starts behind a blank and with the text; a running sum gives the hash of each beginning of a word.
     begin = np.ones(n, bool)
-    begin[1:] = np.take(_BLANK, text)[:-1]
+    np.take(_BLANK, wide[:-1], out=begin[1:], mode="clip")
     begin[starts[:-1]] = True
     begin = np.flatnonzero(begin)
     size = np.diff(np.r_[begin, n])
-    place = np.arange(n, dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
-    summed = np.cumsum(np.take(_SIGN, text) * np.take(_PLACE, place & 0xFFFF), dtype=np.uint32)
+    place = np.arange(n)
+    place -= np.repeat(begin, size)
+    place &= 0xFFFF
+    summed = np.take(_SIGN, wide, mode="clip")
+    summed *= np.take(_PLACE, place, mode="clip")
+    summed = np.cumsum(summed, dtype=np.uint32)
     word = np.zeros(n, np.uint32)
     word[1:] = summed[:-1]
     word -= np.repeat(word[begin], size)
@@ -144,10 +158,7 @@ def _slot(x: np.ndarray, slots: int) -> np.ndarray:
     x = x ^ (x >> np.uint32(15))
     x *= np.uint32(0x2C1B3C6D)
     x >>= np.uint32(33 - slots.bit_length())
-    if slots * WIDTH >= 1 << 31:
-        return x.astype(np.int64) * WIDTH
-    x *= np.uint32(WIDTH)
-    return x.view(np.int32)
+    return x
 
 
 def count_symbols(data: np.ndarray, offsets: np.ndarray, totals: np.ndarray) -> None:
@@ -172,70 +183,124 @@ def sparse_log_odds(cells: np.ndarray, counts: np.ndarray, slots: int, code: Cod
         for k in np.flatnonzero(code.length > d):
             sides[int(code.bit[d, k])][k, code.node[d, k]] = 1
     out = np.zeros((CONTEXTS * slots, WIDTH), np.int8)
-    row, symbol = cells // WIDTH, cells % WIDTH
-    met, place = np.unique(row, return_inverse=True)
-    for at in range(0, len(met), 8192):
-        a, b = np.searchsorted(place, [at, at + 8192])
-        part = np.zeros((min(8192, len(met) - at), WIDTH), np.float32)
-        part[place[a:b] - at, symbol[a:b]] = counts[a:b]
+    row = cells // WIDTH
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.intp)
+    del row
+    size = np.diff(np.r_[first, len(cells)])
+    for at in range(0, len(first), 8192):
+        n = size[at : at + 8192]
+        of = slice(first[at], first[at] + n.sum())
+        part = np.zeros((len(n), WIDTH), np.float32)
+        part[np.repeat(np.arange(len(n)), n), cells[of] % WIDTH] = counts[of]
         odds = np.clip(np.rint(np.log((part @ sides[1] + 0.4) / (part @ sides[0] + 0.4)) * SCALE), -127, 127)
         odds[:, -1] = np.digitize(part.sum(1), LEVELS)
-        out[met[at : at + 8192]] = odds
+        out[cells[first[at : at + 8192]] // WIDTH] = odds
     return out.reshape(CONTEXTS, -1)
 
 
 def gates_of(tables: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
     """The gate of each place: the levels of its rows as digits."""
-    gate = np.zeros(len(contexts[0]), np.uint8)
+    return _gates([table[WIDTH - 1 :: WIDTH].astype(np.uint8) for table in tables], [c // WIDTH for c in contexts])
+
+
+def _gates(levels: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    gate = np.zeros(len(rows[0]), np.uint8)
     for k in range(CONTEXTS):
         gate *= np.uint8(len(LEVELS) + 1)
-        gate += np.take(tables[k], contexts[k].astype(np.intp) + (WIDTH - 1)).view(np.uint8)
+        gate += np.take(levels[k], rows[k])
     return gate
 
 
+@dataclass
+class Laid:
+    """Tables in the order in which they are read: the first HEAD nodes of all rows of a context, which most bits ask for,
+    then the next HEAD of all rows, and so on; and the levels of the rows by themselves."""
+
+    slots: int
+    nodes: list[np.ndarray]
+    levels: list[np.ndarray]
+
+    def node(self, node: np.ndarray) -> np.ndarray:
+        """Where nodes lie, to be added to HEAD times the number of the row."""
+        return node // HEAD * (self.slots * HEAD) + node % HEAD
+
+
+def laid_out(tables: np.ndarray) -> Laid:
+    slots = tables.shape[1] // WIDTH
+    out = Laid(slots, [], [])
+    for table in tables.reshape(CONTEXTS, slots, WIDTH):
+        out.nodes.append(table[:, :-1].reshape(slots, -1, HEAD).transpose(1, 0, 2).reshape(-1))
+        out.levels.append(table[:, -1].astype(np.uint8))
+    return out
+
+
 def equal_weights() -> np.ndarray:
     return np.full((CONTEXTS, GATES), START_WEIGHT / SCALE, np.float32)
 
 
-def paths(code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes and bits of the paths of all symbols one after the other, and where each path starts."""
-    on_path = np.arange(len(code.node)) < code.length[:, None]
-    return code.node.T[on_path], code.bit.T[on_path], np.r_[0, np.cumsum(code.length, dtype=np.int64)[:-1]]
+def by_depth(left: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of places with so many bits in which, at any depth, those that have a bit there come first; and by depth
+    how many these are, and where their bits lie when those of a depth lie together."""
+    reach = len(left) - np.cumsum(np.bincount(left))[:-1]
+    ends = np.cumsum(reach)
+    return np.argsort(-left, kind="stable"), [(int(m), slice(int(e - m), int(e))) for m, e in zip(reach, ends)]
 
 
-def count_inputs(data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.ndarray, totals: np.ndarray) -> None:
+def look_up(nodes: np.ndarray, rows: np.ndarray, node: np.ndarray, depths: list[tuple[int, slice]]) -> np.ndarray:
+    """What a context's rows (by number) hold of all bits."""
+    cell, begin = np.empty(len(node), np.intp), rows.astype(np.intp) * HEAD
+    for m, bits in depths:
+        np.add(begin[:m], node[bits], out=cell[bits])
+    return np.take(nodes, cell)
+
+
+def path_bits(code: Code, nodes: np.ndarray, here: np.ndarray, depths: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+    """What `nodes` has for the nodes of all bits of these symbols, and the bits."""
+    total = depths[-1][1].stop
+    node, bit, here = np.empty(total, np.intp), np.empty(total, np.float32), here.astype(np.intp)
+    for d, (m, bits) in enumerate(depths):
+        np.take(nodes[d], here[:m], out=node[bits], mode="clip")
+        np.take(code.bit[d], here[:m], out=bit[bits], mode="clip")
+    return node, bit
+
+
+def count_inputs(data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.ndarray | Laid, totals: np.ndarray) -> None:
     """Adds to totals[gate and steps of all contexts] the bits of these texts, turned round so that each is a one.
 
     The tables must not have been counted on the same texts.
     """
+    tables = laid_out(tables) if isinstance(tables, np.ndarray) else tables
     text, starts = symbols(data, offsets)
-    slots = tables.shape[1] // WIDTH
-    contexts = context_rows(text, starts, slots)
+    # Texts are gone through some at a time, which stay in the caches.
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(text) + PIECE, PIECE)).clip(max=len(starts) - 1))
+    pieces = [context_numbers(text[starts[a] : starts[b]], starts[a : b + 1] - starts[a], tables.slots) for a, b in zip(cuts[:-1], cuts[1:])]
+    rows = [np.concatenate(r) for r in zip(*pieces)] if pieces else [np.zeros(0, np.uint32)] * CONTEXTS
     times = np.ones(len(text), np.int64)
-    size = slots.bit_length() - 1
+    size = tables.slots.bit_length() - 1
     if CONTEXTS * size + 9 < 64:  # equal places are looked up once
         places = text.astype(np.int64)
         for k in range(CONTEXTS):
-            places |= (contexts[k] // WIDTH).astype(np.int64) << (9 + k * size)
+            places |= rows[k].astype(np.int64) << (9 + k * size)
         places.sort()
         first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]]) if len(places) else np.zeros(0, np.intp)
         times, places = np.diff(np.r_[first, len(places)]), places[first]
         text = places & 511
-        contexts = [(places >> (9 + k * size) & (slots - 1)) * WIDTH for k in range(CONTEXTS)]
-    nodes, bits, begin = paths(code)
-    for at in range(0, len(text), 1 << 17):
-        here, of = text[at : at + (1 << 17)], [c[at : at + (1 << 17)].astype(np.intp) for c in contexts]
-        left = np.take(code.length, here).astype(np.int64)
-        path = ragged(np.take(begin, here), left)
-        node, steps = np.take(nodes, path), np.zeros(len(path), np.int64)
+        rows = [places >> (9 + k * size) & (tables.slots - 1) for k in range(CONTEXTS)]
+    nodes = tables.node(code.node)
+    for at in range(0, len(text), PLACES):
+        here = text[at : at + PLACES]
+        longest, depths = by_depth(np.take(code.length, here))
+        of = [np.take(r[at : at + PLACES], longest) for r in rows]
+        node, bit = path_bits(code, nodes, np.take(here, longest), depths)
+        steps = np.zeros(len(node), np.int64)
         for k in range(CONTEXTS):
-            cell = np.repeat(of[k], left)
-            cell += node
             steps *= len(STEPS)
-            steps += np.take(_STEP, np.take(tables[k], cell).view(np.uint8))
-        steps = np.where(np.take(bits, path) > 0, steps, MEETINGS - 1 - steps)
-        steps += np.repeat(gates_of(tables, of) * np.int64(MEETINGS), left)
-        np.add.at(totals, steps, np.repeat(times[at : at + (1 << 17)], left))
+            steps += np.take(_STEP, look_up(tables.nodes[k], of[k], node, depths).view(np.uint8))
+        steps = np.where(bit > 0, steps, MEETINGS - 1 - steps)
+        gate, seen = _gates(tables.levels, of) * np.int64(MEETINGS), np.take(times[at : at + PLACES], longest)
+        for m, bits in depths:
+            steps[bits] += gate[:m]
+        np.add.at(totals, steps, np.concatenate([seen[:m] for m, _ in depths]))
 
 
 def fit_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 7) -> np.ndarray:
@@ -268,84 +333,102 @@ def fit_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 7) -> np.nd
 
 
 def log_probabilities(
-    data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.ndarray, start: np.ndarray | None = None
+    data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.ndarray | Laid, start: np.ndarray | None = None
 ) -> np.ndarray:
     """Natural logarithm of the probability of each text with its end. `start` holds weights by context and gate."""
     start = equal_weights() if start is None else start
+    tables = laid_out(tables) if isinstance(tables, np.ndarray) else tables
+    sizes = np.diff(offsets)
+    out = np.zeros(len(sizes))
+    order = np.argsort(-sizes, kind="stable")
+    for at in range(0, len(order), LANES):
+        lanes = order[at : at + LANES]
+        beside = np.take(data, ragged(offsets[lanes], sizes[lanes]))
+        out[lanes] = _side_by_side(beside, np.r_[0, np.cumsum(sizes[lanes])], code, tables, start)
+    return out
+
+
+def _side_by_side(data: np.ndarray, offsets: np.ndarray, code: Code, tables: Laid, start: np.ndarray) -> np.ndarray:
+    """log_probabilities of texts that come longest first. A block of so many of them at a time that PLACES are reached."""
     text, starts = symbols(data, offsets)
-    contexts = context_rows(text, starts, tables.shape[1] // WIDTH)
-    gates = gates_of(tables, contexts)
+    rows = context_numbers(text, starts, tables.slots)
+    gates, nodes = _gates(tables.levels, rows), tables.node(code.node)
     sizes = np.diff(starts)
     out = np.zeros(len(sizes))
-    order = np.argsort(-sizes, kind="stable")
-    nodes, bits, first = paths(code)  # the bits of a place lie together
-    for lane_at in range(0, len(order), LANES):
-        lanes = order[lane_at : lane_at + LANES]
-        n = len(lanes)
-        weights = np.zeros((CONTEXTS, n), np.float32)  # beyond those of the gate
-        refined = np.zeros(n * BUCKETS, np.float32)
-        total, done, block = np.zeros(n), 0, 0
-        while True:
-            live = int((sizes[lanes] > done).sum())  # lanes are in order of size
-            if not live:
-                break
-            step = BLOCKS[min(block, len(BLOCKS) - 1)]
-            lengths = np.minimum(sizes[lanes[:live]] - done, step)
-            at = ragged(starts[lanes[:live]] + done, lengths)
-            here, gate = np.take(text, at), np.take(gates, at)
-            left = np.take(code.length, here).astype(np.int64)
-            begin = np.r_[0, np.cumsum(lengths)[:-1]]
-            counts = np.add.reduceat(left, begin)  # bits by lane
-            path = ragged(np.take(first, here), left)
-            node, bit = np.take(nodes, path), np.take(bits, path)
-            begin = np.cumsum(counts) - counts
-            odds, inputs = np.zeros(len(path), np.float32), []
+    weights = np.zeros((CONTEXTS, len(sizes)), np.float32)  # beyond those of the gate
+    refined = np.zeros((len(sizes), BUCKETS), np.float32)
+    done, block = 0, 0
+    while live := int((sizes > done).sum()):
+        step = BLOCKS[min(block, len(BLOCKS) - 1)]
+        some = max(1, PLACES // step)
+        for a in range(0, live, some):
+            b = min(live, a + some)
+            n, lengths = b - a, np.minimum(sizes[a:b] - done, step)
+            at, lane = ragged(starts[a:b] + done, lengths), np.repeat(np.arange(n), lengths)
+            left = np.take(code.length, np.take(text, at))
+            counts = np.bincount(lane, left, n)  # bits by lane
+            longest, depths = by_depth(left)
+            at, lane = np.take(at, longest), np.take(lane, longest)
+            node, bit = path_bits(code, nodes, np.take(text, at), depths)
+            gate = lane * GATES + np.take(gates, at)
+            odds, part, inputs = np.zeros(len(node), np.float32), np.empty(len(node), np.float32), []
             for k in range(CONTEXTS):
-                cell = np.repeat(np.take(contexts[k], at).astype(np.intp), left)
-                cell += node
-                inputs.append(np.take(tables[k], cell).astype(np.float32))
-                part = np.repeat(np.take(start[k], gate), left)
-                part += np.repeat(weights[k, :live], counts)
-                part *= inputs[k]
+                inputs.append(look_up(tables.nodes[k], np.take(rows[k], at), node, depths).astype(np.float32))
+                weight = np.take((weights[k, a:b, None] + start[k]).ravel(), gate)
+                for m, bits in depths:
+                    np.multiply(weight[:m], inputs[k][bits], out=part[bits])
                 odds += part
             # The refinement goes by the number of the text and what the mixture says.
-            part = odds * np.float32(1.5)
+            np.multiply(odds, np.float32(1.5), out=part)
             np.clip(part, -11.5, 11.5, out=part)
-            bucket = part.astype(np.intp)
-            bucket += np.repeat(np.arange(live) * BUCKETS + BUCKETS // 2, counts)
-            odds += np.take(refined, bucket)
+            bucket, first = part.astype(np.intp), lane * BUCKETS + BUCKETS // 2
+            for m, bits in depths:
+                bucket[bits] += first[:m]
+            odds += np.take(refined[a:b].ravel(), bucket, out=part, mode="clip")
             np.clip(odds, -12, 12, out=odds)
             np.negative(odds, out=odds)
             np.exp(odds, out=odds)
             odds += 1
             np.reciprocal(odds, out=odds)
-            error = bit - odds
-            total[:live] += np.add.reduceat(np.log(np.float32(1) - np.abs(error)).astype(np.float64), begin)
-            shift = np.bincount(bucket, error, n * BUCKETS)
+            error = np.subtract(bit, odds, out=bit)
+            right = np.subtract(np.float32(1), np.abs(error, out=part), out=part)
+            shift = np.bincount(bucket, error, n * BUCKETS).reshape(n, BUCKETS)
+            for x in inputs:
+                x *= error
+            # All is summed by place, where the first bits lie. Six probabilities of at least 6e-6 have a product in single precision.
+            logs = np.zeros(len(at))
+            for d, (m, bits) in enumerate(depths):
+                if d:
+                    for x in inputs:
+                        x[:m] += x[bits]
+                if d % 6:
+                    right[begin : begin + m] *= right[bits]
+                else:
+                    begin = bits.start
+            for m, bits in depths[::6]:
+                logs[:m] += np.log(right[bits])
+            out[a:b] += np.bincount(lane, logs, n)
             pace = LEARN / (SCALE * SCALE) / (1 + counts / 64)
             for k in range(CONTEXTS):
-                inputs[k] *= error
-                weights[k, :live] += pace * np.add.reduceat(inputs[k], begin)
-            refined = np.clip(refined + np.clip(REFINE * shift, -0.05, 0.05), -2, 2).astype(np.float32)
-            done, block = done + step, block + 1
-        out[lanes] = total
+                weights[k, a:b] += pace * np.bincount(lane, inputs[k][: len(at)], n)
+            refined[a:b] = np.clip(refined[a:b] + np.clip(REFINE * shift, -0.05, 0.05), -2, 2)
+        done, block = done + step, block + 1
     return out
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts (A-Z in lower case, cut at ASCII white space) and their rows."""
-    data = LOWER_BYTES[data]
     starts, lengths, rows = spans(data, offsets, BLANK_BYTES)
     ends = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-    inside = data[~BLANK_BYTES[data]]  # the words one after the other
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(inside.tobytes()))
+    inside = data.tobytes().translate(LOWER_BYTES.tobytes(), bytes(np.flatnonzero(BLANK_BYTES)))  # the words one after the other
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(inside))
     return words, rows
 
 
 @dataclass
 class Model:
     code: Code
-    tables: np.ndarray
+    tables: np.ndarray | Laid
     start: np.ndarray
     train_tokens: int
     distinct: int
@@ -354,9 +437,22 @@ class Model:
     frequent_counts: np.ndarray
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different cells in order, and the sums of what the parts hold of them."""
+    cells, times = (np.concatenate(columns) for columns in zip(*parts))
+    order = np.argsort(cells, kind="stable")  # the parts are in order and only have to be merged
+    cells = np.take(cells, order)
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.intp)
+    return cells[first], np.add.reduceat(np.take(times, order), first) if len(first) else times
+
+
 def _cells(cells: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    """slot, c and the part of c that is not of the fold, which is the lowest bit of a cell."""
-    return pa.RecordBatch.from_arrays([pa.array(cells >> 1), pa.array(sums), pa.array(sums * (1 - (cells & 1)))], ["slot", "c", "others"])
+    """slot, c and the part of c that is not of the fold, which is the lowest bit of a cell. A slot has one row."""
+    slot, c = _summed([(cells >> cells.dtype.type(1), sums)])
+    others = np.zeros(len(c), np.int64)
+    rest = (cells & cells.dtype.type(1)) == 0
+    others[np.searchsorted(slot, cells[rest] >> cells.dtype.type(1))] = sums[rest]
+    return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(c), pa.array(others)], ["slot", "c", "others"])
 
 
 def train(documents: DataFrame) -> tuple[Model, DataFrame]:
@@ -400,22 +496,28 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
 
     def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Only cells that occur are held, in order, and handed on when there are many: memory does not grow with the tables.
-        held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in sliced(batches, "text", 1_000_000):
+        kind = np.uint32 if CONTEXTS * slots * WIDTH * 2 <= 1 << 32 else np.int64
+        held, new, waiting = (np.zeros(0, kind), np.zeros(0, np.int64)), [], 0
+        for batch in sliced(batches, "text", 500_000):
             text, starts = symbols(*utf8(batch.column("text")))
             fold = np.repeat(batch.column("fold").to_numpy(zero_copy_only=False), np.diff(starts))
-            cells = np.concatenate([(rows.astype(np.int64) + text + k * slots * WIDTH) * 2 + fold for k, rows in enumerate(context_rows(text, starts, slots))])
-            cells.sort()
-            first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-            new, times = cells[first], np.diff(np.r_[first, len(cells)])
-            at = np.searchsorted(held, new)
-            known = np.take(held, at, mode="clip") == new if len(held) else np.zeros(len(new), bool)
-            sums[at[known]] += times[known]
-            held, sums = np.insert(held, at[~known], new[~known]), np.insert(sums, at[~known], times[~known])
-            if len(held) > HELD_CELLS:
-                yield _cells(held, sums)
-                held, sums = held[:0], sums[:0]
-        yield _cells(held, sums)
+            for k, rows in enumerate(context_numbers(text, starts, slots)):
+                cells = rows.astype(kind)
+                cells += kind(k * slots)
+                cells *= kind(WIDTH)
+                cells += text
+                cells <<= kind(1)
+                cells |= fold
+                cells.sort()
+                first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+                new.append((cells[first], np.diff(np.r_[first, len(cells)])))
+                waiting += len(first)
+            if waiting > max(HELD_CELLS // 4, len(held[0])):
+                held, new, waiting = _summed([held, *new]), [], 0
+                if len(held[0]) > HELD_CELLS:
+                    yield _cells(*held)
+                    held = (held[0][:0], held[1][:0])
+        yield _cells(*_summed([held, *new]))
 
     half = (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 7) % 2 == 0).alias("fold")
     marked = documents.where(~held_out(F.col("doc_id"), 7, 2)).select("text", half)
@@ -428,8 +530,8 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     def halves(fold: bool) -> tuple[np.ndarray, np.ndarray]:
         """The inputs that meet in the texts of a half, with counts of the other half."""
         other = others if fold else sums_of - others
-        some = np.flatnonzero(other)
-        held = spark.sparkContext.broadcast((code, sparse_log_odds(cells[some], other[some], slots, code)))
+        some = other > 0
+        held = spark.sparkContext.broadcast((code, laid_out(sparse_log_odds(cells[some], other[some], slots, code))))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals = np.zeros(GATES * MEETINGS, np.int64)
@@ -458,19 +560,21 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     Null texts count as empty; an empty text has its end only. Without training rows every count is 0 and the bits
     are even. Rows are told apart by their place in the table, so repeated rows are scored each for itself.
     """
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = documents.sparkSession.sparkContext.broadcast(replace(model, tables=laid_out(model.tables)))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         log_counts = np.log10(m.frequent_counts + 1.0)
+        # Looked up once a task, not once a slice.
+        number = {token: k for k, token in enumerate(m.frequent.to_pylist())}
         for batch in sliced(batches, "text", 4_000_000):
             data, offsets = utf8(batch.column("text"))
             n = batch.num_rows
             words, rows = tokens(data, offsets)
             coded = words.dictionary_encode()
             different, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
-            place = pc.index_in(different, m.frequent).fill_null(-1).to_numpy()
+            place = np.array([number.get(token, -1) for token in different.to_pylist()], np.int64)
             known = place >= 0
             logs = np.where(known, log_counts[place] if len(log_counts) else 0.0, 0.0)
             base = np.bincount(rows, logs[codes], n) + np.log10(m.ends + 1.0)

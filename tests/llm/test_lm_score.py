@@ -157,3 +157,30 @@ def test_weights_are_fitted_on_every_training_row(spark, monkeypatch):
     assert seen == [int(models[0].code.length[text].sum())] * 2
     assert models[0].start == pytest.approx(models[1].start, rel=1e-5)
     assert (models[0].start != lm_score.equal_weights()).any()
+
+
+def test_tables_laid_out_for_reading_say_the_same():
+    texts = random_texts(300, 9, 60, 50)
+    code, tables = model_of(texts[:200])
+    laid = lm_score.laid_out(tables)
+    text, starts = lm_score.symbols(*utf8(pa.array(texts[200:])))
+    rows = lm_score.context_numbers(text, starts, lm_score.SLOTS)
+    longest, depths = lm_score.by_depth(code.length[text])
+    assert [m for m, _ in depths] == [int((code.length[text] > d).sum()) for d in range(len(depths))]
+    node, bit = lm_score.path_bits(code, laid.node(code.node), text[longest], depths)
+    for k, at in enumerate(lm_score.context_rows(text, starts)):
+        got = lm_score.look_up(laid.nodes[k], rows[k][longest], node, depths)
+        for d, (m, bits) in enumerate(depths):
+            here = longest[:m]
+            assert (got[bits] == tables[k][at[here] + code.node[d, text[here]]]).all()
+            assert (bit[bits] == code.bit[d, text[here]]).all()
+    scores = [lm_score.log_probabilities(*utf8(pa.array(texts[200:])), code, t) for t in (tables, laid)]
+    assert (scores[0] == scores[1]).all()
+
+
+def test_a_task_hands_on_a_slot_once():
+    """Both halves of a slot go to Spark in one row, and parts are summed before."""
+    parts = [(np.array([2, 3, 9], np.uint32), np.array([5, 1, 2])), (np.array([3, 4], np.uint32), np.array([4, 7]))]
+    batch = lm_score._cells(*lm_score._summed(parts))
+    assert batch.to_pydict() == {"slot": [1, 2, 4], "c": [10, 7, 2], "others": [5, 7, 0]}
+    assert lm_score._cells(*lm_score._summed([(np.zeros(0, np.uint32), np.zeros(0, np.int64))])).num_rows == 0
