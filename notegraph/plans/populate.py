@@ -22,7 +22,7 @@ from notegraph.operators.corpus import (
     upsert_notes,
 )
 from notegraph.operators.embed import Embedder, embed_chunks, hash_embed
-from notegraph.operators.materialise import materialise
+from notegraph.operators.materialise import materialise, materialise_columns
 from notegraph.operators.patches import append_log, error_log
 from notegraph.operators.sized import BROADCAST_ROWS, if_small, is_small
 from notegraph.operators.vector_index import build_index, update_index
@@ -64,7 +64,7 @@ def embed_changes(texts: DataFrame, settings: Settings, embedder: Embedder | Non
         embedded = hash_embed(chunks, settings.dimensions).withColumn("error", F.lit(None).cast("string"))
     else:
         embedded = embed_chunks(chunks, embedder, settings.embedding_batch_size, settings.dimensions)
-    return materialise(embedded.withColumn("last_embedded_at", F.lit(now).cast(T.TimestampType())))
+    return materialise_columns(embedded.withColumn("last_embedded_at", F.lit(now).cast(T.TimestampType())))
 
 
 @dataclass(frozen=True)
@@ -97,9 +97,13 @@ def _do_work(
     new = embed_changes(changed_texts(disk, if_small(work.changes)), settings, embedder, now)
     stale = stale_chunks(work.changes, settings.chunk_size) if settings.replace_stale else None
     keys = new.count() + (stale.count() if stale is not None else 0)
-    kept = remove_notes(notes, work.gone, few=is_small(work.gone))
+    few = keys <= BROADCAST_ROWS
+    if few or is_small(work.gone):
+        upserted = upsert_notes(remove_notes(notes, work.gone, few=is_small(work.gone)), new, stale, few=few)
+    else:
+        upserted = upsert_notes(notes, new, stale, removed=work.gone)
     return Populated(
-        upsert_notes(kept, new, stale, few=keys <= BROADCAST_ROWS),
+        upserted,
         work.changes,
         new.where(F.col("error").isNotNull()),
         work.unread,

@@ -375,3 +375,21 @@ def test_the_registered_upsert_embeds_once(spark):
     for query in (catalog.upsert_notes, catalog.upsert_notes_keeping_stale):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" not in plan  # the new chunks are read as written
+
+
+def test_many_gone_notes_go_in_the_join_of_the_upsert(spark, monkeypatch):
+    """Stored rows meet the keys of changed and of gone chunks once, and the result is that of two joins."""
+    before = {f"n{i}.md": "x" * (5 + i % 40) for i in range(30)}
+    empty = spark.createDataFrame([], NOTES_SCHEMA)
+    first = populate(disk(spark, before), empty, SETTINGS, T0).notes
+    linked = corpus.mark_backlinked(first, spark.createDataFrame([(f"n{i}.md",) for i in range(0, 30, 2)], "path string"), T0).cache()
+    after = {p: (t + "y" if i % 3 else t[:3]) for i, (p, t) in enumerate(before.items()) if i % 4}
+    shown = lambda done: sorted(map(str, done.drop("embedding").collect()))
+    expected = shown(populate(disk(spark, after), linked, SETTINGS, LATER).notes)
+    monkeypatch.setattr("notegraph.operators.sized.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("notegraph.plans.populate.BROADCAST_ROWS", 0)
+    asked = []
+    upsert = corpus.upsert_notes
+    monkeypatch.setattr("notegraph.plans.populate.upsert_notes", lambda *a, **k: asked.append(k) or upsert(*a, **k))
+    assert shown(populate(disk(spark, after), linked, SETTINGS, LATER).notes) == expected
+    assert "removed" in asked[0]
