@@ -20,9 +20,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from notegraph.llm.common import BLANK_BYTES, LOWER_BYTES, held_out, ragged, sliced, spans, utf8, written, _BYTE, _LOW
+from notegraph.llm.common import BLANK_BYTES, LOWER_BYTES, hashes, held_out, ragged, sliced, spans, utf8, written, _BYTE, _LOW
 
 END = 256
 #: Tables have a row per hashed context and a column per symbol (in training) or inner node of the code (in scoring).
@@ -50,7 +51,7 @@ LANES, BLOCKS = 256, (48, 48, 96, 192, 384, 768)
 #: Places whose bits are worked off together: what the tables hold of them stays in the caches.
 PLACES = 1 << 15
 #: Bytes of texts whose contexts are found together.
-PIECE = 1 << 18
+PIECE = 1 << 15
 #: Tokens whose counts are broadcast, most frequent first, and their most bytes; the others are joined.
 FREQUENT, FREQUENT_BYTES = 1 << 18, 64
 
@@ -109,12 +110,25 @@ def table_rows(n_bytes: int) -> int:
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes with an end behind each text, and where the texts start (and the last ends)."""
     starts = offsets + np.arange(len(offsets))
-    out = np.full(int(starts[-1]), END, np.uint16)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out[np.arange(len(data)) + owner] = data
+    out, inside = np.full(int(starts[-1]), END, np.uint16), np.ones(int(starts[-1]), bool)
+    inside[starts[1:] - 1] = False
+    out[inside] = data
     return out, starts
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """symbols and context_numbers of these texts, some texts at a time: their arrays stay in the caches."""
+    starts = offsets + np.arange(len(offsets))
+    text, rows = np.empty(int(starts[-1]), np.uint16), [np.empty(int(starts[-1]), np.uint32) for _ in range(CONTEXTS)]
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(text) + PIECE, PIECE)).clip(max=len(starts) - 1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        here = slice(starts[a], starts[b])
+        text[here], begin = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for k, found in enumerate(context_numbers(text[here], begin, slots)):
+            rows[k][here] = found
+    return text, starts, rows
+
+
 def context_rows(text: np.ndarray, starts: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
     """For each place where the rows of three contexts start, in tables of that many rows (a power of two)."""
     return [rows.astype(np.int64) * WIDTH for rows in context_numbers(text, starts, slots)]
@@ -122,35 +136,34 @@ def context_rows(text: np.ndarray, starts: np.ndarray, slots: int = SLOTS) -> li
 
 def context_numbers(text: np.ndarray, starts: np.ndarray, slots: int) -> list[np.ndarray]:
     """For each place the numbers of the rows of three contexts: of the two bytes before, the four before, the word so far."""
-    n = len(text)
-    wide = text.astype(np.intp)
+    n, size, first = len(text), np.diff(starts), starts[:-1]
     value = text.astype(np.uint32)
     value += np.uint32(1)
-    before = []
-    for k in range(1, 5):
-        b = np.zeros(n, np.uint32)
-        b[k:] = value[:-k] if n > k else 0
-        # Nothing is seen of the text before.
-        first = (starts[:-1, None] + np.arange(k)).ravel()
-        b[first[first < np.repeat(starts[1:], k)]] = 0
-        before.append(b)
-    two = before[0] * np.uint32(0x85EBCA6B) + before[1] * np.uint32(0xC2B2AE35)
-    four = two ^ (before[2] * np.uint32(0x27D4EB2F) + before[3] * np.uint32(0x165667B1))
+    two, rest = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    np.multiply(value[:-1], np.uint32(0x85EBCA6B), out=two[1:])
+    two[2:] += value[:-2] * np.uint32(0xC2B2AE35)
+    np.multiply(value[:-3], np.uint32(0x27D4EB2F), out=rest[3:])
+    rest[4:] += value[:-4] * np.uint32(0x165667B1)
+    # Nothing is seen of the text before.
+    second, third, fourth = (first[size > k] + k for k in (1, 2, 3))
+    two[first] = rest[first] = rest[second] = rest[third] = 0
+    two[second] = value[second - 1] * np.uint32(0x85EBCA6B)
+    rest[fourth] = value[fourth - 3] * np.uint32(0x27D4EB2F)
+    four = np.bitwise_xor(two, rest, out=rest)
     # A word starts behind a blank and with the text; a running sum gives the hash of each beginning of a word.
+    wide = text.astype(np.intp)
     begin = np.ones(n, bool)
     np.take(_BLANK, wide[:-1], out=begin[1:], mode="clip")
-    begin[starts[:-1]] = True
-    begin = np.flatnonzero(begin)
-    size = np.diff(np.r_[begin, n])
+    begin[first] = True
     place = np.arange(n)
-    place -= np.repeat(begin, size)
+    begun = np.maximum.accumulate(place * begin)
+    place -= begun
     place &= 0xFFFF
     summed = np.take(_SIGN, wide, mode="clip")
     summed *= np.take(_PLACE, place, mode="clip")
-    summed = np.cumsum(summed, dtype=np.uint32)
     word = np.zeros(n, np.uint32)
-    word[1:] = summed[:-1]
-    word -= np.repeat(word[begin], size)
+    np.cumsum(summed[:-1], dtype=np.uint32, out=word[1:])
+    word -= np.take(word, begun)
     return [_slot(two, slots), _slot(four ^ np.uint32(0x5BD1E995), slots), _slot(word + np.uint32(77), slots)]
 
 
@@ -246,12 +259,34 @@ def by_depth(left: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     return np.argsort(-left, kind="stable"), [(int(m), slice(int(e - m), int(e))) for m, e in zip(reach, ends)]
 
 
+def asked(node: np.ndarray, depths: list[tuple[int, slice]], deep: int = 0) -> tuple[np.ndarray, ...]:
+    """Where bits ask when the first HEAD nodes of all places lie one after the other (`node` is turned into that); and the
+    bits that ask for other nodes (at depths from `deep` on), their places and their nodes."""
+    first = depths[deep][1].start if deep < len(depths) else len(node)
+    other = np.flatnonzero(node[first:] >= HEAD) + first
+    beyond = np.take(node, other)
+    begin = np.arange(depths[0][0] if depths else 0) * HEAD
+    for m, bits in depths:
+        node[bits] += begin[:m]
+    return node, other, (np.take(node, other) - beyond) // HEAD, beyond
+
+
+def deep_from(nodes: np.ndarray) -> int:
+    """The first depth at which a symbol asks for a node beyond HEAD."""
+    beyond = (nodes >= HEAD).any(1)
+    return int(beyond.argmax()) if beyond.any() else len(nodes)
+
+
 def look_up(nodes: np.ndarray, rows: np.ndarray, node: np.ndarray, depths: list[tuple[int, slice]]) -> np.ndarray:
     """What a context's rows (by number) hold of all bits."""
-    cell, begin = np.empty(len(node), np.intp), rows.astype(np.intp) * HEAD
-    for m, bits in depths:
-        np.add(begin[:m], node[bits], out=cell[bits])
-    return np.take(nodes, cell)
+    return _look_up(nodes, rows, *asked(node.copy(), depths))
+
+
+def _look_up(nodes: np.ndarray, rows: np.ndarray, cell: np.ndarray, other: np.ndarray, place: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+    # A row is fetched once for all bits of its place; what is fetched is read in order.
+    out = np.take(np.take(nodes.reshape(-1, HEAD), rows, axis=0).reshape(-1), cell, mode="clip")
+    out[other] = np.take(nodes, np.take(rows, place).astype(np.intp) * HEAD + beyond)
+    return out
 
 
 def path_bits(code: Code, nodes: np.ndarray, here: np.ndarray, depths: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,11 +305,7 @@ def count_inputs(data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.n
     The tables must not have been counted on the same texts.
     """
     tables = laid_out(tables) if isinstance(tables, np.ndarray) else tables
-    text, starts = symbols(data, offsets)
-    # Texts are gone through some at a time, which stay in the caches.
-    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(text) + PIECE, PIECE)).clip(max=len(starts) - 1))
-    pieces = [context_numbers(text[starts[a] : starts[b]], starts[a : b + 1] - starts[a], tables.slots) for a, b in zip(cuts[:-1], cuts[1:])]
-    rows = [np.concatenate(r) for r in zip(*pieces)] if pieces else [np.zeros(0, np.uint32)] * CONTEXTS
+    text, starts, rows = pieces(data, offsets, tables.slots)
     times = np.ones(len(text), np.int64)
     size = tables.slots.bit_length() - 1
     if CONTEXTS * size + 9 < 64:  # equal places are looked up once
@@ -287,15 +318,17 @@ def count_inputs(data: np.ndarray, offsets: np.ndarray, code: Code, tables: np.n
         text = places & 511
         rows = [places >> (9 + k * size) & (tables.slots - 1) for k in range(CONTEXTS)]
     nodes = tables.node(code.node)
+    deep = deep_from(nodes)
     for at in range(0, len(text), PLACES):
         here = text[at : at + PLACES]
         longest, depths = by_depth(np.take(code.length, here))
         of = [np.take(r[at : at + PLACES], longest) for r in rows]
         node, bit = path_bits(code, nodes, np.take(here, longest), depths)
+        cells = asked(node, depths, deep)
         steps = np.zeros(len(node), np.int64)
         for k in range(CONTEXTS):
             steps *= len(STEPS)
-            steps += np.take(_STEP, look_up(tables.nodes[k], of[k], node, depths).view(np.uint8))
+            steps += np.take(_STEP, _look_up(tables.nodes[k], of[k], *cells).view(np.uint8))
         steps = np.where(bit > 0, steps, MEETINGS - 1 - steps)
         gate, seen = _gates(tables.levels, of) * np.int64(MEETINGS), np.take(times[at : at + PLACES], longest)
         for m, bits in depths:
@@ -343,16 +376,16 @@ def log_probabilities(
     order = np.argsort(-sizes, kind="stable")
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
-        beside = np.take(data, ragged(offsets[lanes], sizes[lanes]))
+        beside = np.concatenate([data[offsets[k] : offsets[k + 1]] for k in lanes])
         out[lanes] = _side_by_side(beside, np.r_[0, np.cumsum(sizes[lanes])], code, tables, start)
     return out
 
 
 def _side_by_side(data: np.ndarray, offsets: np.ndarray, code: Code, tables: Laid, start: np.ndarray) -> np.ndarray:
     """log_probabilities of texts that come longest first. A block of so many of them at a time that PLACES are reached."""
-    text, starts = symbols(data, offsets)
-    rows = context_numbers(text, starts, tables.slots)
+    text, starts, rows = pieces(data, offsets, tables.slots)
     gates, nodes = _gates(tables.levels, rows), tables.node(code.node)
+    deep = deep_from(nodes)
     sizes = np.diff(starts)
     out = np.zeros(len(sizes))
     weights = np.zeros((CONTEXTS, len(sizes)), np.float32)  # beyond those of the gate
@@ -366,14 +399,16 @@ def _side_by_side(data: np.ndarray, offsets: np.ndarray, code: Code, tables: Lai
             n, lengths = b - a, np.minimum(sizes[a:b] - done, step)
             at, lane = ragged(starts[a:b] + done, lengths), np.repeat(np.arange(n), lengths)
             left = np.take(code.length, np.take(text, at))
-            counts = np.bincount(lane, left, n)  # bits by lane
+            first = np.r_[0, np.cumsum(lengths)[:-1]]
+            counts = np.add.reduceat(left, first, dtype=np.int64)  # bits by lane
             longest, depths = by_depth(left)
             at, lane = np.take(at, longest), np.take(lane, longest)
             node, bit = path_bits(code, nodes, np.take(text, at), depths)
+            cells = asked(node, depths, deep)
             gate = lane * GATES + np.take(gates, at)
             odds, part, inputs = np.zeros(len(node), np.float32), np.empty(len(node), np.float32), []
             for k in range(CONTEXTS):
-                inputs.append(look_up(tables.nodes[k], np.take(rows[k], at), node, depths).astype(np.float32))
+                inputs.append(_look_up(tables.nodes[k], np.take(rows[k], at), *cells).astype(np.float32))
                 weight = np.take((weights[k, a:b, None] + start[k]).ravel(), gate)
                 for m, bits in depths:
                     np.multiply(weight[:m], inputs[k][bits], out=part[bits])
@@ -381,9 +416,9 @@ def _side_by_side(data: np.ndarray, offsets: np.ndarray, code: Code, tables: Lai
             # The refinement goes by the number of the text and what the mixture says.
             np.multiply(odds, np.float32(1.5), out=part)
             np.clip(part, -11.5, 11.5, out=part)
-            bucket, first = part.astype(np.intp), lane * BUCKETS + BUCKETS // 2
+            bucket, middle = part.astype(np.intp), lane * BUCKETS + BUCKETS // 2
             for m, bits in depths:
-                bucket[bits] += first[:m]
+                bucket[bits] += middle[:m]
             odds += np.take(refined[a:b].ravel(), bucket, out=part, mode="clip")
             np.clip(odds, -12, 12, out=odds)
             np.negative(odds, out=odds)
@@ -407,10 +442,13 @@ def _side_by_side(data: np.ndarray, offsets: np.ndarray, code: Code, tables: Lai
                     begin = bits.start
             for m, bits in depths[::6]:
                 logs[:m] += np.log(right[bits])
-            out[a:b] += np.bincount(lane, logs, n)
+            in_order = np.empty(len(at))
+            in_order[longest] = logs
+            out[a:b] += np.add.reduceat(in_order, first)
             pace = LEARN / (SCALE * SCALE) / (1 + counts / 64)
             for k in range(CONTEXTS):
-                weights[k, a:b] += pace * np.bincount(lane, inputs[k][: len(at)], n)
+                in_order[longest] = inputs[k][: len(at)]
+                weights[k, a:b] += pace * np.add.reduceat(in_order, first)
             refined[a:b] = np.clip(refined[a:b] + np.clip(REFINE * shift, -0.05, 0.05), -2, 2)
         done, block = done + step, block + 1
     return out
@@ -425,6 +463,28 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return words, rows
 
 
+def token_hashes(words: pa.Array) -> np.ndarray:
+    data, offsets = utf8(words)
+    return hashes(data, offsets[:-1], np.diff(offsets))
+
+
+def positions(words: pa.Array, frequent: pa.Array, keys: np.ndarray) -> np.ndarray:
+    """Where `frequent`, whose hashes are `keys` in ascending order, has each word, or -1. Words are compared; of frequent
+    ones with the same hash only the first is found."""
+    out = np.full(len(words), -1, np.int64)
+    if not len(words) or not len(keys):
+        return out
+    wanted = token_hashes(words)
+    order = np.argsort(wanted)  # hashes in order are found faster
+    wanted = np.take(wanted, order)
+    at = np.searchsorted(keys, wanted)
+    met = np.flatnonzero(np.take(keys, at, mode="clip") == wanted)
+    order, at = order[met], at[met]
+    same = pc.equal(words.take(pa.array(order)), frequent.take(pa.array(at))).to_numpy(zero_copy_only=False)
+    out[order[same]] = at[same]
+    return out
+
+
 @dataclass
 class Model:
     code: Code
@@ -498,10 +558,10 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
         # Only cells that occur are held, in order, and handed on when there are many: memory does not grow with the tables.
         kind = np.uint32 if CONTEXTS * slots * WIDTH * 2 <= 1 << 32 else np.int64
         held, new, waiting = (np.zeros(0, kind), np.zeros(0, np.int64)), [], 0
-        for batch in sliced(batches, "text", 500_000):
-            text, starts = symbols(*utf8(batch.column("text")))
+        for batch in sliced(batches, "text", 2_000_000):
+            text, starts, numbers = pieces(*utf8(batch.column("text")), slots)
             fold = np.repeat(batch.column("fold").to_numpy(zero_copy_only=False), np.diff(starts))
-            for k, rows in enumerate(context_numbers(text, starts, slots)):
+            for k, rows in enumerate(numbers):
                 cells = rows.astype(kind)
                 cells += kind(k * slots)
                 cells *= kind(WIDTH)
@@ -560,21 +620,22 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     Null texts count as empty; an empty text has its end only. Without training rows every count is 0 and the bits
     are even. Rows are told apart by their place in the table, so repeated rows are scored each for itself.
     """
-    held = documents.sparkSession.sparkContext.broadcast(replace(model, tables=laid_out(model.tables)))
+    keys = token_hashes(model.frequent)
+    order = np.argsort(keys, kind="stable")
+    sorted_model = replace(model, tables=laid_out(model.tables), frequent=model.frequent.take(pa.array(order)), frequent_counts=model.frequent_counts[order])
+    held = documents.sparkSession.sparkContext.broadcast((sorted_model, keys[order]))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m, keys = held.value
         log_counts = np.log10(m.frequent_counts + 1.0)
-        # Looked up once a task, not once a slice.
-        number = {token: k for k, token in enumerate(m.frequent.to_pylist())}
         for batch in sliced(batches, "text", 4_000_000):
             data, offsets = utf8(batch.column("text"))
             n = batch.num_rows
             words, rows = tokens(data, offsets)
             coded = words.dictionary_encode()
             different, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
-            place = np.array([number.get(token, -1) for token in different.to_pylist()], np.int64)
+            place = positions(different, m.frequent, keys)
             known = place >= 0
             logs = np.where(known, log_counts[place] if len(log_counts) else 0.0, 0.0)
             base = np.bincount(rows, logs[codes], n) + np.log10(m.ends + 1.0)

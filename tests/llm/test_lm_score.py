@@ -184,3 +184,62 @@ def test_a_task_hands_on_a_slot_once():
     batch = lm_score._cells(*lm_score._summed(parts))
     assert batch.to_pydict() == {"slot": [1, 2, 4], "c": [10, 7, 2], "others": [5, 7, 0]}
     assert lm_score._cells(*lm_score._summed([(np.zeros(0, np.uint32), np.zeros(0, np.int64))])).num_rows == 0
+
+
+def test_tokens_are_found_among_the_frequent_ones_by_hash_and_compared():
+    frequent, words = ["a", "bb", "é", "ccc", "dd"], ["dd", "zz", "é", "A", "a", "bbb", "x" * 70_000]
+    keys = lm_score.token_hashes(pa.array(frequent))
+    order = np.argsort(keys)
+    among = pa.array(frequent).take(pa.array(order))
+    got = lm_score.positions(pa.array(words), among, keys[order])
+    assert [None if k < 0 else among[int(k)].as_py() for k in got] == ["dd", None, "é", None, "a", None, None]
+    for none in (lm_score.positions(pa.array(words), pa.array([], pa.string()), keys[:0]), lm_score.positions(pa.array([], pa.string()), among, keys[order])):
+        assert (none == -1).all()
+
+
+def test_tokens_with_the_same_hash_are_told_apart(monkeypatch):
+    """Words that only share a hash with a frequent one are not taken for it; they are joined instead."""
+    monkeypatch.setattr(lm_score, "token_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    got = lm_score.positions(pa.array(["b", "c", "a"]), pa.array(["a", "b"]), np.full(2, 7, np.uint64))
+    assert got.tolist() == [-1, -1, 0]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 15])
+def test_texts_worked_off_in_pieces_have_the_same_contexts(monkeypatch, piece):
+    monkeypatch.setattr(lm_score, "PIECE", piece)
+    texts = [*random_texts(30, 4, 20), "", "", "a", "ab", "abc", "abcd", "", "long word" * 40, "é", " "]
+    data, offsets = utf8(pa.array(texts))
+    text, starts, rows = lm_score.pieces(data, offsets, 1 << 17)
+    whole, expected = lm_score.symbols(data, offsets)
+    assert (text == whole).all() and (starts == expected).all()
+    for a, b in zip(rows, lm_score.context_numbers(whole, starts, 1 << 17)):
+        assert (a == b).all()
+    for k in range(len(texts)):  # and each text those it has alone
+        alone = lm_score.context_numbers(*lm_score.symbols(*utf8(pa.array([texts[k]]))), 1 << 17)
+        assert all((r[starts[k] : starts[k + 1]] == x).all() for r, x in zip(rows, alone))
+    none = lm_score.pieces(data[:0], offsets[:1], 1 << 17)
+    assert len(none[0]) == 0 and all(len(r) == 0 for r in none[2])
+
+
+def test_rows_are_fetched_once_for_all_bits_of_a_place(monkeypatch):
+    """The tables are read a row a place, and a cell a bit only beyond the first nodes."""
+    code, tables = model_of(random_texts(200, 9, 60, 50))
+    laid = lm_score.laid_out(tables)
+    text, starts = lm_score.symbols(*utf8(pa.array([*random_texts(50, 10, 60, 50), "Qé~"])))
+    rows = lm_score.context_numbers(text, starts, lm_score.SLOTS)[0]
+    longest, depths = lm_score.by_depth(code.length[text])
+    nodes = laid.node(code.node)
+    node, _ = lm_score.path_bits(code, nodes, text[longest], depths)
+    beyond = np.flatnonzero(node >= lm_score.HEAD)
+    cells = lm_score.asked(node.copy(), depths, lm_score.deep_from(nodes))
+    assert (cells[1] == beyond).all() and len(beyond) and (cells[3] == node[beyond]).all()
+    fetched, take = [], np.take
+
+    def counted(a, at, *args, **kwargs):
+        if np.shares_memory(a, laid.nodes[0]):
+            fetched.append(len(at))
+        return take(a, at, *args, **kwargs)
+
+    monkeypatch.setattr(np, "take", counted)
+    lm_score.look_up(laid.nodes[0], rows[longest], node, depths)
+    assert fetched == [len(text), len(beyond)] and sum(fetched) < len(node)
