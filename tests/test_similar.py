@@ -1,7 +1,12 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from notegraph.functions.vectors import unit_rows
 from notegraph.operators import similar
 from notegraph.operators.similar import drop_surplus_copies, knn_join, note_vectors, similar_to
 
@@ -224,3 +229,61 @@ def test_string_order_of_ties(spark):
         got = knn_join(note_vectors(notes), notes, 3, method=method, block_rows=2, pivots=2)
         assert found(got, "chunk") == brute(rows, 3, "chunk")
     assert notes.orderBy(F.col("path")).first().path == "B"
+
+
+@pytest.mark.parametrize("method, level", [("blocked", "chunk"), ("indexed", "note"), ("indexed", "chunk")])
+def test_vectors_are_written_once_and_read_by_blocks(spark, monkeypatch, tmp_path, method, level):
+    """Strips and blocks of a few rows: no vector is shuffled to meet the other side, however many strips there are."""
+    for name, small in {"TASK_SCORES": 2000, "BLOCK_BYTES": 1000, "PACK_ROWS": 7}.items():
+        monkeypatch.setattr(similar, name, small)
+    rows = vectors(9, 150, 5, 0.2) + [("zero.md", 0, [0.0] * 5)]
+    path = str(tmp_path / "v")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    notes = spark.read.parquet(path)
+    got = knn_join(note_vectors(notes), notes, 4, level, method, 16, 5)
+    assert found(got, level) == brute(rows, 4, level)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "CoGroup" not in final and "embedding" not in final  # before: each row went to each strip of the other side
+
+
+@pytest.mark.parametrize("by_note", [False, True])
+@pytest.mark.parametrize("most_left", [0.0, 1.0])
+def test_blocks_hand_on_what_they_reached(monkeypatch, by_note, most_left):
+    """Blocks of the corpus one after the other, in runs of products, with and without cells, give what all rows at once give."""
+    sizes = {"START_ROWS": 4, "FIRST_ROWS": 4, "MERGE_ROWS": 24, "TILE_SCORES": 64, "TILE_RUN": 8, "EXACT_CELLS": 40, "MOST_LEFT": most_left}
+    for name, small in sizes.items():
+        monkeypatch.setattr(similar, name, small)
+    rows = vectors(11, 120, 5, 0.3)
+    table = pa.table({"path": [r[0] for r in rows], "chunk_index": pa.array([r[1] for r in rows], pa.int32()), "embedding": [r[2] for r in rows]})
+    units = unit_rows(table["embedding"])
+    pivots = units[:6]
+    cell = (units @ pivots.T).argmax(axis=1)
+    angle = np.arccos(np.clip((units * pivots[cell]).sum(axis=1), -1, 1))
+    radii = {int(c): float(angle[cell == c].max()) for c in np.unique(cell)}
+    table = table.append_column("cell", pa.array(cell.astype(np.int32)))
+    asked = similar._strip(table.filter(pc.equal(table["chunk_index"], 0)).drop_columns("chunk_index"))
+    cells = SimpleNamespace(value=(pivots, radii, radii))
+    for search in (similar._strip_search(4, by_note, 8), similar._cell_search(4, by_note, 8, cells)):
+        held = None
+        for start in range(0, len(table), 37):
+            held = search(asked, similar._strip(table.slice(start, 37)), held)
+        at_once = search(asked, similar._strip(table), None)
+        level = "note" if by_note else "chunk"
+        for some in (held, at_once):
+            got, rank = [], 0
+            for r in similar._matched(asked.rows, some).to_pylist():
+                rank = rank + 1 if got and got[-1][0] == r["path"] else 1
+                chunk = () if by_note else (r["chunk_index"],)
+                got.append((r["path"], r["similar_path"], *chunk, round(r["similarity"], 6), rank))
+            assert sorted(got) == brute(rows, 4, level)
+
+
+def test_only_vectors_with_many_copies_are_moved(spark, monkeypatch):
+    """Two copies can never be surplus for k = 2, so they stay where they are."""
+    asked = []
+    original = similar._first_copies
+    monkeypatch.setattr(similar, "_first_copies", lambda corpus, k: asked.append(corpus) or original(corpus, k))
+    rows = [(f"n{i:03}", c, [1.0, 2.0]) for i in range(50) for c in range(5)] + [(f"x{i}", 0, [2.0, float(i // 2)]) for i in range(20)]
+    left = drop_surplus_copies(spark.createDataFrame(rows, SCHEMA), 2)
+    assert left.count() == 6 + 20 and asked[0].count() == 250
